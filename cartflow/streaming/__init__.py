@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no streaming code (no event time, watermark or state):
+its work is one batch over the order history.  Nothing is built here; the
+batch operators are DataFrame -> DataFrame functions, so a user can call
+them inside ``foreachBatch`` if order files arrive continuously.
+"""
