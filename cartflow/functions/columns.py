@@ -17,12 +17,15 @@ def hash_fraction(*keys: Column, seed: int = 42) -> Column:
     Plain integer arithmetic (no engine-specific hash), so a DuckDB query can
     compute the same number (:func:`hash_fraction_sql`): each key is reduced
     modulo ``P`` and folded as ``h = (h * M + k) % P``, starting from the
-    seed; the result is ``h / P``.  All products stay below 2**63.
+    seed, then mixed once more by ``h = (h * h + seed) % P`` and
+    ``h = h * M % P``; the result is ``h / P``.  All products stay below 2**63.
     """
     h = F.lit(seed % _SPLIT_MOD).cast("long")
     for key in keys:
         k = F.abs(key.cast("long")) % F.lit(_SPLIT_MOD)
         h = (h * F.lit(_SPLIT_MULT) + k) % F.lit(_SPLIT_MOD)
+    # A squaring round, so that two seeds are not a constant shift apart.
+    h = (h * h + F.lit(seed % _SPLIT_MOD)) % F.lit(_SPLIT_MOD)
     h = (h * F.lit(_SPLIT_MULT)) % F.lit(_SPLIT_MOD)
     return h / F.lit(float(_SPLIT_MOD))
 
@@ -32,6 +35,7 @@ def hash_fraction_sql(*keys_sql: str, seed: int = 42) -> str:
     h = f"CAST({seed % _SPLIT_MOD} AS BIGINT)"
     for k in keys_sql:
         h = f"(({h}) * {_SPLIT_MULT} + abs(CAST({k} AS BIGINT)) % {_SPLIT_MOD}) % {_SPLIT_MOD}"
+    h = f"(({h}) * ({h}) + {seed % _SPLIT_MOD}) % {_SPLIT_MOD}"
     h = f"(({h}) * {_SPLIT_MULT}) % {_SPLIT_MOD}"
     return f"({h}) / {float(_SPLIT_MOD)}"
 
