@@ -200,35 +200,42 @@ def scoring_set(data: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- fused
-def basket_features(orders: DataFrame, prior_lines: DataFrame, train_lines: DataFrame | None = None,
-                    min_purchases: int = 40, last_n: int = 5) -> DataFrame:
-    """The whole feature table in one plan (T1-T6 fused).
+def orders_with_recency(orders: DataFrame, prior_lines: DataFrame) -> DataFrame:
+    """Prior orders that have lines, with ``order_number_back`` (order grain).
 
-    Output: user_id, product_id, the seven features, eval_set, order_id (the
-    future order) and ``reordered`` (label; 0/1 for train pairs, NULL for
-    test pairs and pairs of users without a future order).
-
-    Shuffles at line grain: the order join (J1) and the (user, product)
-    aggregate with partial aggregation.  The label rides along in that
-    aggregate: train lines are tagged and unioned in, not joined afterwards.
-    User rows are joined at pair grain (AQE broadcasts them when small,
-    else a sort-merge join whose skewed partitions AQE splits); product rows
-    are product-grain.
+    Only order ids are taken from the lines (distinct, partially aggregated
+    before the shuffle); the user maximum is an aggregate, joined back at
+    order grain.  No per-user window.
+    """
+    with_lines = (orders.where(F.col("eval_set") == "prior").select("order_id", "user_id", "order_number")
+                  .join(prior_lines.select("order_id").distinct(), "order_id", "left_semi"))
+    umax = with_lines.groupBy("user_id").agg(F.max("order_number").alias("_umax"))
+    return (with_lines.join(umax, "user_id", "inner")
+            .select("order_id", "user_id", "order_number",
+                    (F.col("_umax") - F.col("order_number") + 1).cast("int").alias("order_number_back")))
+
+
+def pair_rollup(orders: DataFrame, prior_lines: DataFrame, train_lines: DataFrame | None = None,
+                last_n: int = 5) -> DataFrame:
+    """One aggregate over all prior lines (and train lines, for the label) by (user, product).
+
+    Columns: user_id, product_id, uxp_total_bought, _n_reordered, _first,
+    _last, times_last5, _label.  Partial aggregation runs before the shuffle,
+    so a hot (user, product) key is combined map-side.
     """
-    op = purchase_history(orders, prior_lines)
-    tagged = (op.join(_order_recency(op), "order_id", "inner")
-              .select("user_id", "product_id", "order_number", "order_number_back", "reordered",
-                      F.lit(None).cast("int").alias("_lab")))
+    lines = (prior_lines.select("order_id", "product_id", "reordered")
+             .join(orders_with_recency(orders, prior_lines), "order_id", "inner")
+             .select("user_id", "product_id", "order_number", "order_number_back", "reordered",
+                     F.lit(None).cast("int").alias("_lab")))
     if train_lines is not None:
         # Label = ``reordered`` of the pair's line in the user's train order.
-        future_lab = (orders.where(F.col("eval_set") == "train").select("order_id", "user_id")
-                      .join(train_lines.select("order_id", "product_id", "reordered"), "order_id", "inner")
-                      .select("user_id", "product_id", F.lit(None).cast("int").alias("order_number"),
-                              F.lit(None).cast("int").alias("order_number_back"),
-                              F.lit(None).cast("int").alias("reordered"),
-                              F.col("reordered").cast("int").alias("_lab")))
-        tagged = tagged.unionByName(future_lab)
-    pairs = (tagged.groupBy("user_id", "product_id").agg(
+        lab = (orders.where(F.col("eval_set") == "train").select("order_id", "user_id")
+               .join(train_lines.select("order_id", "product_id", "reordered"), "order_id", "inner")
+               .select("user_id", "product_id", F.lit(None).cast("int").alias("order_number"),
+                       F.lit(None).cast("int").alias("order_number_back"),
+                       F.lit(None).cast("int").alias("reordered"), F.col("reordered").cast("int").alias("_lab")))
+        lines = lines.unionByName(lab)
+    return (lines.groupBy("user_id", "product_id").agg(
         F.count("order_number").alias("uxp_total_bought"),
         F.sum("reordered").alias("_n_reordered"),
         F.min("order_number").alias("_first"),
@@ -237,6 +244,29 @@ def basket_features(orders: DataFrame, prior_lines: DataFrame, train_lines: Data
         F.max("_lab").alias("_label"))
         .where(F.col("uxp_total_bought") > 0))
 
+
+def basket_features(orders: DataFrame, prior_lines: DataFrame, train_lines: DataFrame | None = None,
+                    min_purchases: int = 40, last_n: int = 5, materialize: bool = True) -> DataFrame:
+    """The whole feature table in one plan (T1-T6 fused).
+
+    Output: user_id, product_id, the seven features, eval_set, order_id (the
+    future order) and ``reordered`` (label; 0/1 for train pairs, NULL for
+    test pairs).
+
+    Line-grain work: one join of the lines with an order-grain table that
+    already carries the recency, and one (user, product) aggregate with
+    partial aggregation; the label rides along in that aggregate (train
+    lines are unioned in, not joined afterwards).  The pair aggregate feeds
+    three consumers (user rows, product rows, the output), so it is
+    checkpointed once (``materialize=True``, reliable checkpoint in the
+    shared folder) instead of being recomputed per consumer.  User rows are
+    joined at pair grain: AQE broadcasts them when measured small, otherwise
+    a sort-merge join whose skewed partitions AQE splits.
+    """
+    pairs = pair_rollup(orders, prior_lines, train_lines, last_n)
+    if materialize:
+        pairs = pairs.checkpoint(eager=True)
+
     user = pairs.groupBy("user_id").agg(
         F.max("_last").cast("int").alias("u_total_orders"),
         (F.sum("_n_reordered") / F.sum("uxp_total_bought")).alias("u_reordered_ratio"))
