@@ -40,13 +40,18 @@ def _partitions_for(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column | str],
-                 values: dict[str, Column], num_partitions: int | None = None) -> DataFrame:
+                 values: dict[str, Column], num_partitions: int | None = None,
+                 with_totals: bool = False):
     """Add, for each name in ``values``, the running sum of that expression.
 
     Sums are inclusive of the current row, over rows of the same group in
     ``order``; ``order`` must be a total order inside a group (ties would
     make the result depend on the partitioning).  ``values`` expressions are
     evaluated on the input rows and must be integral.
+
+    With ``with_totals=True`` returns ``(frame, totals)`` where ``totals``
+    maps each value name to its sum over all rows (taken from the same
+    per-partition summary, no extra pass).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -69,8 +74,10 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Colum
     # Summary: first and last group of every partition with its totals.
     per_group = ranged.groupBy(_PID, *gcols).agg(*[F.sum(tmp[n]).alias(tmp[n]) for n in val_names])
     packed = F.struct(*[F.col(c) for c in gcols], *[F.col(tmp[n]) for n in val_names])
-    bounds = per_group.groupBy(_PID).agg(F.min(packed).alias("first"), F.max(packed).alias("last"))
+    bounds = per_group.groupBy(_PID).agg(F.min(packed).alias("first"), F.max(packed).alias("last"),
+                                         *[F.sum(tmp[n]).alias(tmp[n]) for n in val_names])
     rows = sorted(bounds.collect(), key=lambda r: r[_PID])  # <= one row per partition
+    totals = {n: int(sum(r[tmp[n]] or 0 for r in rows)) for n in val_names}
     ng = len(gcols)
     carry: dict[int, tuple] = {}
     prev_key = None
@@ -125,7 +132,7 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Colum
     result = result.drop(_PID)
     if not group_cols:
         result = result.drop(_GRP)
-    return result
+    return (result, totals) if with_totals else result
 
 
 def grouped_row_number(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column | str],

@@ -91,14 +91,14 @@ def _clustered(pairs: DataFrame, items_df: DataFrame) -> DataFrame:
             .repartition("order_id").sortWithinPartitions("order_id"))
 
 
-def frequent_pairs(lines: DataFrame, min_support: float = 0.02, max_items: int = 5000) -> DataFrame:
-    """B3 (k = 2): item_a < item_b, n_orders, support; pairs with support >= min_support."""
+def _pair_counts(lines: DataFrame, min_support: float, max_items: int):
+    """(frequent pairs by item index, n_baskets, frequent items (id, n_orders), item frame)."""
     spark = lines.sparkSession
     pairs, n_baskets, min_count, rows = _frequent_items(lines, min_support, max_items)
     ids = [r[0] for r in rows]
     n_items = len(ids)
-    items_df = spark.createDataFrame([(pid, i) for i, pid in enumerate(ids)],
-                                     "product_id long, idx int")
+    items_df = spark.createDataFrame([(pid, i, n) for i, (pid, n) in enumerate(rows)],
+                                     "product_id long, idx int, n_orders long")
     schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()),
                            T.StructField("n", T.LongType())])
 
@@ -111,9 +111,15 @@ def frequent_pairs(lines: DataFrame, min_support: float = 0.02, max_items: int =
             yield pd.DataFrame({"a": a.astype("int32"), "b": b.astype("int32"),
                                 "n": c[a, b].astype("int64")})
 
-    counts = (_clustered(pairs, items_df).mapInPandas(cooccur, schema)
+    counts = (_clustered(pairs, items_df.select("product_id", "idx")).mapInPandas(cooccur, schema)
               .groupBy("a", "b").agg(F.sum("n").alias("n_orders"))
               .where(F.col("n_orders") >= F.lit(min_count)))
+    return counts, n_baskets, rows, items_df
+
+
+def frequent_pairs(lines: DataFrame, min_support: float = 0.02, max_items: int = 5000) -> DataFrame:
+    """B3 (k = 2): item_a < item_b, n_orders, support; pairs with support >= min_support."""
+    counts, n_baskets, _, items_df = _pair_counts(lines, min_support, max_items)
     ia = items_df.select(F.col("idx").alias("a"), F.col("product_id").alias("item_a"))
     ib = items_df.select(F.col("idx").alias("b"), F.col("product_id").alias("item_b"))
     return (counts.join(F.broadcast(ia), "a").join(F.broadcast(ib), "b")
@@ -129,15 +135,16 @@ def frequent_triples(lines: DataFrame, min_support: float = 0.002, max_items: in
     ``(X_a * X_b)^T X`` over the frequent pairs (a, b).
     """
     spark = lines.sparkSession
-    fp = frequent_pairs(lines, min_support, max_items)
-    n_pairs = fp.limit(max_pairs + 1).count()
-    if n_pairs > max_pairs:
-        raise ValueError(f"{n_pairs}+ frequent pairs; raise min_support or max_pairs ({max_pairs})")
-    pairs, n_baskets, min_count, rows = _frequent_items(lines, min_support, max_items)
+    counts2, n_baskets, rows, _ = _pair_counts(lines, min_support, max_items)
+    # Frequent pairs by item index; bounded by max_pairs, checked while reading.
+    got = counts2.select("a", "b").limit(max_pairs + 1).collect()
+    if len(got) > max_pairs:
+        raise ValueError(f"{len(got)}+ frequent pairs; raise min_support or max_pairs ({max_pairs})")
+    pairs = lines.select("order_id", "product_id").distinct()
+    min_count = min_support * n_baskets
     ids = [r[0] for r in rows]
-    pos = {pid: i for i, pid in enumerate(ids)}
     n_items = len(ids)
-    fpairs = sorted((pos[r["item_a"]], pos[r["item_b"]]) for r in fp.select("item_a", "item_b").collect())
+    fpairs = sorted((r["a"], r["b"]) for r in got)
     pa = np.array([p[0] for p in fpairs], dtype=np.int64)
     pb = np.array([p[1] for p in fpairs], dtype=np.int64)
     # candidate mask: c > b, (a, c) and (b, c) frequent
@@ -177,10 +184,9 @@ def frequent_triples(lines: DataFrame, min_support: float = 0.002, max_items: in
 def item_support(lines: DataFrame) -> DataFrame:
     """(product_id, n_orders, support) of every item."""
     pairs = lines.select("order_id", "product_id").distinct()
-    n = pairs.agg(F.countDistinct("order_id").alias("_nb"), F.lit(1).alias("_k"))
-    per = pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_orders")).withColumn("_k", F.lit(1))
-    return (per.join(F.broadcast(n), "_k")
-            .select("product_id", "n_orders", (F.col("n_orders") / F.col("_nb")).alias("support")))
+    n_baskets = pairs.select("order_id").distinct().count()
+    return (pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_orders"))
+            .select("product_id", "n_orders", (F.col("n_orders") / F.lit(float(n_baskets))).alias("support")))
 
 
 def association_rules(lines: DataFrame, min_support: float = 0.02, min_confidence: float = 0.0,
@@ -188,19 +194,22 @@ def association_rules(lines: DataFrame, min_support: float = 0.02, min_confidenc
     """Rules antecedent -> consequent over frequent pairs, both directions.
 
     support = n(a, b) / N, confidence = n(a, b) / n(a), lift = confidence / support(b).
+    Both items of a frequent pair are frequent, so their counts come from the
+    bounded frequent-item table (broadcast).
     """
-    fp = frequent_pairs(lines, min_support, max_items)
-    sup = item_support(lines)
+    counts, n_baskets, _, items_df = _pair_counts(lines, min_support, max_items)
+    nb = float(n_baskets)
+    fp = (counts.join(F.broadcast(items_df.select(F.col("idx").alias("a"), F.col("product_id").alias("item_a"),
+                                                  F.col("n_orders").alias("n_a"))), "a")
+          .join(F.broadcast(items_df.select(F.col("idx").alias("b"), F.col("product_id").alias("item_b"),
+                                            F.col("n_orders").alias("n_b"))), "b"))
     both = (fp.select(F.col("item_a").alias("antecedent"), F.col("item_b").alias("consequent"), "n_orders",
-                      "support")
+                      F.col("n_a").alias("_na"), F.col("n_b").alias("_nc"))
             .unionByName(fp.select(F.col("item_b").alias("antecedent"), F.col("item_a").alias("consequent"),
-                                   "n_orders", "support")))
-    ant = sup.select(F.col("product_id").alias("antecedent"), F.col("n_orders").alias("_na"))
-    con = sup.select(F.col("product_id").alias("consequent"), F.col("support").alias("_sc"))
-    r = both.join(ant, "antecedent").join(con, "consequent")
+                                   "n_orders", F.col("n_b").alias("_na"), F.col("n_a").alias("_nc"))))
     conf = F.col("n_orders") / F.col("_na")
-    return (r.select("antecedent", "consequent", "n_orders", "support", conf.alias("confidence"),
-                     (conf / F.col("_sc")).alias("lift"))
+    return (both.select("antecedent", "consequent", "n_orders", (F.col("n_orders") / F.lit(nb)).alias("support"),
+                        conf.alias("confidence"), (conf / (F.col("_nc") / F.lit(nb))).alias("lift"))
             .where(F.col("confidence") >= F.lit(min_confidence)))
 
 

@@ -98,17 +98,14 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
     threshold), tpr, fpr.  The (0, 0) origin is implied, not a row.
     """
     counts = score_counts(df, label, score)
-    cum = running_sums(counts, [], [F.col("threshold").desc()],
-                       {"tp": F.col("pos"), "fp": F.col("neg")})
-    totals = counts.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    # Attach the one-row totals by an equi-join on a constant key (broadcast
-    # of exactly one row).
-    one = F.lit(1).alias("_one")
-    return (cum.select("*", one).join(F.broadcast(totals.select("*", one)), "_one")
-            .select("threshold", "pos", "neg", "tp", "fp",
-                    _safe_div(F.col("tp"), F.col("_P")).alias("tpr"),
-                    _safe_div(F.col("fp"), F.col("_N")).alias("fpr"),
-                    "_P", "_N"))
+    cum, tot = running_sums(counts, [], [F.col("threshold").desc()],
+                            {"tp": F.col("pos"), "fp": F.col("neg")}, with_totals=True)
+    # Totals come from the same partition summary (two numbers on the driver).
+    p_all, n_all = F.lit(tot["tp"]).cast("long"), F.lit(tot["fp"]).cast("long")
+    return cum.select("threshold", "pos", "neg", "tp", "fp",
+                      _safe_div(F.col("tp"), p_all).alias("tpr"),
+                      _safe_div(F.col("fp"), n_all).alias("fpr"),
+                      p_all.alias("_P"), n_all.alias("_N"))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", digits: int = 9) -> DataFrame:
