@@ -94,6 +94,48 @@ def scan_orders(spark, sf):
     return _t(spark, sf)["orders"].select("order_id", "user_id", "eval_set", "order_number")
 
 
+def _csv_tables(spark, sf):
+    """Write the basket tables as headed CSV files (the original layout) and scan them back."""
+    import uuid
+    t = _t(spark, sf)
+    folder = shared_path(spark, "csv", uuid.uuid4().hex)
+    names = {"orders": "orders.csv", "prior_lines": "order_products__prior.csv",
+             "train_lines": "order_products__train.csv", "products": "products.csv",
+             "aisles": "aisles.csv", "departments": "departments.csv"}
+    from ..sources.schemas import TABLE_FILES
+    for name, fname in names.items():
+        cols = [f.name for f in TABLE_FILES[name][1].fields]
+        CSV.write_csv(t[name].select(*cols), f"{folder}/{fname}")
+    return CSV.read_tables(spark, folder)
+
+
+@query("scan_csv_tables", _sql(
+    "SELECT 'orders' AS table_name, count(*) AS n_rows, CAST(sum(order_id) AS BIGINT) AS key_sum FROM ic_orders "
+    "UNION ALL SELECT 'prior_lines', count(*), CAST(sum(order_id + product_id) AS BIGINT) FROM ic_prior "
+    "UNION ALL SELECT 'train_lines', count(*), CAST(sum(order_id + product_id) AS BIGINT) FROM ic_train "
+    "UNION ALL SELECT 'products', count(*), CAST(sum(product_id) AS BIGINT) FROM ic_products "
+    "UNION ALL SELECT 'aisles', count(*), CAST(sum(aisle_id) AS BIGINT) FROM ic_aisles "
+    "UNION ALL SELECT 'departments', count(*), CAST(sum(department_id) AS BIGINT) FROM ic_departments"))
+def scan_csv_tables(spark, sf):
+    """The six tables through CSV with explicit schemas; rows and a key checksum per table."""
+    t = _csv_tables(spark, sf)
+    keys = {"orders": F.col("order_id"), "prior_lines": F.col("order_id") + F.col("product_id"),
+            "train_lines": F.col("order_id") + F.col("product_id"), "products": F.col("product_id"),
+            "aisles": F.col("aisle_id"), "departments": F.col("department_id")}
+    out = None
+    for name, key in keys.items():
+        part = t[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"),
+                           F.sum(key).cast("long").alias("key_sum"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("scan_csv_prior_lines", _sql("SELECT order_id, product_id, reordered FROM ic_prior"))
+def scan_csv_prior_lines(spark, sf):
+    """The prior lines, whole table, read from CSV with the explicit schema."""
+    return _csv_tables(spark, sf)["prior_lines"]
+
+
 @query("head_orders", _sql("SELECT order_id, user_id, eval_set, order_number FROM ic_orders "
                            "ORDER BY order_id LIMIT 10"))
 def head_orders(spark, sf):
@@ -651,3 +693,14 @@ def fp_growth_rules(spark, sf):
                     F.array_join(F.transform("consequent", lambda x: x.cast("string")), " ").alias("consequent"),
                     F.round("confidence", 9).alias("confidence"), F.round("lift", 9).alias("lift"),
                     F.round("support", 9).alias("support"))
+
+
+@query("model_submission")
+def model_submission(spark, sf):
+    """Entry 1 end to end: forest fitted on all training pairs, test pairs scored, threshold 0.21,
+    one line per test order."""
+    t = _t(spark, sf, MODEL_GRAIN)
+    model = M.fit(M.random_forest(), _training(spark, sf))
+    scored = M.score(model, _scoring(spark, sf), threshold=Q.TEST_THRESHOLD)
+    return SUB.submission(scored, t["orders"])
+

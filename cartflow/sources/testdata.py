@@ -101,15 +101,18 @@ def derive_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "order_number"))
 
 
-def derive_lines(spark: SparkSession, sf_dir: str, orders: DataFrame, grain: str) -> DataFrame:
+def derive_lines(spark: SparkSession, sf_dir: str, orders: DataFrame, grain: str,
+                 part_map: DataFrame | None = None) -> DataFrame:
     """Lines of prior and train orders: (order_id, product_id, reordered, eval_set)."""
     lines_src = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     if grain == "item":
         lines = lines_src.select(F.col("l_orderkey").alias("order_id"),
                                  F.col("l_partkey").alias("product_id"))
     else:
-        part = spark.read.parquet(f"{sf_dir}/part.parquet")
-        pmap = product_tables(part, grain)["part_map"]
+        if part_map is None:
+            part_map = product_tables(spark.read.parquet(f"{sf_dir}/part.parquet"), grain)["part_map"]
+        pmap = part_map
+        # part grows with the data: no hint, AQE picks broadcast or shuffle from measured size
         lines = (lines_src.join(pmap, lines_src.l_partkey == pmap.p_partkey, "inner")
                  .select(F.col("l_orderkey").alias("order_id"), "product_id"))
     lines = lines.distinct()
@@ -171,10 +174,10 @@ def load(spark: SparkSession, sf_dir: str, grain: str = "item") -> dict[str, Dat
         if base is None:
             base = shared_path(spark, "basket", _key(sf_dir, grain))
             orders = spark.read.parquet(f"{obase}/orders")
-            (derive_lines(spark, sf_dir, orders, grain)
+            dims = product_tables(spark.read.parquet(f"{sf_dir}/part.parquet"), grain)
+            (derive_lines(spark, sf_dir, orders, grain, dims["part_map"])
              .write.mode("overwrite").partitionBy("eval_set").parquet(f"{base}/lines"))
-            part = spark.read.parquet(f"{sf_dir}/part.parquet")
-            for name, df in product_tables(part, grain).items():
+            for name, df in dims.items():
                 if name != "part_map":
                     df.write.mode("overwrite").parquet(f"{base}/{name}")
             _built[(app, sf_dir, grain)] = base
