@@ -36,6 +36,7 @@ GRAINS = ("item", "category", "brand")
 
 _lock = threading.Lock()
 _built: dict[tuple, str] = {}
+_frames: dict[tuple, dict[str, DataFrame]] = {}
 
 
 def _brand_no(col: str = "p_brand"):
@@ -181,10 +182,15 @@ def load(spark: SparkSession, sf_dir: str, grain: str = "item") -> dict[str, Dat
                 if name != "part_map":
                     df.write.mode("overwrite").parquet(f"{base}/{name}")
             _built[(app, sf_dir, grain)] = base
-    lines = spark.read.parquet(f"{base}/lines")
-    out = {"orders": spark.read.parquet(f"{obase}/orders"),
-           "prior_lines": lines.where(F.col("eval_set") == "prior").drop("eval_set"),
-           "train_lines": lines.where(F.col("eval_set") == "train").drop("eval_set")}
-    for name in ("products", "aisles", "departments"):
-        out[name] = spark.read.parquet(f"{base}/{name}")
-    return out
+        # The scans are built once per session and grain (file listing and
+        # footer reading happen once; DataFrames are immutable plans).
+        frames = _frames.get((app, id(spark), sf_dir, grain))
+        if frames is None:
+            lines = spark.read.parquet(f"{base}/lines")
+            frames = {"orders": spark.read.parquet(f"{obase}/orders"),
+                      "prior_lines": lines.where(F.col("eval_set") == "prior").drop("eval_set"),
+                      "train_lines": lines.where(F.col("eval_set") == "train").drop("eval_set")}
+            for name in ("products", "aisles", "departments"):
+                frames[name] = spark.read.parquet(f"{base}/{name}")
+            _frames[(app, id(spark), sf_dir, grain)] = frames
+    return dict(frames)
