@@ -38,16 +38,17 @@ def baskets(lines: DataFrame) -> DataFrame:
 
 def _frequent_items(lines: DataFrame, min_support: float, max_items: int):
     pairs = lines.select("order_id", "product_id").distinct()
-    n_baskets = pairs.select("order_id").distinct().count()
+    n_baskets = lines.select("order_id").distinct().count()
     min_count = min_support * n_baskets
     items = (pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_orders"))
              .where(F.col("n_orders") >= F.lit(min_count)))
-    # Bounded by avg basket size / min_support; checked before collecting.
-    n_items = items.limit(max_items + 1).count()
-    if n_items > max_items:
-        raise ValueError(f"{n_items}+ frequent items at support {min_support}; raise min_support "
+    # Bounded by avg basket size / min_support; the bound is checked while
+    # reading (at most max_items + 1 rows reach the driver).
+    got = items.limit(max_items + 1).collect()
+    if len(got) > max_items:
+        raise ValueError(f"{len(got)}+ frequent items at support {min_support}; raise min_support "
                          f"or max_items ({max_items})")
-    rows = sorted((r["product_id"], r["n_orders"]) for r in items.collect())
+    rows = sorted((r["product_id"], r["n_orders"]) for r in got)
     return pairs, n_baskets, min_count, rows
 
 
@@ -184,7 +185,7 @@ def frequent_triples(lines: DataFrame, min_support: float = 0.002, max_items: in
 def item_support(lines: DataFrame) -> DataFrame:
     """(product_id, n_orders, support) of every item."""
     pairs = lines.select("order_id", "product_id").distinct()
-    n_baskets = pairs.select("order_id").distinct().count()
+    n_baskets = lines.select("order_id").distinct().count()
     return (pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_orders"))
             .select("product_id", "n_orders", (F.col("n_orders") / F.lit(float(n_baskets))).alias("support")))
 
