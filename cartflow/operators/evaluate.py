@@ -14,7 +14,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.ordering import running_sums
 
@@ -156,6 +155,5 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float], label: str = "la
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
-    """The grid value with the highest F1 (ties: lowest threshold)."""
-    w = Window.orderBy(F.col("f1").desc(), F.col("threshold").asc())
-    return sweep.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The grid value with the highest F1 (ties: lowest threshold); a top-1 report."""
+    return sweep.orderBy(F.col("f1").desc(), F.col("threshold").asc()).limit(1)

@@ -84,10 +84,6 @@ def _sql(select: str, *blocks: str, grain: str = FEATURE_GRAIN) -> str:
     return with_adapter(Q.ctes(*blocks) if blocks else "", select, grain)
 
 
-def _r(col: str, digits: int = 9) -> str:
-    return f"round({col}, {digits}) AS {col.split('.')[-1]}"
-
-
 # ----------------------------------------------------------------- 2.1 scans
 @query("scan_orders", _sql("SELECT order_id, user_id, eval_set, order_number FROM ic_orders"))
 def scan_orders(spark, sf):
@@ -360,6 +356,24 @@ def threshold_sweep(spark, sf):
     return E.threshold_sweep(_validation(spark, sf), Q.SWEEP_GRID)
 
 
+@query("best_threshold", _sql(
+    "SELECT threshold, tp, fp, fn, precision, recall, f1 FROM sweep ORDER BY f1 DESC, threshold LIMIT 1",
+    Q.ALL_FEATURES, Q.TRAIN, Q.VAL,
+    "sweep AS (SELECT threshold, tp, fp, fn, "
+    "CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS precision, "
+    "CASE WHEN P_ > 0 THEN CAST(tp AS DOUBLE) / CAST(P_ AS DOUBLE) ELSE 0.0 END AS recall, "
+    "CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0.0 END AS f1 "
+    "FROM (SELECT g.threshold, count(*) FILTER (WHERE v.label = 1 AND v.score >= g.threshold) AS tp, "
+    "count(*) FILTER (WHERE v.label <> 1 AND v.score >= g.threshold) AS fp, "
+    "count(*) FILTER (WHERE v.label = 1 AND v.score < g.threshold) AS fn, "
+    "count(*) FILTER (WHERE v.label = 1) AS P_ "
+    f"FROM (VALUES {_GRID_SQL}) g(threshold), val v GROUP BY g.threshold))",
+    grain=MODEL_GRAIN))
+def best_threshold(spark, sf):
+    """The grid threshold with the best validation F1."""
+    return E.best_threshold(E.threshold_sweep(_validation(spark, sf), Q.SWEEP_GRID))
+
+
 # ----------------------------------------------------------------- 2.9 metrics
 def _div(a, b):
     return f"CASE WHEN ({b}) <> 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) ELSE 0.0 END"

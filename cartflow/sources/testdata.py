@@ -26,7 +26,6 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.broadcast import bounded_broadcast
 from ..functions.ordering import grouped_row_number
@@ -45,15 +44,16 @@ def _brand_no(col: str = "p_brand"):
 
 
 def _type_codes(part: DataFrame) -> DataFrame:
-    """department_id: dense rank of the type name (dictionary encoding, P9).
+    """department_id: 1 + index of the type name in alphabetical order.
 
-    The window has no partitioning but runs over the distinct type names
-    only (a handful; bounded by the type vocabulary, not by the data).
+    ``StringIndexer`` collects the distinct names (the type vocabulary, a
+    handful; not the data) and encodes them; the codes table has one row per
+    distinct name.
     """
+    from pyspark.ml.feature import StringIndexer
     types = part.select(F.col("p_type").alias("department")).distinct()
-    return types.select(
-        F.dense_rank().over(Window.orderBy("department")).cast("int").alias("department_id"),
-        "department")
+    model = StringIndexer(inputCol="department", outputCol="_idx", stringOrderType="alphabetAsc").fit(types)
+    return model.transform(types).select((F.col("_idx") + 1).cast("int").alias("department_id"), "department")
 
 
 def product_tables(part: DataFrame, grain: str) -> dict[str, DataFrame]:
