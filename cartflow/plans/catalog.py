@@ -305,6 +305,11 @@ def training_set_item(spark, sf):
     return _training(spark, sf, FEATURE_GRAIN)
 
 
+@query("training_set_brand", _sql(f"SELECT * FROM tr", Q.ALL_FEATURES, Q.TRAIN, grain=BASKET_GRAIN))
+def training_set_brand(spark, sf):
+    return _training(spark, sf, BASKET_GRAIN)
+
+
 @query("scoring_set", _sql(f"SELECT user_id, product_id, {Q.FEATURE_COLS}, order_id FROM data "
                            "WHERE eval_set = 'test'", Q.ALL_FEATURES, grain=MODEL_GRAIN))
 def scoring_set(spark, sf):
