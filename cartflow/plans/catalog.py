@@ -625,8 +625,15 @@ def top_departments(spark, sf):
 
 
 # ----------------------------------------------------------------- 2.8 models (rows only)
-def _fit_and_validate(spark, sf, estimator_fn):
+def _split_training(spark, sf):
+    """Training pairs with their split, checkpointed once: fitting and validation
+    scoring read the same materialised rows instead of rebuilding the features."""
     tr = S.split_rows(_training(spark, sf), Q.VALIDATION_SHARE, Q.SPLIT_SEED)
+    return tr.checkpoint(eager=True)
+
+
+def _fit_and_validate(spark, sf, estimator_fn, tr=None):
+    tr = _split_training(spark, sf) if tr is None else tr
     fit_part = tr.where(F.col("split") == "train")
     val = tr.where(F.col("split") == "validation")
     est = estimator_fn(fit_part)
@@ -671,7 +678,7 @@ def split_importance(spark, sf):
 
 @query("grid_search")
 def grid_search(spark, sf):
-    tr = S.split_rows(_training(spark, sf), Q.VALIDATION_SHARE, Q.SPLIT_SEED).where(F.col("split") == "train")
+    tr = _split_training(spark, sf).where(F.col("split") == "train")
     return M.grid_search(tr)[1]
 
 
@@ -684,10 +691,11 @@ def model_params(spark, sf):
 def model_comparison(spark, sf):
     """AUC (Spark's evaluator), rank-sum AUC and F1 per model on the same validation rows."""
     rows = []
+    tr = _split_training(spark, sf)
     for name, fn in (("logistic_regression", _lr), ("random_forest", lambda _: M.random_forest()),
                      ("gradient_boosting", lambda _: M.gradient_boosting()),
                      ("decision_tree", lambda _: M.decision_tree())):
-        scored = _fit_and_validate(spark, sf, fn)[1].persist()
+        scored = _fit_and_validate(spark, sf, fn, tr)[1].checkpoint(eager=True)
         auc = E.roc_auc(scored).select(F.lit(name).alias("model"), "auc")
         f1 = E.f1_binary(scored).select(F.lit(name).alias("model"), "f1")
         rows.append(auc.join(f1, "model"))
@@ -719,7 +727,10 @@ def model_submission(spark, sf):
     """Entry 1 end to end: forest fitted on all training pairs, test pairs scored, threshold 0.21,
     one line per test order."""
     t = _t(spark, sf, MODEL_GRAIN)
-    model = M.fit(M.random_forest(), _training(spark, sf))
-    scored = M.score(model, _scoring(spark, sf), threshold=Q.TEST_THRESHOLD)
+    data = _features(spark, sf, MODEL_GRAIN).checkpoint(eager=True)   # train and test pairs, built once
+    train = data.where(F.col("eval_set") == "train").select("user_id", "product_id", *FT.FEATURES, "reordered")
+    test = data.where(F.col("eval_set") == "test").select("user_id", "product_id", *FT.FEATURES, "order_id")
+    model = M.fit(M.random_forest(), train)
+    scored = M.score(model, test, threshold=Q.TEST_THRESHOLD)
     return SUB.submission(scored, t["orders"])
 
