@@ -169,6 +169,31 @@ def user_product_features(op: DataFrame, last_n: int = 5) -> DataFrame:
         "times_last5")
 
 
+def user_features_stepwise(op: DataFrame) -> DataFrame:
+    """T2 as two aggregates and a left join."""
+    return user_total_orders(op).join(user_reorder_ratio(op), "user_id", "left")
+
+
+def product_features_stepwise(op: DataFrame, min_purchases: int = 40) -> DataFrame:
+    """T3 as count, ratio of the big products, left join (J3) and fill 0."""
+    return (product_purchases(op).join(product_reorder_ratio(op, min_purchases), "product_id", "left")
+            .fillna(0.0, subset=["p_reorder_ratio"]))
+
+
+def user_product_features_stepwise(op: DataFrame, last_n: int = 5) -> DataFrame:
+    """T4 as pair count, pair ratio and last-n count, left-joined (J6) and filled with 0.
+
+    ``fillna`` on the whole table touches numeric columns only (Spark); the
+    only missing values here are last-n counts of pairs absent from the last
+    n orders.
+    """
+    return (pair_times_bought(op)
+            .join(pair_reorder_ratio(op), ["user_id", "product_id"], "left")
+            .join(pair_times_last_n(op, last_n), ["user_id", "product_id"], "left")
+            .fillna(0)
+            .select("user_id", "product_id", "uxp_total_bought", "uxp_reorder_ratio", "times_last5"))
+
+
 # --------------------------------------------------------------------------- T5/T6
 def future_orders(orders: DataFrame) -> DataFrame:
     """F2 + P1: each user's train or test order."""

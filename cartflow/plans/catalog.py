@@ -279,6 +279,23 @@ def pair_features(spark, sf):
     return FT.user_product_features(_op(spark, sf), Q.LAST_N)
 
 
+@query("user_features_stepwise", _sql("SELECT user_id, u_total_orders, u_reordered_ratio FROM u", Q.OP, Q.USER))
+def user_features_stepwise(spark, sf):
+    return FT.user_features_stepwise(_op(spark, sf))
+
+
+@query("product_features_stepwise", _sql("SELECT product_id, p_total_purchases, p_reorder_ratio FROM p",
+                                         Q.OP, Q.PRODUCT))
+def product_features_stepwise(spark, sf):
+    return FT.product_features_stepwise(_op(spark, sf), Q.MIN_PURCHASES)
+
+
+@query("pair_features_stepwise", _sql("SELECT user_id, product_id, uxp_total_bought, uxp_reorder_ratio, "
+                                      "times_last5 FROM uxp", Q.OP, Q.USER, Q.BACK, Q.UXP))
+def pair_features_stepwise(spark, sf):
+    return FT.user_product_features_stepwise(_op(spark, sf), Q.LAST_N)
+
+
 # ----------------------------------------------------------------- T5 / T6
 @query("feature_table", _sql(f"SELECT user_id, product_id, {Q.FEATURE_COLS}, eval_set, order_id FROM data",
                              Q.ALL_FEATURES))
