@@ -32,7 +32,7 @@ def baskets(lines: DataFrame) -> DataFrame:
     A basket is bounded by the product catalogue.
     """
     b = lines.groupBy("order_id").agg(F.array_sort(F.collect_set("product_id")).alias("items"))
-    return b.select("order_id", "items", F.size("items").alias("n_items"),
+    return b.select("order_id", "items", F.size("items").cast("long").alias("n_items"),
                     F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("products"))
 
 

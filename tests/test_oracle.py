@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tools.oracle_check import TABLES, digest
+from tools.oracle_check import TABLES, digest, type_mismatches
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,9 +28,11 @@ def _names():
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, con, name):
     import __spark_entry__ as E
-    sdf = E.queries()[name](spark, SF).toPandas()
+    frame = E.queries()[name](spark, SF)
+    sdf = frame.toPandas()
     ddf = con.execute(E.oracle_sql()[name]).df()
     assert sorted(sdf.columns) == sorted(ddf.columns)
+    assert type_mismatches(frame, con.sql(E.oracle_sql()[name])) == {}
     assert len(sdf) == len(ddf)
     assert digest(sdf) == digest(ddf)
 
