@@ -69,15 +69,19 @@ def fit(estimator, train: DataFrame, features: Sequence[str] = FEATURES) -> Pipe
 
 def score(model: PipelineModel, df: DataFrame, threshold: float | None = None,
           keep: Sequence[str] = ("user_id", "product_id")) -> DataFrame:
-    """score = P(class 1); prediction at the model's 0.5 or at ``threshold``.
+    """score = P(class 1); ``prediction`` at ``threshold`` (inclusive).
 
-    Rows keep their keys (no positional alignment).
+    ``prediction_default`` is the model's own class (probability 0.5 rule,
+    M8); without a threshold both columns are that class.  Rows keep their
+    keys (no positional alignment).
     """
     out = model.transform(df)
     s = vector_to_array("probability")[1]
-    pred = (s >= F.lit(float(threshold))).cast("int") if threshold is not None else F.col("prediction").cast("int")
+    default = F.col("prediction").cast("int")
+    pred = (s >= F.lit(float(threshold))).cast("int") if threshold is not None else default
     extra = [c for c in ("label", "reordered", "order_id") if c in df.columns and c not in keep]
-    return out.select(*keep, *extra, s.alias("score"), pred.alias("prediction"))
+    return out.select(*keep, *extra, s.alias("score"), pred.alias("prediction"),
+                      default.alias("prediction_default"))
 
 
 def auc(scored: DataFrame, label: str = "label") -> float:
