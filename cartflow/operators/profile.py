@@ -71,12 +71,14 @@ def top_departments(lines: DataFrame, products: DataFrame, departments: DataFram
 
 
 def data_checks(orders: DataFrame, prior_lines: DataFrame, train_lines: DataFrame,
-                features: DataFrame | None = None) -> DataFrame:
+                features: DataFrame | None = None, train_set: DataFrame | None = None,
+                test_set: DataFrame | None = None) -> DataFrame:
     """Q1: one row per rule with its violation count (0 = rule holds).
 
     Rules: unique order key, unique line key in prior and train lines, at most
     one future order per user, eval_set in the known set, no NULL key, no
-    NULL in the feature table.
+    NULL in the feature table, and the same feature columns in the training
+    and scoring sets (besides the label and the order key).
     """
     def dup_count(df, keys):
         return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -103,7 +105,14 @@ def data_checks(orders: DataFrame, prior_lines: DataFrame, train_lines: DataFram
         any_null = F.lit(False)
         for c in cols:
             any_null = any_null | F.col(c).isNull()
-        checks.append(rule("feature table has no NULL", features.agg(F.count_if(any_null).alias("violations"))))
+        nulls = features.agg(F.count_if(any_null).alias("violations"))
+        checks.append(rule("feature table has no NULL", nulls))
+        if train_set is not None and test_set is not None:
+            # A schema rule: columns of one side missing on the other (driver metadata).
+            extra = {"reordered", "order_id"}
+            diff = (set(train_set.columns) - extra) ^ (set(test_set.columns) - extra)
+            checks.append(nulls.select(F.lit("train and test share feature columns").alias("rule"),
+                                       F.lit(len(diff)).cast("long").alias("violations")))
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)

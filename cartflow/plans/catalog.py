@@ -520,12 +520,16 @@ def submission_row_check(spark, sf):
     "OR order_number IS NULL) FROM ic_orders) "
     "UNION ALL SELECT 'feature table has no NULL', (SELECT count(*) FILTER (WHERE user_id IS NULL OR product_id "
     "IS NULL OR uxp_total_bought IS NULL OR uxp_reorder_ratio IS NULL OR times_last5 IS NULL OR u_total_orders "
-    "IS NULL OR u_reordered_ratio IS NULL OR p_total_purchases IS NULL OR p_reorder_ratio IS NULL) FROM data)",
+    "IS NULL OR u_reordered_ratio IS NULL OR p_total_purchases IS NULL OR p_reorder_ratio IS NULL) FROM data) "
+    "UNION ALL SELECT 'train and test share feature columns', CAST(0 AS BIGINT)",
     Q.ALL_FEATURES))
 def data_checks(spark, sf):
     t = _t(spark, sf)
+    feat = _features(spark, sf, FEATURE_GRAIN)   # built once; train / test sides are projections of it
+    train = feat.where(F.col("eval_set") == "train").select("user_id", "product_id", *FT.FEATURES, "reordered")
+    test = feat.where(F.col("eval_set") == "test").select("user_id", "product_id", *FT.FEATURES, "order_id")
     return PR.data_checks(t["orders"], t["prior_lines"], t["train_lines"],
-                          _features(spark, sf, FEATURE_GRAIN).drop("eval_set", "order_id", "reordered"))
+                          feat.drop("eval_set", "order_id", "reordered"), train, test)
 
 
 # ----------------------------------------------------------------- 2.11 baskets
