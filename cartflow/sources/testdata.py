@@ -27,11 +27,11 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.broadcast import bounded_broadcast
 from ..functions.ordering import grouped_row_number
 from ..session import shared_path
 
 GRAINS = ("item", "category", "brand")
+_MAX_TYPES = 10_000  # broadcast bound of the type dictionary
 
 _lock = threading.Lock()
 _built: dict[tuple, str] = {}
@@ -46,19 +46,23 @@ def _brand_no(col: str = "p_brand"):
 def _type_codes(part: DataFrame) -> DataFrame:
     """department_id: 1 + index of the type name in alphabetical order.
 
-    ``StringIndexer`` collects the distinct names (the type vocabulary, a
-    handful; not the data) and encodes them; the codes table has one row per
-    distinct name.
+    ``StringIndexer`` gathers the distinct names (the type vocabulary, a
+    handful, not the data) with one aggregation; its label list is the
+    whole dictionary, so the codes table is built from it directly and its
+    size is known.
     """
     from pyspark.ml.feature import StringIndexer
     types = part.select(F.col("p_type").alias("department")).distinct()
-    model = StringIndexer(inputCol="department", outputCol="_idx", stringOrderType="alphabetAsc").fit(types)
-    return model.transform(types).select((F.col("_idx") + 1).cast("int").alias("department_id"), "department")
+    labels = StringIndexer(inputCol="department", outputCol="_idx",
+                           stringOrderType="alphabetAsc").fit(types).labelsArray[0]
+    codes = part.sparkSession.createDataFrame([(i + 1, name) for i, name in enumerate(labels)],
+                                              "department_id int, department string")
+    return F.broadcast(codes) if len(labels) <= _MAX_TYPES else codes
 
 
 def product_tables(part: DataFrame, grain: str) -> dict[str, DataFrame]:
     """products / aisles / departments for a grain, plus the part -> product map."""
-    codes = bounded_broadcast(_type_codes(part), 10_000)
+    codes = _type_codes(part)
     p = part.join(codes, part.p_type == codes.department, "inner")
     brand = _brand_no()
     if grain == "item":
