@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 # Dimension tables (products, aisles, departments) are bounded by the
 # catalogue, not by the number of orders; still, the bound is checked.
-DEFAULT_MAX_ROWS = 2_000_000
+DEFAULT_MAX_ROWS = 1_000_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """Return ``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
 
-    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan
-    early), so proving the bound costs a small job on a small table.  Above
-    the bound the frame is returned unhinted: Spark plans a shuffle join and
-    AQE may still switch to a broadcast from measured shuffle sizes.
+    The bound is proven by an exact, distributed count (partial counts per
+    task, only numbers move; a parquet scan answers it from footers).  A
+    ``limit(n).count()`` would instead move up to n rows per partition into
+    one task.  Above the bound the frame is returned unhinted: Spark plans a
+    shuffle join and AQE may still broadcast from measured shuffle sizes.
     """
-    n = df.limit(max_rows + 1).count()
+    n = df.count()
     return F.broadcast(df) if n <= max_rows else df

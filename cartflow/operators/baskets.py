@@ -42,13 +42,18 @@ def _frequent_items(lines: DataFrame, min_support: float, max_items: int):
     min_count = min_support * n_baskets
     items = (pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_orders"))
              .where(F.col("n_orders") >= F.lit(min_count)))
-    # Bounded by avg basket size / min_support; the bound is checked while
-    # reading (at most max_items + 1 rows reach the driver).
-    got = items.limit(max_items + 1).collect()
-    if len(got) > max_items:
-        raise ValueError(f"{len(got)}+ frequent items at support {min_support}; raise min_support "
-                         f"or max_items ({max_items})")
-    rows = sorted((r["product_id"], r["n_orders"]) for r in got)
+    # Bounded by avg basket size / min_support; the bound is checked by a
+    # distributed count before anything is collected (product grain, kept
+    # in memory for the two passes).
+    items = items.persist()
+    try:
+        n_items = items.count()
+        if n_items > max_items:
+            raise ValueError(f"{n_items} frequent items at support {min_support}; raise min_support "
+                             f"or max_items ({max_items})")
+        rows = sorted((r["product_id"], r["n_orders"]) for r in items.collect())
+    finally:
+        items.unpersist()
     return pairs, n_baskets, min_count, rows
 
 
@@ -137,10 +142,16 @@ def frequent_triples(lines: DataFrame, min_support: float = 0.002, max_items: in
     """
     spark = lines.sparkSession
     counts2, n_baskets, rows, _ = _pair_counts(lines, min_support, max_items)
-    # Frequent pairs by item index; bounded by max_pairs, checked while reading.
-    got = counts2.select("a", "b").limit(max_pairs + 1).collect()
-    if len(got) > max_pairs:
-        raise ValueError(f"{len(got)}+ frequent pairs; raise min_support or max_pairs ({max_pairs})")
+    # Frequent pairs by item index; bounded by max_pairs, checked by a
+    # distributed count before they are collected.
+    counts2 = counts2.select("a", "b").persist()
+    try:
+        n_pairs = counts2.count()
+        if n_pairs > max_pairs:
+            raise ValueError(f"{n_pairs} frequent pairs; raise min_support or max_pairs ({max_pairs})")
+        got = counts2.collect()
+    finally:
+        counts2.unpersist()
     pairs = lines.select("order_id", "product_id").distinct()
     min_count = min_support * n_baskets
     ids = [r[0] for r in rows]
