@@ -53,11 +53,14 @@ def _type_codes(part: DataFrame) -> DataFrame:
     """
     from pyspark.ml.feature import StringIndexer
     types = part.select(F.col("p_type").alias("department")).distinct()
+    n_types = types.count()  # distributed; the dictionary goes to the driver only below the bound
+    if n_types > _MAX_TYPES:
+        raise ValueError(f"{n_types} distinct types; a dictionary above {_MAX_TYPES} is not gathered")
     labels = StringIndexer(inputCol="department", outputCol="_idx",
                            stringOrderType="alphabetAsc").fit(types).labelsArray[0]
     codes = part.sparkSession.createDataFrame([(i + 1, name) for i, name in enumerate(labels)],
                                               "department_id int, department string")
-    return F.broadcast(codes) if len(labels) <= _MAX_TYPES else codes
+    return F.broadcast(codes)  # len(labels) <= _MAX_TYPES
 
 
 def product_tables(part: DataFrame, grain: str) -> dict[str, DataFrame]:
