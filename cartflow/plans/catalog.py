@@ -312,17 +312,17 @@ def feature_table_stepwise(spark, sf):
                             FT.product_features(op, Q.MIN_PURCHASES), t["orders"])
 
 
-@query("training_set", _sql(f"SELECT * FROM tr", Q.ALL_FEATURES, Q.TRAIN, grain=MODEL_GRAIN))
+@query("training_set", _sql("SELECT * FROM tr", Q.ALL_FEATURES, Q.TRAIN, grain=MODEL_GRAIN))
 def training_set(spark, sf):
     return _training(spark, sf)
 
 
-@query("training_set_item", _sql(f"SELECT * FROM tr", Q.ALL_FEATURES, Q.TRAIN))
+@query("training_set_item", _sql("SELECT * FROM tr", Q.ALL_FEATURES, Q.TRAIN))
 def training_set_item(spark, sf):
     return _training(spark, sf, FEATURE_GRAIN)
 
 
-@query("training_set_brand", _sql(f"SELECT * FROM tr", Q.ALL_FEATURES, Q.TRAIN, grain=BASKET_GRAIN))
+@query("training_set_brand", _sql("SELECT * FROM tr", Q.ALL_FEATURES, Q.TRAIN, grain=BASKET_GRAIN))
 def training_set_brand(spark, sf):
     return _training(spark, sf, BASKET_GRAIN)
 
