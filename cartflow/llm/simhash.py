@@ -66,13 +66,13 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as the long with the same bits.  One pass, no shuffle."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns and ``fp``, the fingerprint as the long with the same bits.  One pass, no shuffle."""
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprint(t, shingle) for t in texts_of(batch)], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs, [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")], f"doc_id {kind}, fp long", make)
+        found = np.array([fingerprint(t, shingle) for t in texts_of(batch, "_text")], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found)], [*keep, "fp"])
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "fp long"])
+    return map_batches(docs, [F.col(text_col).alias("_text"), *[F.col(f"`{c}`") for c in keep]], schema, make)
 
 
 def band_masks(distance: int) -> list[int]:
@@ -223,15 +223,31 @@ def links(classes: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> D
     return by_list.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fp (long) and component_id, the smallest id reachable over links within the distance."""
-    fps = cut(fingerprints(docs, shingle, id_col, text_col))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")).where("rep is not null"))
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id",
+                    text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: the id, the kept columns, ``fp`` (long) and ``component_id``, the smallest id reachable over links within the distance."""
+    fps = cut(fingerprints(docs, shingle, text_col, (id_col, *keep)))
+    classes = cut(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")).where("rep is not null"))
     groups = components(links(classes, distance))
     classes = cut(classes.join(groups, classes.rep == groups.node, "left")
                   .select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(classes, "fp", "left").select(id_col, *keep, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of each group, once, with the columns of ``docs``.
+
+    Rows without an id are told apart by their fingerprint only.
+    """
+    columns = docs.columns
+    marked = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    groups = near_duplicates(marked, shingle, distance, id_col, text_col, ("_row",))
+    firsts = (groups.where(F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id")))
+              .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp"))
+              .agg(F.min("_row").alias("_row")).select("_row", F.col("component_id").alias("_id")))
+    firsts = cut(firsts)
+    on = (marked["_row"] == firsts["_row"]) & marked[id_col].eqNullSafe(firsts["_id"])
+    return marked.join(firsts, on, "left_semi").dropDuplicates([id_col, "_row"]).select(*[f"`{c}`" for c in columns])
 
 
 def fingerprint_hex(fp: Column) -> Column:
