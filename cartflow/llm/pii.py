@@ -49,28 +49,30 @@ OTHER_USE = r"(?i)(version|licen[sc]e|cc |by-|page|chapter|no\.|token|password|k
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def placed(text: Column, pattern: str, guard: Column) -> Column:
-    """All matches of a pattern: array of struct(hit, start, end, left, right).
+def with_places(docs: DataFrame, text: Column, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds a column for each name: all matches of its pattern as array of struct(hit, start, end, left, right).
 
     Matches and the gaps between them come from the same pattern, so lengths
-    of both, added up, give the places.
+    of both, added up, give the places.  Texts that fail the guard have none.
     """
-    hits = F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    gaps = F.split(text, pattern, -1)
+    none = F.array().cast("array<string>")
+    docs = docs.withColumns({f"_h_{n}": F.when(guard, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none)
+                             for n, (p, guard) in patterns.items()})
+    docs = docs.withColumns({f"_p_{n}": F.when(F.size(f"_h_{n}") > 0, F.split(text, p, -1)).otherwise(none) for n, (p, _) in patterns.items()})
     empty = F.array().cast("array<struct<hit:string,start:int,end:int,left:string,right:string>>")
-    steps = F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        row = F.struct(x["hit"].alias("hit"), start.alias("start"), end.alias("end"),
-                       F.right(x["gap"], F.lit(CONTEXT)).alias("left"),
-                       F.left(F.coalesce(F.element_at(gaps, F.size(acc["out"]) + 2), F.lit("")), F.lit(CONTEXT)).alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def places(n: str) -> Column:
+        def step(acc: Column, hit: Column) -> Column:
+            i = F.size(acc["out"])
+            gap, after = F.get(F.col(f"_p_{n}"), i), F.get(F.col(f"_p_{n}"), i + 1)
+            start = acc["at"] + F.length(gap)
+            end = start + F.length(hit)
+            row = F.struct(hit.alias("hit"), start.alias("start"), end.alias("end"),
+                           F.right(gap, F.lit(CONTEXT)).alias("left"), F.left(after, F.lit(CONTEXT)).alias("right"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+        return F.aggregate(F.col(f"_h_{n}"), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
-    found = F.aggregate(F.filter(steps, lambda s: s["hit"].isNotNull()),
-                        F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, found).otherwise(empty)
+    return docs.withColumns({n: places(n) for n in patterns}).drop(*[f"_{x}_{n}" for n in patterns for x in "hp"])
 
 
 def digits_of(hit: Column) -> Column:
@@ -91,8 +93,8 @@ def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     guards = [F.contains(text, F.lit("@")), F.contains(text, F.lit(".")) & text.rlike("[0-9]"), text.rlike("[0-9][ -]?[0-9]"),
               F.contains(text, F.lit("+"))]
-    found = {f"_f{k}": placed(text, p, g) for k, (p, g) in enumerate(zip((EMAIL, IP, CARD, PHONE), guards))}
-    docs = docs.withColumns(found)
+    found = {f"_f{k}": pair for k, pair in enumerate(zip((EMAIL, IP, CARD, PHONE), guards))}
+    docs = with_places(docs, text, found)
 
     def valid(k: int, check) -> Column:
         return F.transform(F.filter(F.col(f"_f{k}"), lambda s: check(s["hit"])),
@@ -105,8 +107,8 @@ def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``_cand``: candidate spans with kind and features, of all generators."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.withColumns({"_g0": placed(text, SPELLED, F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]")),
-                             "_g1": placed(text, NUMBER, text.rlike("[0-9]"))})
+    docs = with_places(docs, text, {"_g0": (SPELLED, F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]")),
+                                    "_g1": (NUMBER, text.rlike("[0-9]"))})
     number = F.filter("_g1", lambda s: F.length(digits_of(s["hit"])) >= 5)
 
     def described(s: Column, generator: int) -> Column:
