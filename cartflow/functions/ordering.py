@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,6 +101,9 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Colum
     out_schema = T.StructType(out_fields + [T.StructField(n, T.LongType(), False) for n in val_names])
     keep = [f.name for f in out_fields]
 
+    def _null_safe(row):
+        return tuple(None if pd.isna(v) else v for v in row.tolist())
+
     def number(batches):
         state_key = None
         state_run = None
@@ -108,10 +112,11 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Colum
                 continue
             pid = int(pdf[_PID].iat[0])
             keys = pdf[gcols]
-            change = (keys != keys.shift()).any(axis=1)
+            before = keys.shift()
+            change = ((keys != before) & ~(keys.isna() & before.isna())).any(axis=1)  # NULL keys are equal
             gid = change.cumsum()
             out = pdf[keep].copy()
-            first_key = tuple(keys.iloc[0].tolist())
+            first_key = _null_safe(keys.iloc[0])
             if state_key is not None and first_key == state_key:
                 base = state_run
             elif state_key is None and pid in carry and carry[pid][0] == first_key:
@@ -123,7 +128,7 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Colum
                 if base is not None:
                     cs = cs + (gid == gid.iat[0]) * base[i]
                 out[n] = cs.astype("int64")
-            state_key = tuple(keys.iloc[-1].tolist())
+            state_key = _null_safe(keys.iloc[-1])
             last_mask = gid == gid.iat[-1]
             state_run = tuple(int(out[n][last_mask].iat[-1]) for n in val_names)
             yield out

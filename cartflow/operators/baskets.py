@@ -2,17 +2,10 @@
 
 Frequent pairs and triples are counted level-wise (Apriori): only frequent
 items can be in a frequent pair, only triples whose three sub-pairs are
-frequent can be frequent.  The counting does not list the pairs of each
-basket (a self-join on the order): every partition of order lines,
-clustered by order, turns its baskets into a 0/1 matrix over the frequent
-items and adds up ``X^T X`` (pairs) or ``(X_a * X_b)^T X`` (triples) with
-numpy.  A partition emits at most one row per candidate, whatever its
-basket sizes; Spark then sums the partial counts by candidate.
-
-The number of frequent items is bounded by ``average basket size /
-min_support`` (every frequent item fills at least ``min_support`` of the
-baskets); the list is checked against ``max_items`` before it is shipped
-to the tasks.
+frequent can be frequent.  Frequent items and pairs stay DataFrames, joined
+by key; nothing is gathered on the driver and no size stops a job.  Tasks
+count the pairs or triples of their baskets chunk by chunk, equal ones added
+up before the shuffle, and Spark sums the partial counts.
 """
 
 from __future__ import annotations
@@ -21,9 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_CHUNK = 4096  # baskets per matrix block
+_CHUNK = 500_000  # pairs or triples that a task holds before it adds up equal ones
 
 
 def baskets(lines: DataFrame) -> DataFrame:
@@ -36,185 +28,108 @@ def baskets(lines: DataFrame) -> DataFrame:
                     F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("products"))
 
 
-def _frequent_items(lines: DataFrame, min_support: float, max_items: int):
-    pairs = lines.select("order_id", "product_id").distinct()
-    n_baskets = lines.select("order_id").distinct().count()
+def _frequent_items(lines: DataFrame, min_support: float):
+    """(distinct order items, number of baskets, least count, frequent items with n_orders)."""
+    pairs = lines.select("order_id", "product_id").distinct().checkpoint(eager=True)
+    n_baskets = pairs.select("order_id").distinct().count()
     min_count = min_support * n_baskets
     items = (pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_orders"))
-             .where(F.col("n_orders") >= F.lit(min_count)))
-    # Bounded by avg basket size / min_support; the bound is checked by a
-    # distributed count before anything is collected (product grain, kept
-    # in memory for the two passes).
-    items = items.persist()
-    try:
-        n_items = items.count()
-        if n_items > max_items:
-            raise ValueError(f"{n_items} frequent items at support {min_support}; raise min_support "
-                             f"or max_items ({max_items})")
-        rows = sorted((r["product_id"], r["n_orders"]) for r in items.collect())
-    finally:
-        items.unpersist()
-    return pairs, n_baskets, min_count, rows
-
-
-def _blocks(batches, n_items: int):
-    """Yield 0/1 basket x item matrices from (order_id, idx) batches sorted by order.
-
-    Lines of one order may straddle two Arrow batches: the last order of a
-    batch is held back and prepended to the next.
-    """
-    carry = None
+             .where(F.col("n_orders") >= F.lit(min_count))).checkpoint(eager=True)
+    return pairs, n_baskets, min_count, items
+
+
+def _summed(columns: list[list[np.ndarray]], names: list[str]) -> pd.DataFrame:
+    """Equal rows of a chunk once, with their number."""
+    frame = pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, columns)})
+    return frame.groupby(names, sort=False).size().rename("n").reset_index()
+
+
+def _pair_rows(batches):
+    """Baskets (sorted item arrays) -> partial counts of their pairs, chunk by chunk."""
+    a, b, held = [], [], 0
+    for pdf in batches:
+        for items in pdf["items"]:
+            items = np.asarray(items, dtype=np.int64)
+            for i in range(len(items) - 1):
+                a.append(np.full(len(items) - 1 - i, items[i]))
+                b.append(items[i + 1:])
+                held += len(items) - 1 - i
+                if held >= _CHUNK:
+                    yield _summed([a, b], ["item_a", "item_b"])
+                    a, b, held = [], [], 0
+    if held:
+        yield _summed([a, b], ["item_a", "item_b"])
+
+
+def _triple_rows(batches):
+    """Baskets as their frequent pairs -> partial counts of triples whose three pairs are frequent."""
+    out, held = [[], [], []], 0
     for pdf in batches:
-        if carry is not None:
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-        if pdf.empty:
-            continue
-        last = pdf["order_id"].iat[-1]
-        done = pdf[pdf["order_id"] != last]
-        carry = pdf[pdf["order_id"] == last]
-        if not done.empty:
-            yield from _to_matrix(done, n_items)
-    if carry is not None and not carry.empty:
-        yield from _to_matrix(carry, n_items)
-
-
-def _to_matrix(pdf: pd.DataFrame, n_items: int):
-    codes, _ = pd.factorize(pdf["order_id"])
-    idx = pdf["idx"].to_numpy()
-    n = int(codes.max()) + 1
-    for lo in range(0, n, _CHUNK):
-        hi = min(n, lo + _CHUNK)
-        m = (codes >= lo) & (codes < hi)
-        x = np.zeros((hi - lo, n_items), dtype=np.float64)
-        x[codes[m] - lo, idx[m]] = 1.0
-        yield x
-
-
-def _clustered(pairs: DataFrame, items_df: DataFrame) -> DataFrame:
-    # Lines of frequent items, with the item index; broadcast of the bounded
-    # frequent-item list; clustered and sorted by order for the matrix pass.
-    return (pairs.join(F.broadcast(items_df), "product_id", "inner").select("order_id", "idx")
-            .repartition("order_id").sortWithinPartitions("order_id"))
-
-
-def _pair_counts(lines: DataFrame, min_support: float, max_items: int):
-    """(frequent pairs by item index, n_baskets, frequent items (id, n_orders), item frame)."""
-    spark = lines.sparkSession
-    pairs, n_baskets, min_count, rows = _frequent_items(lines, min_support, max_items)
-    ids = [r[0] for r in rows]
-    n_items = len(ids)
-    items_df = spark.createDataFrame([(pid, i, n) for i, (pid, n) in enumerate(rows)],
-                                     "product_id long, idx int, n_orders long")
-    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()),
-                           T.StructField("n", T.LongType())])
-
-    def cooccur(batches):
-        c = np.zeros((n_items, n_items), dtype=np.float64)
-        for x in _blocks(batches, n_items):
-            c += x.T @ x
-        a, b = np.nonzero(np.triu(c, k=1))
-        if len(a):
-            yield pd.DataFrame({"a": a.astype("int32"), "b": b.astype("int32"),
-                                "n": c[a, b].astype("int64")})
-
-    counts = (_clustered(pairs, items_df.select("product_id", "idx")).mapInPandas(cooccur, schema)
-              .groupBy("a", "b").agg(F.sum("n").alias("n_orders"))
+        for pairs in pdf["pairs"]:
+            after: dict[int, set[int]] = {}
+            for p in pairs:
+                after.setdefault(p["item_a"], set()).add(p["item_b"])
+            for x, near in after.items():
+                for y in near:
+                    third = near & after.get(y, set())
+                    if third:
+                        c = np.fromiter(third, np.int64, len(third))
+                        for column, values in zip(out, (np.full(len(c), x), np.full(len(c), y), c)):
+                            column.append(values)
+                        held += len(c)
+                        if held >= _CHUNK:
+                            yield _summed(out, ["item_a", "item_b", "item_c"])
+                            out, held = [[], [], []], 0
+    if held:
+        yield _summed(out, ["item_a", "item_b", "item_c"])
+
+
+def _pair_counts(lines: DataFrame, min_support: float):
+    """(frequent pairs with n_orders, n_baskets, least count, frequent items, lines of frequent items)."""
+    pairs, n_baskets, min_count, items = _frequent_items(lines, min_support)
+    frequent = pairs.join(items.select("product_id"), "product_id", "left_semi")
+    lists = frequent.groupBy("order_id").agg(F.array_sort(F.collect_list("product_id")).alias("items")).where(F.size("items") > 1)
+    counts = (lists.select("items").mapInPandas(_pair_rows, "item_a long, item_b long, n long")
+              .groupBy("item_a", "item_b").agg(F.sum("n").alias("n_orders"))
               .where(F.col("n_orders") >= F.lit(min_count)))
-    return counts, n_baskets, rows, items_df
+    return counts, n_baskets, min_count, items, lists
 
 
-def frequent_pairs(lines: DataFrame, min_support: float = 0.02, max_items: int = 5000) -> DataFrame:
+def frequent_pairs(lines: DataFrame, min_support: float = 0.02) -> DataFrame:
     """B3 (k = 2): item_a < item_b, n_orders, support; pairs with support >= min_support."""
-    counts, n_baskets, _, items_df = _pair_counts(lines, min_support, max_items)
-    ia = items_df.select(F.col("idx").alias("a"), F.col("product_id").alias("item_a"))
-    ib = items_df.select(F.col("idx").alias("b"), F.col("product_id").alias("item_b"))
-    return (counts.join(F.broadcast(ia), "a").join(F.broadcast(ib), "b")
-            .select("item_a", "item_b", "n_orders",
-                    (F.col("n_orders") / F.lit(float(n_baskets))).alias("support")))
+    counts, n_baskets, *_ = _pair_counts(lines, min_support)
+    return counts.select("item_a", "item_b", "n_orders", (F.col("n_orders") / F.lit(float(n_baskets))).alias("support"))
 
 
-def frequent_triples(lines: DataFrame, min_support: float = 0.002, max_items: int = 5000,
-                     max_pairs: int = 200_000) -> DataFrame:
+def frequent_triples(lines: DataFrame, min_support: float = 0.002) -> DataFrame:
     """B3 (k = 3): item_a < item_b < item_c with support >= min_support.
 
-    Candidates: every sub-pair frequent (Apriori); counted per partition as
-    ``(X_a * X_b)^T X`` over the frequent pairs (a, b).
+    Candidates: every sub-pair frequent (Apriori).  Each basket keeps its
+    frequent pairs (a join by pair), and tasks count the triangles in them.
     """
-    spark = lines.sparkSession
-    counts2, n_baskets, rows, _ = _pair_counts(lines, min_support, max_items)
-    # Frequent pairs by item index; bounded by max_pairs, checked by a
-    # distributed count before they are collected.
-    counts2 = counts2.select("a", "b").persist()
-    try:
-        n_pairs = counts2.count()
-        if n_pairs > max_pairs:
-            raise ValueError(f"{n_pairs} frequent pairs; raise min_support or max_pairs ({max_pairs})")
-        got = counts2.collect()
-    finally:
-        counts2.unpersist()
-    pairs = lines.select("order_id", "product_id").distinct()
-    min_count = min_support * n_baskets
-    ids = [r[0] for r in rows]
-    n_items = len(ids)
-    fpairs = sorted((r["a"], r["b"]) for r in got)
-    pa = np.array([p[0] for p in fpairs], dtype=np.int64)
-    pb = np.array([p[1] for p in fpairs], dtype=np.int64)
-    # candidate mask: c > b, (a, c) and (b, c) frequent
-    adj = np.zeros((n_items, n_items), dtype=bool)
-    if len(fpairs):
-        adj[pa, pb] = True
-        adj[pb, pa] = True
-    cand = adj[pa] & adj[pb] & (np.arange(n_items)[None, :] > pb[:, None])
-    items_df = spark.createDataFrame([(pid, i) for i, pid in enumerate(ids)],
-                                     "product_id long, idx int")
-    schema = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("c", T.IntegerType()),
-                           T.StructField("n", T.LongType())])
-
-    def cooccur3(batches):
-        t = np.zeros((len(fpairs), n_items), dtype=np.float64)
-        if len(fpairs):
-            for x in _blocks(batches, n_items):
-                z = x[:, pa] * x[:, pb]
-                t += z.T @ x
-        t[~cand] = 0
-        p, c = np.nonzero(t)
-        if len(p):
-            yield pd.DataFrame({"p": p.astype("int32"), "c": c.astype("int32"),
-                                "n": t[p, c].astype("int64")})
-
-    counts = (_clustered(pairs, items_df).mapInPandas(cooccur3, schema)
-              .groupBy("p", "c").agg(F.sum("n").alias("n_orders"))
-              .where(F.col("n_orders") >= F.lit(min_count)))
-    pmap = spark.createDataFrame([(k, ids[a], ids[b]) for k, (a, b) in enumerate(fpairs)],
-                                 "p int, item_a long, item_b long")
-    cmap = items_df.select(F.col("idx").alias("c"), F.col("product_id").alias("item_c"))
-    return (counts.join(F.broadcast(pmap), "p").join(F.broadcast(cmap), "c")
-            .select("item_a", "item_b", "item_c", "n_orders",
-                    (F.col("n_orders") / F.lit(float(n_baskets))).alias("support")))
-
-
-def item_support(lines: DataFrame) -> DataFrame:
-    """(product_id, n_orders, support) of every item."""
-    pairs = lines.select("order_id", "product_id").distinct()
-    n_baskets = lines.select("order_id").distinct().count()
-    return (pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_orders"))
-            .select("product_id", "n_orders", (F.col("n_orders") / F.lit(float(n_baskets))).alias("support")))
-
-
-def association_rules(lines: DataFrame, min_support: float = 0.02, min_confidence: float = 0.0,
-                      max_items: int = 5000) -> DataFrame:
+    counts, n_baskets, min_count, _, lists = _pair_counts(lines, min_support)
+    frequent = counts.select("item_a", "item_b").checkpoint(eager=True)
+    held = (lists.select("order_id", "items", F.explode("items").alias("item_a"))
+            .select("order_id", "item_a", F.explode(F.filter("items", lambda x: x > F.col("item_a"))).alias("item_b"))
+            .join(frequent, ["item_a", "item_b"], "left_semi")
+            .groupBy("order_id").agg(F.collect_list(F.struct("item_a", "item_b")).alias("pairs")).where(F.size("pairs") > 2))
+    return (held.select("pairs").mapInPandas(_triple_rows, "item_a long, item_b long, item_c long, n long")
+            .groupBy("item_a", "item_b", "item_c").agg(F.sum("n").alias("n_orders"))
+            .where(F.col("n_orders") >= F.lit(min_count))
+            .select("item_a", "item_b", "item_c", "n_orders", (F.col("n_orders") / F.lit(float(n_baskets))).alias("support")))
+
+
+def association_rules(lines: DataFrame, min_support: float = 0.02, min_confidence: float = 0.0) -> DataFrame:
     """Rules antecedent -> consequent over frequent pairs, both directions.
 
     support = n(a, b) / N, confidence = n(a, b) / n(a), lift = confidence / support(b).
     Both items of a frequent pair are frequent, so their counts come from the
-    bounded frequent-item table (broadcast).
+    frequent-item table.
     """
-    counts, n_baskets, _, items_df = _pair_counts(lines, min_support, max_items)
+    counts, n_baskets, _, items, _ = _pair_counts(lines, min_support)
     nb = float(n_baskets)
-    fp = (counts.join(F.broadcast(items_df.select(F.col("idx").alias("a"), F.col("product_id").alias("item_a"),
-                                                  F.col("n_orders").alias("n_a"))), "a")
-          .join(F.broadcast(items_df.select(F.col("idx").alias("b"), F.col("product_id").alias("item_b"),
-                                            F.col("n_orders").alias("n_b"))), "b"))
+    fp = (counts.join(items.select(F.col("product_id").alias("item_a"), F.col("n_orders").alias("n_a")), "item_a")
+          .join(items.select(F.col("product_id").alias("item_b"), F.col("n_orders").alias("n_b")), "item_b"))
     both = (fp.select(F.col("item_a").alias("antecedent"), F.col("item_b").alias("consequent"), "n_orders",
                       F.col("n_a").alias("_na"), F.col("n_b").alias("_nc"))
             .unionByName(fp.select(F.col("item_b").alias("antecedent"), F.col("item_a").alias("consequent"),

@@ -111,8 +111,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", digits: i
     """Probability that a positive outranks a negative, ties counted half."""
     pts = roc_points(df, label, score)
     # negatives strictly below this score = N - (running fp including this score)
-    term = F.col("pos") * (F.col("_N") - F.col("fp") + 0.5 * F.col("neg"))
-    return pts.agg(F.round(_safe_div(F.sum(term), F.first("_P") * F.first("_N")), digits).alias("auc"))
+    # (products of two totals pass the range of a long: doubles)
+    term = F.col("pos").cast("double") * (F.col("_N") - F.col("fp") + 0.5 * F.col("neg"))
+    return pts.agg(F.round(_safe_div(F.sum(term), F.first("_P").cast("double") * F.first("_N")), digits).alias("auc"))
 
 
 def roc_auc_trapezoid(df: DataFrame, label: str = "label", score: str = "score", digits: int = 9) -> DataFrame:

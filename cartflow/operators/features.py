@@ -60,6 +60,17 @@ def user_features(op: DataFrame) -> DataFrame:
                                      F.avg("reordered").alias("u_reordered_ratio"))
 
 
+def _small_side(df: DataFrame) -> DataFrame:
+    """A side with one row per key, kept in the shared folder.
+
+    A join of it is then a plain shuffle on both sides, which is what lets
+    AQE split the partition of a hot key on the other side (a side that is an
+    aggregate of the same plan is already partitioned by the key, and Spark
+    leaves it whole).
+    """
+    return df.checkpoint(eager=True)
+
+
 # --------------------------------------------------------------------------- T3
 def product_purchases(op: DataFrame) -> DataFrame:
     """A3: lines per product."""
@@ -75,7 +86,7 @@ def product_group_filter(op: DataFrame, min_purchases: int = 40) -> DataFrame:
     """
     big = (op.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
            .where(F.col("_n") > min_purchases).select("product_id"))
-    return op.join(big, "product_id", "left_semi")
+    return op.join(_small_side(big), "product_id", "left_semi")
 
 
 def product_reorder_ratio(op: DataFrame, min_purchases: int = 40) -> DataFrame:
@@ -108,7 +119,7 @@ def _order_recency(op: DataFrame) -> DataFrame:
     """(order_id, order_number_back) for the prior orders that have lines."""
     orders_with_lines = op.select("order_id", "user_id", "order_number").distinct()
     umax = orders_with_lines.groupBy("user_id").agg(F.max("order_number").alias("_umax"))
-    return (orders_with_lines.join(umax, "user_id", "inner")
+    return (orders_with_lines.join(_small_side(umax), "user_id", "inner")
             .select("order_id", (F.col("_umax") - F.col("order_number") + 1).cast("int")
                     .alias("order_number_back")))
 
@@ -238,7 +249,7 @@ def orders_with_recency(orders: DataFrame, prior_lines: DataFrame) -> DataFrame:
     with_lines = (orders.where(F.col("eval_set") == "prior").select("order_id", "user_id", "order_number")
                   .join(prior_lines.select("order_id").distinct(), "order_id", "left_semi"))
     umax = with_lines.groupBy("user_id").agg(F.max("order_number").alias("_umax"))
-    return (with_lines.join(umax, "user_id", "inner")
+    return (with_lines.join(_small_side(umax), "user_id", "inner")
             .select("order_id", "user_id", "order_number",
                     (F.col("_umax") - F.col("order_number") + 1).cast("int").alias("order_number_back")))
 
@@ -306,6 +317,8 @@ def basket_features(orders: DataFrame, prior_lines: DataFrame, train_lines: Data
                      F.when(F.col("_pn") > min_purchases, F.col("_pr") / F.col("_pn"))
                      .otherwise(F.lit(0.0)).alias("p_reorder_ratio"))
 
+    if materialize:
+        user_all, prd = _small_side(user_all), _small_side(prd)
     data = pairs.join(user_all, "user_id", "inner").join(prd, "product_id", "inner")
     label = (F.when(F.col("eval_set") == "train", F.coalesce(F.col("_label"), F.lit(0)))
              .cast("int").alias("reordered"))

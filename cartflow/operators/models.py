@@ -39,8 +39,8 @@ def logistic_regression(n_rows: int | None = None) -> LogisticRegression:
                               standardization=False)
 
 
-def random_forest(seed: int = 42, num_trees: int = 10, max_depth: int = 12) -> RandomForestClassifier:
-    # Deep trees: caching each row's node id saves re-walking the trees per level.
+def random_forest(seed: int = 42, num_trees: int = 10, max_depth: int = 30) -> RandomForestClassifier:
+    # Depth 30 is the most Spark allows (trees grow until leaves are pure); caching each row's node id saves re-walking the trees per level.
     return RandomForestClassifier(labelCol="label", numTrees=num_trees, seed=seed,
                                   featureSubsetStrategy="sqrt", maxDepth=max_depth, cacheNodeIds=True)
 
@@ -51,7 +51,7 @@ def gradient_boosting(seed: int = 42, max_depth: int = 5, feature_share: float =
                          featureSubsetStrategy=str(feature_share), stepSize=step, seed=seed)
 
 
-def decision_tree(seed: int = 42, max_depth: int = 10) -> DecisionTreeClassifier:
+def decision_tree(seed: int = 42, max_depth: int = 30) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(labelCol="label", maxDepth=max_depth, seed=seed, cacheNodeIds=True)
 
 

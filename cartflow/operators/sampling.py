@@ -9,13 +9,23 @@ from ..functions.columns import hash_fraction
 
 
 def user_sample(orders: DataFrame, fraction: float = 0.1, seed: int = 25) -> DataFrame:
-    """S3 + A11 + J12: whole histories of a seeded share of the distinct users.
+    """S3: whole histories of a seeded share of the users, as a plain filter.
 
     The user is kept when the arithmetic hash of its id is below
-    ``fraction``: the same users at any partitioning, on any engine.
+    ``fraction``: the same users at any partitioning, on any engine.  No
+    shuffle, so a hot user is no concern.
+    """
+    return orders.where(hash_fraction(F.col("user_id"), seed=seed) < fraction)
+
+
+def user_sample_semi(orders: DataFrame, fraction: float = 0.1, seed: int = 25) -> DataFrame:
+    """S3 as A11 + J12: the distinct users of the share, then their orders by a semi join.
+
+    The users are kept in the shared folder first, so AQE can split a hot
+    user's orders.
     """
     users = orders.select("user_id").distinct().where(hash_fraction(F.col("user_id"), seed=seed) < fraction)
-    return orders.join(users, "user_id", "left_semi")
+    return orders.join(users.checkpoint(eager=True), "user_id", "left_semi")
 
 
 def split_rows(df: DataFrame, val_fraction: float = 0.8, seed: int = 42,

@@ -56,9 +56,9 @@ def _op(spark, sf, grain=FEATURE_GRAIN):
     return FT.purchase_history(t["orders"], t["prior_lines"])
 
 
-def _features(spark, sf, grain):
+def _features(spark, sf, grain, labelled=True):
     t = _t(spark, sf, grain)
-    return FT.basket_features(t["orders"], t["prior_lines"], t["train_lines"], Q.MIN_PURCHASES, Q.LAST_N)
+    return FT.basket_features(t["orders"], t["prior_lines"], t["train_lines"] if labelled else None, Q.MIN_PURCHASES, Q.LAST_N)
 
 
 def _training(spark, sf, grain=MODEL_GRAIN):
@@ -67,7 +67,7 @@ def _training(spark, sf, grain=MODEL_GRAIN):
 
 
 def _scoring(spark, sf, grain=MODEL_GRAIN):
-    d = _features(spark, sf, grain)
+    d = _features(spark, sf, grain, labelled=False)
     return d.where(F.col("eval_set") == "test").select("user_id", "product_id", *FT.FEATURES, "order_id")
 
 
@@ -90,7 +90,7 @@ def scan_orders(spark, sf):
     return _t(spark, sf)["orders"].select("order_id", "user_id", "eval_set", "order_number")
 
 
-def _csv_tables(spark, sf):
+def _csv_tables(spark, sf, only=None):
     """Write the basket tables as headed CSV files (the original layout) and scan them back."""
     import uuid
     t = _t(spark, sf)
@@ -100,9 +100,11 @@ def _csv_tables(spark, sf):
              "aisles": "aisles.csv", "departments": "departments.csv"}
     from ..sources.schemas import TABLE_FILES
     for name, fname in names.items():
+        if only and name != only:
+            continue
         cols = [f.name for f in TABLE_FILES[name][1].fields]
         CSV.write_csv(t[name].select(*cols), f"{folder}/{fname}")
-    return CSV.read_tables(spark, folder)
+    return {only: CSV.read_table(spark, folder, only)} if only else CSV.read_tables(spark, folder)
 
 
 @query("scan_csv_tables", _sql(
@@ -129,7 +131,7 @@ def scan_csv_tables(spark, sf):
 @query("scan_csv_prior_lines", _sql("SELECT order_id, product_id, reordered FROM ic_prior"))
 def scan_csv_prior_lines(spark, sf):
     """The prior lines, whole table, read from CSV with the explicit schema."""
-    return _csv_tables(spark, sf)["prior_lines"]
+    return _csv_tables(spark, sf, "prior_lines")["prior_lines"]
 
 
 @query("head_orders", _sql("SELECT order_id, user_id, eval_set, order_number FROM ic_orders "
@@ -142,6 +144,13 @@ def head_orders(spark, sf):
     "SELECT order_id, user_id, eval_set, order_number FROM ic_orders WHERE user_id IN ("
     f"SELECT DISTINCT user_id FROM ic_orders WHERE {split_sql('user_id', seed=Q.SAMPLE_SEED)} < {Q.SAMPLE_SHARE})"))
 def user_sample_semi(spark, sf):
+    return S.user_sample_semi(scan_orders(spark, sf), Q.SAMPLE_SHARE, Q.SAMPLE_SEED)
+
+
+@query("user_sample", _sql(
+    "SELECT order_id, user_id, eval_set, order_number FROM ic_orders WHERE user_id IN ("
+    f"SELECT DISTINCT user_id FROM ic_orders WHERE {split_sql('user_id', seed=Q.SAMPLE_SEED)} < {Q.SAMPLE_SHARE})"))
+def user_sample(spark, sf):
     return S.user_sample(scan_orders(spark, sf), Q.SAMPLE_SHARE, Q.SAMPLE_SEED)
 
 

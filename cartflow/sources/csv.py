@@ -5,21 +5,33 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .schemas import TABLE_FILES
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Read one basket table from ``folder`` with its explicit schema.
+def by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The schema's columns of a CSV file or folder, found by their header names.
 
-    Columns not in the schema are not expected; extra columns of the
-    original files (e.g. ``add_to_cart_order``) must be dropped upstream or
-    the schema extended.  ``mode=FAILFAST`` turns a malformed row into an
-    error instead of a silent NULL.
+    Other columns and any order are allowed; a missing column raises
+    ValueError.  The header is read once for the order; every file's own
+    header is then checked against it (``enforceSchema=false``), and
+    ``FAILFAST`` turns a malformed row into an error.
     """
+    names = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema if f.name not in names]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header ({', '.join(names)})")
+    known = {f.name: f.dataType for f in schema}
+    full = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
+    return (spark.read.schema(full).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+            .csv(path).select(*[f"`{f.name}`" for f in schema]))
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One basket table from ``folder``, its columns by name."""
     fname, schema = TABLE_FILES[name]
-    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-            .csv(os.path.join(folder, fname)))
+    return by_name(spark, os.path.join(folder, fname), schema)
 
 
 def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -38,4 +50,5 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    """A written result, its columns by name; ``schema`` as StructType or DDL."""
+    return by_name(spark, path, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
