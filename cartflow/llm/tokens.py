@@ -47,7 +47,7 @@ def byte_letters() -> dict[str, int]:
 class PrefixCounter:
     """Prefix counts for one ``tokenizers`` JSON file (byte-level BPE)."""
 
-    def __init__(self, path: str, max_units: int = 400_000):
+    def __init__(self, path: str, max_units: int = 800_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
