@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartflow.llm.common import cut, texts_of, worker_state
+from cartflow.llm.tokens import byte_letters
 
 WINDOW = 2048
 END_ID = 1
@@ -36,55 +37,63 @@ def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class WordIds:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes.
+class WordIds(dict):
+    """Token ids of words, as little-endian unsigned 32-bit bytes; a word is encoded when it is first asked for.
 
     This vocabulary drops white space and no token spans it, so the ids of a
     text are those of its words; a worker keeps the ids of words it has seen.
+    Signs around letters are tokens of their own, and letters below U+0130
+    are changed by nothing but the lower case; so the letters go straight to
+    the library's merges.  All other words take the library's whole way.
     """
 
+    #: Not among the signs: the apostrophe before letters, and what begins or ends a special string.
+    LEAD = "\"#$%&()*+,-./:;=?@[\\]^_`{}~!"
+    TAIL = LEAD + "'"
+
     def __init__(self, path: str, max_words: int = 600_000):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark spreads the work
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.merges = self.library.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.parts: dict[str, bytes] = {"": b""}
         self.max_words = max_words
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [pack_ids(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _letters(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return pack_ids([t.id for t in self.merges.tokenize(word)])
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """Letters in lower case and the stops after them, which are always separate tokens; other words stay whole.
+    def _whole(self, text: str) -> bytes:
+        return pack_ids(self.library.encode(text, add_special_tokens=False).ids)
 
-        Letters from U+0130 on may change into letter and mark, so such words stay whole too.
-        """
-        letters = word.rstrip(".,;:!?")
-        if letters.isalpha() and max(letters) < "\u0130":
-            return letters.lower(), word[len(letters):]
-        return word, ""
+    def _part(self, part: str, make: Callable[[str], bytes]) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.parts[part] = make(part)
+        return ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if any(c in t for c in NOT_SPACE)]
-        split = [t.split() for t in texts]
-        for i in whole:
-            split[i] = []
-        if len(self.words) > self.max_words:
-            self.words.clear()
-        new = [(w, *self._parts(w)) for w in set().union(*split) - self.words.keys()]
-        parts = list({p for _, *ps in new for p in ps} - self.parts.keys())
-        if len(self.parts) + len(parts) > self.max_words:
-            self.parts.clear()
-            parts = list({p for _, *ps in new for p in ps})
-        self.parts.update(zip(parts, self._encode(parts)))
-        self.words.update([(w, self.parts[a] + self.parts[b]) for w, a, b in new])
-        ids = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for i in whole:
-            ids[i] = self._encode([texts[i]])[0]
+    def __missing__(self, word: str) -> bytes:
+        head = word.rstrip(self.TAIL)
+        letters = head.lstrip(self.LEAD)
+        if letters.isalpha() and (letters.isascii() or max(letters) < "\u0130"):
+            ids = self._part(letters.lower(), self._letters)
+            if len(letters) < len(word):
+                ids = self._part(head[:len(head) - len(letters)], self._whole) + ids + self._part(word[len(head):], self._whole)
+        else:
+            ids = self._whole(word)
+        self[word] = ids
         return ids
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self) > self.max_words:
+            self.clear()
+        if len(self.parts) > self.max_words:
+            self.parts = {"": b""}
+        return [self._whole(t) if any(c in t for c in NOT_SPACE) else b"".join(map(self.__getitem__, t.split())) for t in texts]
+
 
 def word_ids(path: str) -> WordIds:
     return worker_state(f"words:{path}", lambda: WordIds(path))
