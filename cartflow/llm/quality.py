@@ -7,8 +7,8 @@ Forward-backward gives each line's probability of being good; the document's
 score is their mean, weighted by line length.
 
 The weights are fitted by gradient ascent on a bounded sample of labelled
-documents (``max_docs`` documents, those of at most ``max_lines`` lines),
-each line taking its document's label.  The sample is chosen by a hash of the
+documents (``max_docs`` documents, those of at most ``max_lines`` lines and
+``max_chars`` code points), each line taking its document's label.  The sample is chosen by a hash of the
 id, so it doesn't depend on the order or number of rows.  Scoring covers all
 rows in one pass.
 
@@ -30,6 +30,7 @@ from cartflow.llm.common import map_batches, texts_of
 
 MAX_DOCS = 3000
 MAX_LINES = 400
+MAX_CHARS = 50_000
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789",
            "blank": b" \t\n\r\x0b\x0c", "stop": b".,;:'\"()-", "call": b"!?", "bar": b"|", "sign": b"#$%&*+/<=>@[\\]^_`{}~"}
 
@@ -153,12 +154,13 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0
     return LineModel(theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> LineModel | None:
-    """Fits the field on at most ``max_docs`` labelled documents (the bound of what the driver sees)."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES,
+          max_chars: int = MAX_CHARS) -> LineModel | None:
+    """Fits the field on at most ``max_docs`` labelled documents of ``max_chars`` (the bound of what the driver sees)."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))  # max_docs rows
     rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
-            .where(F.length("text") - F.length(F.translate("text", "\n", "")) < max_lines)
+            .where((F.length("text") <= max_chars) & (F.length("text") - F.length(F.translate("text", "\n", "")) < max_lines))
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).orderBy("doc_id").collect())
     return fit([r.text for r in rows], np.array([r.quality for r in rows], int))
 
