@@ -116,3 +116,15 @@ def test_pieces_hold_every_id_once(spark, odd_docs, no_docs):
         assert at <= 256
     assert sorted(256 - sum(n for _, n in p) for p in seqs.values()) == one_by_one([r.length for r in rows], 256)
     assert packing.pack_documents(no_docs, WORDS).count() == 0
+
+
+def test_word_ids_equal_the_librarys_for_odd_words():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = packing.WordIds(path, max_words=500)  # the kept words are cleared on the way
+    rnd = random.Random(3)
+    odd = ["", "'tis", "('tis)", "don't", "x''s", "<|endoftext|>", "x<|endoftext|>.", "endoftext|>", "É'É", "ªº.µ",
+           "İstanbul", "straße!!", "A\x1cB c", "(é)", "≠", "$$$a%%%", "-'s", "a\xa0b", "a​b", "a</w>", "\x00a", "漢."]
+    odd += ["".join(rnd.choice("ab Zé'.,<|>$%\x1ć̸İß1²ſ-\"()") for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
+    for at in range(0, len(odd), 100):
+        some = odd[at:at + 100]
+        assert words.encode(some) == [packing.pack_ids(words.library.encode(t, add_special_tokens=False).ids) for t in some]
