@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(docs: DataFrame, *kept: str) -> DataFrame:
+    """``docs`` with all columns but the kept ones called c0, c1, ..., so that none of them can clash with an operator's own.
+
+    The caller gives the old names back with ``toDF(*docs.columns)``.
+    """
+    return docs.toDF(*[c if c in kept else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` in the shared checkpoint folder: lineage ends there,
     the partitions stay as they are, and lost executors lose nothing."""

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartflow.llm.common import cut, ranged, running
+from cartflow.llm.common import cut, own_names, ranged, running
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -99,12 +99,12 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = 7, weights: t
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    columns = docs.columns
+    held = own_names(docs, "doc_id", "source", "text")
     # rows carry their own number, for ids may repeat; the numbered rows stay in the shared folder
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = cut(held.withColumn("_row", F.monotonically_increasing_id()))
     times = mix(numbered, extra={"_row": F.col("_row")}, **options).where("copies > 0").select("_row", "copies")
     rows = numbered.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*[f"`{c}`" for c in columns])
+    return rows.select(*held.columns).toDF(*docs.columns)
 
 
 def mixing_sql(seed: int = 7) -> str:

@@ -216,8 +216,6 @@ def best_fit_decreasing(histogram: dict[int, int], window: int = WINDOW) -> np.n
     return np.array(plan, np.int64).reshape(-1, 6)
 
 
-
-
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to the rows of :func:`token_pieces`.
 

@@ -32,7 +32,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartflow.llm.common import cut
+from cartflow.llm.common import cut, own_names
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL, HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -213,7 +213,7 @@ def spans_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
     """The same columns, with every span replaced by its kind in brackets (spans that overlap: by the first one's)."""
-    columns = docs.columns
+    held = own_names(docs, text_col)
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -225,4 +225,5 @@ def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFra
 
     clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return find(docs, model, text_col).withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).select(*[f"`{c}`" for c in columns])
+    redacted = find(held, model, text_col).withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text))
+    return redacted.select(*held.columns).toDF(*docs.columns)

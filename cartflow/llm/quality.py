@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartflow.llm.common import map_batches, texts_of
+from cartflow.llm.common import map_batches, own_names, texts_of
 
 MAX_DOCS = 3000
 MAX_LINES = 400
@@ -175,5 +175,11 @@ def score(docs: DataFrame, model: LineModel | None, keep: list[str]) -> DataFram
     return map_batches(docs, [F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in keep]], schema, make)
 
 
+def good_documents(docs: DataFrame, model: LineModel | None, least: float = 0.5) -> DataFrame:
+    """The documents whose score is at least ``least``, with the columns of ``docs``."""
+    held = own_names(docs, "text")
+    return score(held, model, held.columns).where(F.col("score") >= least).select(*held.columns).toDF(*docs.columns)
+
+
 def in_training(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 != 1

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartflow.llm.common import cut, map_batches, texts_of
+from cartflow.llm.common import cut, map_batches, own_names, texts_of
 from cartflow.llm.components import components
 
 SHINGLE = 3
@@ -83,8 +83,6 @@ def band_masks(distance: int) -> list[int]:
     return [a | b for a, b in combinations(bands, 2)]
 
 
-
-
 def within(planes: np.ndarray, same: np.ndarray, step: int, distance: int) -> np.ndarray:
     """Places i whose distance to place i + step is small enough; ``same``: the bits of the i that share a list with it.
 
@@ -237,17 +235,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group, once, with the columns of ``docs``.
 
-    Rows without an id are told apart by their fingerprint only.
+    Rows without an id are told apart by their fingerprint only; rows that
+    share an id are one document.
     """
-    columns = docs.columns
-    marked = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    held = own_names(docs, id_col, text_col)
+    marked = held.withColumn("_row", F.xxhash64(*held.columns))
     groups = near_duplicates(marked, shingle, distance, id_col, text_col, ("_row",))
     firsts = (groups.where(F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id")))
               .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp"))
               .agg(F.min("_row").alias("_row")).select("_row", F.col("component_id").alias("_id")))
     firsts = cut(firsts)
     on = (marked["_row"] == firsts["_row"]) & marked[id_col].eqNullSafe(firsts["_id"])
-    return marked.join(firsts, on, "left_semi").dropDuplicates([id_col, "_row"]).select(*[f"`{c}`" for c in columns])
+    return marked.join(firsts, on, "left_semi").dropDuplicates([id_col, "_row"]).select(*held.columns).toDF(*docs.columns)
 
 
 def fingerprint_hex(fp: Column) -> Column:
