@@ -48,6 +48,18 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def groups_of(texts: list[str], chars: int = 1_000_000) -> Iterator[range]:
+    """Consecutive texts of about ``chars`` code points together."""
+    at, total = 0, 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= chars:
+            yield range(at, i + 1)
+            at, total = i + 1, 0
+    if at < len(texts):
+        yield range(at, len(texts))
+
+
 def map_batches(df: DataFrame, columns: list[Column | str], out: str,
                 make: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` over the named columns only; ``make`` turns one batch into one or several."""

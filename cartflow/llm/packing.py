@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartflow.llm.common import cut, texts_of, worker_state
+from cartflow.llm.common import cut, groups_of, texts_of, worker_state
 from cartflow.llm.tokens import byte_letters
 
 WINDOW = 2048
@@ -99,18 +99,6 @@ def word_ids(path: str) -> WordIds:
     return worker_state(f"words:{path}", lambda: WordIds(path))
 
 
-def groups_of(texts: list[str], chars: int = 1_000_000) -> Iterator[range]:
-    """Consecutive texts of about ``chars`` code points together."""
-    at, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= chars:
-            yield range(at, i + 1)
-            at, total = i + 1, 0
-    if at < len(texts):
-        yield range(at, len(texts))
-
-
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens (with the end id), ``ids`` if kept,

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartflow.llm.common import map_batches, own_names, texts_of
+from cartflow.llm.common import groups_of, map_batches, own_names, texts_of
 
 MAX_DOCS = 3000
 MAX_LINES = 400
 MAX_CHARS = 50_000
+#: Code points whose lines a task describes at a time (a longer document is described alone).
+GROUP_CHARS = 4_000_000
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789",
            "blank": b" \t\n\r\x0b\x0c", "stop": b".,;:'\"()-", "call": b"!?", "bar": b"|", "sign": b"#$%&*+/<=>@[\\]^_`{}~"}
 
@@ -169,7 +171,9 @@ def score(docs: DataFrame, model: LineModel | None, keep: list[str]) -> DataFram
     """The named columns of ``docs`` with ``score``; the text column must be among the columns of ``docs``."""
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch, "_text")
-        found = model.scores(texts) if model else np.full(len(texts), 0.5)
+        found = np.full(len(texts), 0.5)
+        for group in groups_of(texts, GROUP_CHARS) if model else ():
+            found[group.start:group.stop] = model.scores(texts[group.start:group.stop])
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.clip(found, 0, 1), pa.float64())], [*keep, "score"])
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "score double"])
     return map_batches(docs, [F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in keep]], schema, make)
