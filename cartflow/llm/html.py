@@ -211,7 +211,8 @@ def main_text(source: str) -> str:
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
-    """The named columns with ``text`` and ``n_chars``.  One pass, no shuffle."""
+    """The named columns with ``text`` and ``n_chars`` (named columns called so give way).  One pass, no shuffle."""
+    keep = [c for c in keep if c.lower() not in ("text", "n_chars")]
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [main_text(t) for t in texts_of(batch, "_html")]
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.string()),

@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_line
 
 
 def score(docs: DataFrame, model: LineModel | None, keep: list[str]) -> DataFrame:
-    """The named columns of ``docs`` with ``score``; the text column must be among the columns of ``docs``."""
+    """The named columns of ``docs`` with ``score`` (a named column called so gives way to it)."""
+    keep = [c for c in keep if c.lower() != "score"]
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch, "_text")
         found = np.full(len(texts), 0.5)

@@ -9,9 +9,14 @@ def odd_docs(spark):
     rows = [(1, "plain words of a text that goes on", "en", "b", 5, 0), (2, None, "en", "b", None, 0), (3, "", None, None, 0, 1),
             (4, LONG, "en", "a", 1, 2), (5, "plain words of a text that goes on", "fr", "ü", 5, 3), (5, "plain words of a text that goes on", "fr", "ü", 5, 3),
             (None, "no id here\nbut two lines", "en", "a", 3, 4), (7, "  \n\t ", "en", "a", 3, 4), (8, "one", "en", "Z", 3, 4)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, size int"
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int")
+
+
+@pytest.fixture(scope="session")
+def clashing_docs(odd_docs):
+    """The odd rows with columns named like the operators' own."""
     clash = {"score": "double", "spans": "string", "base_spans": "int", "fp": "string", "_row": "int", "copies": "string", "component_id": "date", "_base": "int"}
-    return spark.createDataFrame([(*r, *[None] * len(clash)) for r in rows], schema + "".join(f", {n} {t}" for n, t in clash.items()))
+    return odd_docs.selectExpr("*", *[f"CAST(NULL AS {t}) AS {n}" for n, t in clash.items()])
 
 
 @pytest.fixture(scope="session")

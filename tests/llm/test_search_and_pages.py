@@ -155,6 +155,8 @@ def test_quality_on_held_out_ids(spark, odd_docs, no_docs):
     odd = quality.score(odd_docs, model, odd_docs.columns).collect()
     assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 for r in odd)
     assert quality.score(no_docs, model, ["doc_id"]).count() == 0
+    scored = quality.score(odd_docs.withColumn("score", F.lit("old")), model, [*odd_docs.columns, "score"])
+    assert scored.columns == [*odd_docs.columns, "score"] and sorted(r.score for r in scored.collect()) == sorted(r.score for r in odd)
     assert quality.train(no_docs, labels) is None and {r.score for r in quality.score(odd_docs, None, ["doc_id"]).collect()} == {0.5}
 
 
