@@ -51,7 +51,7 @@ class WordIds(dict):
     LEAD = "\"#$%&()*+,-./:;=?@[\\]^_`{}~!"
     TAIL = LEAD + "'"
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark spreads the work
         from tokenizers import Tokenizer
