@@ -40,11 +40,6 @@ def hash_fraction_sql(*keys_sql: str, seed: int = 42) -> str:
     return f"({h}) / {float(_SPLIT_MOD)}"
 
 
-def ratio(num: Column, den: Column) -> Column:
-    """``num / den`` as DOUBLE; NULL when ``den`` is 0 (as SQL, not NaN)."""
-    return F.when(den != 0, num.cast("double") / den.cast("double"))
-
-
 def threshold_flag(score: Column, threshold: float) -> Column:
     """1 when ``score >= threshold`` (inclusive bound), else 0, as INT."""
     return (score >= F.lit(float(threshold))).cast("int")

@@ -232,12 +232,6 @@ def training_set(data: DataFrame, train_lines: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_lab"), F.lit(0)).cast("int").alias("reordered")))
 
 
-def scoring_set(data: DataFrame) -> DataFrame:
-    """Test pairs, features only (plus the test order for the submission)."""
-    return (data.where(F.col("eval_set") == "test")
-            .select("user_id", "product_id", *FEATURES, "order_id"))
-
-
 # --------------------------------------------------------------------------- fused
 def orders_with_recency(orders: DataFrame, prior_lines: DataFrame) -> DataFrame:
     """Prior orders that have lines, with ``order_number_back`` (order grain).

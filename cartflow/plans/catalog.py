@@ -12,6 +12,7 @@ products at exactly 40 purchases); labels, metrics and the submission use
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -676,6 +677,10 @@ def _lr(train):
     return M.logistic_regression(train.count())
 
 
+_MODELS = {"logistic_regression": _lr, "random_forest": lambda _: M.random_forest(),
+           "gradient_boosting": lambda _: M.gradient_boosting(), "decision_tree": lambda _: M.decision_tree()}
+
+
 @query("logistic_regression")
 def logistic_regression(spark, sf):
     return _fit_and_validate(spark, sf, _lr)[1]
@@ -706,6 +711,12 @@ def split_importance(spark, sf):
     return M.split_importance(_fit_and_validate(spark, sf, lambda _: M.gradient_boosting())[0], name="gbt")
 
 
+@query("feature_importance_ascending")
+def feature_importance_ascending(spark, sf):
+    """O2: the same table, least important first."""
+    return feature_importance(spark, sf).orderBy("importance", "feature")
+
+
 @query("grid_search")
 def grid_search(spark, sf):
     tr = _split_training(spark, sf).where(F.col("split") == "train")
@@ -719,34 +730,87 @@ def model_params(spark, sf):
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    """AUC (Spark's evaluator), rank-sum AUC and F1 per model on the same validation rows."""
-    rows = []
+    """Rank-sum AUC and F1 per model on the same validation rows."""
+    def auc_and_f1(scored):
+        return E.roc_auc(scored).withColumn("_k", F.lit(1)).join(E.f1_binary(scored).select("f1", F.lit(1).alias("_k")), "_k").drop("_k")
+    return _per_model(spark, sf, auc_and_f1)
+
+
+def _per_model(spark, sf, table):
+    """``table(scored validation rows)`` of each model, with the model's name, on the same split."""
     tr = _split_training(spark, sf)
-    for name, fn in (("logistic_regression", _lr), ("random_forest", lambda _: M.random_forest()),
-                     ("gradient_boosting", lambda _: M.gradient_boosting()),
-                     ("decision_tree", lambda _: M.decision_tree())):
+    parts = []
+    for name, fn in _MODELS.items():
         scored = _fit_and_validate(spark, sf, fn, tr)[1].checkpoint(eager=True)
-        auc = E.roc_auc(scored).select(F.lit(name).alias("model"), "auc")
-        f1 = E.f1_binary(scored).select(F.lit(name).alias("model"), "f1")
-        rows.append(auc.join(f1, "model"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        parts.append(table(scored).select(F.lit(name).alias("model"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("model_reports")
+def model_reports(spark, sf):
+    """E2 per fitted model: the classification report of its validation rows."""
+    return _per_model(spark, sf, E.classification_report)
+
+
+@query("model_confusion_matrices")
+def model_confusion_matrices(spark, sf):
+    """E3 per fitted model."""
+    return _per_model(spark, sf, E.confusion_matrix)
 
 
-@query("fp_growth")
+@query("model_roc_points")
+def model_roc_points(spark, sf):
+    """E5 per fitted model."""
+    return _per_model(spark, sf, lambda s: E.roc_points(s).select("threshold", "pos", "neg", "tp", "fp", "tpr", "fpr"))
+
+
+@query("model_contract", _sql(
+    "SELECT m.model, v.* FROM (VALUES " + ", ".join(f"('{m}')" for m in _MODELS) + ") m(model), "
+    "(SELECT count(*) AS n_rows, count(DISTINCT (user_id, product_id)) AS n_keys, count(*) FILTER (WHERE label = 1) AS n_positive, "
+    "CAST(0 AS BIGINT) AS n_bad_scores, CAST(0 AS BIGINT) AS n_bad_flags FROM val) v",
+    Q.ALL_FEATURES, Q.TRAIN, Q.VAL, grain=MODEL_GRAIN))
+def model_contract(spark, sf):
+    """What SQL can say of each model's scored rows: every validation pair once, labels kept, scores
+    within 0 and 1, flags that follow the threshold (P10, M2-M4, B7, M7-M10)."""
+    def facts(s):
+        score, flag = F.col("score"), F.col("prediction")
+        keys = s.groupBy("user_id", "product_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("p"),
+                F.count_if(score.isNull() | F.isnan(score) | ~score.between(0, 1)).alias("b"),
+                F.count_if(~flag.eqNullSafe((score >= Q.VALIDATION_THRESHOLD).cast("int"))).alias("f"))
+        return keys.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.sum("p").alias("n_positive"),
+                        F.sum("b").alias("n_bad_scores"), F.sum("f").alias("n_bad_flags"))
+    return _per_model(spark, sf, facts)
+
+
+def _itemsets_sql(select: str) -> str:
+    """Frequent itemsets of any size: every subset of every basket, counted."""
+    sql = _sql(select, f"""bk AS (SELECT DISTINCT order_id, product_id FROM ic_prior),
+nb AS (SELECT count(DISTINCT order_id) AS n FROM bk),
+fs AS (SELECT order_id, [product_id] AS items FROM bk
+       UNION ALL SELECT f.order_id, list_append(f.items, b.product_id) FROM fs f JOIN bk b ON b.order_id = f.order_id AND b.product_id > f.items[-1]),
+s AS (SELECT items, count(*) AS n_orders FROM fs GROUP BY items HAVING count(*) >= (SELECT CAST({Q.PAIR_SUPPORT} AS DOUBLE) * n FROM nb))""",
+               grain=BASKET_GRAIN)
+    return "WITH RECURSIVE" + sql.removeprefix("WITH")
+
+
+@query("fp_growth", _itemsets_sql("SELECT array_to_string(items, ' ') AS items, n_orders FROM s"))
 def fp_growth(spark, sf):
     m = B.fp_growth(_t(spark, sf, BASKET_GRAIN)["prior_lines"], Q.PAIR_SUPPORT)
     return m.freqItemsets.select(F.array_join(F.transform(F.array_sort("items"), lambda x: x.cast("string")), " ")
                                  .alias("items"), F.col("freq").alias("n_orders"))
 
 
-@query("fp_growth_rules")
+@query("fp_growth_rules", _itemsets_sql(
+    "SELECT array_to_string(a.items, ' ') AS antecedent, CAST(c AS VARCHAR) AS consequent, "
+    "round(r.n_orders / CAST(a.n_orders AS DOUBLE), 9) AS confidence, "
+    "round((r.n_orders / CAST(a.n_orders AS DOUBLE)) / (k.n_orders / CAST(nb.n AS DOUBLE)), 9) AS lift, "
+    "round(r.n_orders / CAST(nb.n AS DOUBLE), 9) AS support "
+    "FROM (SELECT items, n_orders, unnest(items) AS c FROM s WHERE len(items) > 1) r "
+    "JOIN s a ON a.items = list_filter(r.items, lambda x: x <> r.c) JOIN s k ON k.items = [r.c], nb"))
 def fp_growth_rules(spark, sf):
     m = B.fp_growth(_t(spark, sf, BASKET_GRAIN)["prior_lines"], Q.PAIR_SUPPORT)
     r = m.associationRules
-    return r.select(F.array_join(F.transform("antecedent", lambda x: x.cast("string")), " ").alias("antecedent"),
+    return r.select(F.array_join(F.transform(F.array_sort("antecedent"), lambda x: x.cast("string")), " ").alias("antecedent"),
                     F.array_join(F.transform("consequent", lambda x: x.cast("string")), " ").alias("consequent"),
                     F.round("confidence", 9).alias("confidence"), F.round("lift", 9).alias("lift"),
                     F.round("support", 9).alias("support"))
@@ -756,11 +820,25 @@ def fp_growth_rules(spark, sf):
 def model_submission(spark, sf):
     """Entry 1 end to end: forest fitted on all training pairs, test pairs scored, threshold 0.21,
     one line per test order."""
+    return _model_submission(spark, sf, lambda train: M.fit(M.random_forest(), train))
+
+
+def _model_submission(spark, sf, fitted):
     t = _t(spark, sf, MODEL_GRAIN)
     data = _features(spark, sf, MODEL_GRAIN).checkpoint(eager=True)   # train and test pairs, built once
     train = data.where(F.col("eval_set") == "train").select("user_id", "product_id", *FT.FEATURES, "reordered")
     test = data.where(F.col("eval_set") == "test").select("user_id", "product_id", *FT.FEATURES, "order_id")
-    model = M.fit(M.random_forest(), train)
-    scored = M.score(model, test, threshold=Q.TEST_THRESHOLD)
+    scored = M.score(fitted(train), test, threshold=Q.TEST_THRESHOLD)
     return SUB.submission(scored, t["orders"])
 
+
+@query("model_submission_orders", _sql("SELECT DISTINCT order_id FROM data WHERE eval_set = 'test'", Q.ALL_FEATURES, grain=MODEL_GRAIN))
+def model_submission_orders(spark, sf):
+    """The orders that a fitted model's submission has a line for (its products are the model's own)."""
+    return _model_submission(spark, sf, lambda train: M.fit(M.decision_tree(), train)).select("order_id")
+
+
+@query("grid_search_submission")
+def grid_search_submission(spark, sf):
+    """Entry 2 end to end: the grid's best boosting model scores the test pairs, threshold 0.21, one line per test order."""
+    return _model_submission(spark, sf, lambda train: M.grid_search(train)[0].bestModel)

@@ -13,6 +13,10 @@ from __future__ import annotations
 from ..functions.columns import hash_fraction_sql
 
 
+# the power of ten above the number of types
+_PLACES = "(SELECT CAST(pow(10, length(CAST(count(*) AS VARCHAR))) AS BIGINT) FROM ic_types)"
+
+
 def _product_sql(grain: str) -> tuple[str, str]:
     """(FROM clause of lines with product_id, select of product id)."""
     if grain == "item":
@@ -22,7 +26,7 @@ def _product_sql(grain: str) -> tuple[str, str]:
         return "lineitem JOIN part p ON l_partkey = p.p_partkey", brand
     return ("lineitem JOIN part p ON l_partkey = p.p_partkey "
             "JOIN ic_types t ON p.p_type = t.department",
-            f"{brand} * 10 + t.department_id")
+            f"{brand} * {_PLACES} + t.department_id")
 
 
 def adapter(grain: str = "item") -> str:
@@ -34,7 +38,7 @@ def adapter(grain: str = "item") -> str:
                 "CAST(substr(p.p_brand, 7, 10) AS INTEGER) AS aisle_id, t.department_id AS department_id "
                 "FROM part p JOIN ic_types t ON p.p_type = t.department")
     elif grain == "category":
-        prod = ("SELECT DISTINCT CAST(substr(p.p_brand, 7, 10) AS BIGINT) * 10 + t.department_id AS product_id, "
+        prod = (f"SELECT DISTINCT CAST(substr(p.p_brand, 7, 10) AS BIGINT) * {_PLACES} + t.department_id AS product_id, "
                 "p.p_brand || ' ' || p.p_type AS product_name, "
                 "CAST(substr(p.p_brand, 7, 10) AS INTEGER) AS aisle_id, t.department_id AS department_id "
                 "FROM part p JOIN ic_types t ON p.p_type = t.department")

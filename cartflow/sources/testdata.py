@@ -31,7 +31,6 @@ from ..functions.ordering import grouped_row_number
 from ..session import shared_path
 
 GRAINS = ("item", "category", "brand")
-_MAX_TYPES = 10_000  # broadcast bound of the type dictionary
 
 _lock = threading.Lock()
 _built: dict[tuple, str] = {}
@@ -46,33 +45,27 @@ def _brand_no(col: str = "p_brand"):
 def _type_codes(part: DataFrame) -> DataFrame:
     """department_id: 1 + index of the type name in alphabetical order.
 
-    ``StringIndexer`` gathers the distinct names (the type vocabulary, a
-    handful, not the data) with one aggregation; its label list is the
-    whole dictionary, so the codes table is built from it directly and its
-    size is known.
+    The distinct names are numbered in a range-partitioned pass, so a
+    dictionary of any size stays distributed; no hint, AQE sees its size.
     """
-    from pyspark.ml.feature import StringIndexer
-    types = part.select(F.col("p_type").alias("department")).distinct()
-    n_types = types.count()  # distributed; the dictionary goes to the driver only below the bound
-    if n_types > _MAX_TYPES:
-        raise ValueError(f"{n_types} distinct types; a dictionary above {_MAX_TYPES} is not gathered")
-    labels = StringIndexer(inputCol="department", outputCol="_idx",
-                           stringOrderType="alphabetAsc").fit(types).labelsArray[0]
-    codes = part.sparkSession.createDataFrame([(i + 1, name) for i, name in enumerate(labels)],
-                                              "department_id int, department string")
-    return F.broadcast(codes)  # len(labels) <= _MAX_TYPES
+    types = part.select(F.col("p_type").alias("department")).where("department IS NOT NULL").distinct()
+    return grouped_row_number(types, [], ["department"], "department_id").select("department_id", "department")
 
 
 def product_tables(part: DataFrame, grain: str) -> dict[str, DataFrame]:
-    """products / aisles / departments for a grain, plus the part -> product map."""
+    """products / aisles / departments for a grain, plus the part -> product map.
+
+    Types are joined only where the product or its department needs them.
+    """
     codes = _type_codes(part)
-    p = part.join(codes, part.p_type == codes.department, "inner")
+    p = part if grain == "brand" else part.join(codes, part.p_type == codes.department, "inner")
     brand = _brand_no()
     if grain == "item":
         pid = F.col("p_partkey")
         name = F.col("p_name")
     elif grain == "category":
-        pid = brand.cast("long") * 10 + F.col("department_id")
+        # as many decimal places as the dictionary needs: no two (brand, type) share a number
+        pid = brand.cast("long") * 10 ** len(str(codes.count())) + F.col("department_id")
         name = F.concat_ws(" ", F.col("p_brand"), F.col("p_type"))
     elif grain == "brand":
         pid = brand.cast("long")
@@ -137,18 +130,6 @@ def derive_lines(spark: SparkSession, sf_dir: str, orders: DataFrame, grain: str
                     "eval_set"))
 
 
-def derive(spark: SparkSession, sf_dir: str, grain: str = "item") -> dict[str, DataFrame]:
-    """The basket tables as lazy DataFrames (nothing written)."""
-    orders = derive_orders(spark, sf_dir)
-    lines = derive_lines(spark, sf_dir, orders, grain)
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    dims = product_tables(part, grain)
-    return {"orders": orders,
-            "prior_lines": lines.where(F.col("eval_set") == "prior").drop("eval_set"),
-            "train_lines": lines.where(F.col("eval_set") == "train").drop("eval_set"),
-            "products": dims["products"], "aisles": dims["aisles"], "departments": dims["departments"]}
-
-
 def _key(sf_dir: str, grain: str) -> str:
     stamp = []
     for t in ("orders", "lineitem", "part"):
