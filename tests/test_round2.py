@@ -85,3 +85,43 @@ def test_hot_keys_are_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_types_of_any_number_get_ids_that_do_not_collide(spark):
+    from cartflow.sources.testdata import product_tables
+    rows = [(b * 1000 + t, f"part {t}", f"Brand#{b}", f"type {t:03}") for b in (1, 13, 14) for t in range(112)] + [(9, "none", "Brand#13", None)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string")
+    category = product_tables(part, "category")
+    assert category["part_map"].select("product_id").distinct().count() == 3 * 112 == category["products"].count()
+    assert [r.department_id for r in category["departments"].orderBy("department").collect()] == list(range(1, 113))
+    assert product_tables(part, "brand")["part_map"].count() == len(rows)  # no type needed there
+
+
+def test_tables_of_each_fitted_model_and_the_grids_submission(spark):
+    from cartflow.plans.catalog import QUERIES
+    sf = "/root/testdata/sf0.001"
+    facts = {r.model: r for r in QUERIES["model_contract"](spark, sf).collect()}
+    assert set(facts) == {"logistic_regression", "random_forest", "gradient_boosting", "decision_tree"}
+    cells = QUERIES["model_confusion_matrices"](spark, sf).collect()
+    report = {(r.model, r["class"]): r for r in QUERIES["model_reports"](spark, sf).collect()}
+    for model, f in facts.items():
+        assert sum(r.n for r in cells if r.model == model) == f.n_rows
+        assert report[(model, "1")].support == f.n_positive and report[(model, "accuracy")].support == f.n_rows
+    last = {r.model: (r.tp, r.fp) for r in QUERIES["model_roc_points"](spark, sf).orderBy(F.col("threshold").desc()).collect()}
+    assert last == {m: (f.n_positive, f.n_rows - f.n_positive) for m, f in facts.items()}
+    lines = QUERIES["grid_search_submission"](spark, sf).collect()
+    assert sorted(r.order_id for r in lines) == sorted(r.order_id for r in QUERIES["model_submission_orders"](spark, sf).collect())
+    up = [r.importance for r in QUERIES["feature_importance_ascending"](spark, sf).collect()]
+    assert up == sorted(up)
+
+
+def test_each_data_check_finds_its_planted_violation(spark):
+    from cartflow.operators.profile import data_checks
+    orders = spark.createDataFrame([(1, 1, "prior", 1), (1, 1, "prior", 2), (2, 1, "train", 3), (3, 1, "test", 4), (4, None, "later", 1)],
+                                   "order_id long, user_id long, eval_set string, order_number int")  # nullable, unlike the schema
+    lines = spark.createDataFrame([(1, 7, 0), (1, 7, 0), (1, 7, 1)], schemas.ORDER_LINES)
+    features = spark.createDataFrame([(1, 7, 0.5), (1, 8, None)], "user_id long, product_id long, f double")
+    found = {r.rule: r.violations for r in data_checks(orders, lines, lines.limit(1), features, features, features.withColumnRenamed("f", "g")).collect()}
+    assert found == {"orders.order_id unique": 1, "prior_lines (order_id, product_id) unique": 2, "train_lines (order_id, product_id) unique": 0,
+                     "one future order per user": 1, "eval_set known": 1, "orders keys not null": 1, "feature table has no NULL": 1,
+                     "train and test share feature columns": 2}
