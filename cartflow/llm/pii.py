@@ -3,15 +3,24 @@
 DataFrame functions only.  Four base kinds are found by pattern and check and
 are always redacted.  Around them, generators of high recall propose spans
 that may overlap each other and the base ones: numbers with any grouping,
-and addresses with spelled-out signs.  Boosted trees score each candidate by
-its format (length, digits, groups, signs) and context (the characters and
-words beside it); what passes the threshold of its kind is redacted too.
+and addresses with spelled-out signs.  Boosted trees of each kind score a candidate by
+its format (length, digits, groups, signs, check digit) and context (the
+characters and words beside it).  What passes the threshold of its kind and
+touches no base span is redacted too; of selected candidates that overlap, the
+one with the best score is taken first.
 
 The trees learn from a sample of about ``sample_docs`` documents, chosen by a
-hash of the id: candidates that are a base span are positive, those that touch
-none are negative.  The threshold of a kind is the least at which, on
-documents kept out of the fit, the selected candidates are base spans with
-``precision``; a kind without such a threshold selects nothing.
+hash of the id, in which every base span is masked: half of them (by a hash)
+get a form no base pattern finds (signs spelled out, no ``+`` or country code,
+other separators, a contact word beside a plain number), half a look-alike
+that isn't personal (no domain, a wrong check digit, a part over 255, a date).
+A candidate that is a masked form is positive; look-alikes, parts and overlong
+spans are negative, and so are the texts' other numbers, unless a contact word
+stands right before them (positive) or near them (not learned from).  The
+threshold of a kind is the least at which, on documents kept out of the fit,
+the candidates that win among those that overlap are right with ``precision``;
+a kind without such a threshold selects nothing.  The precision is that on
+forms and look-alikes in equal numbers, not on a text's own mixture.
 
 A fitted model becomes a column expression, so finding and redacting is one
 pass over the documents without a shuffle or join.  Patterns are written so
@@ -43,9 +52,18 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators: spans that may be personal data, whether or not they pass the checks of the base kinds.
 NUMBER = r"(?:\G|(?<![0-9A-Za-z]))[+(]{0,2}[0-9]++(?:[\x20().:/-]{1,2}[0-9]++)*+"
 SPELLED = rf"(?:\G|(?<!{LOCAL})){LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?{HOST}++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?{HOST}++)*+"
+#: The same without blanks, so that neighbours or the next sentence aren't taken along, and the usual shape of a phone number.
+TIGHT_NUMBER = r"(?<![0-9A-Za-z])[+(]?[0-9]++(?:(?:\[\.\]|\(\.\)|[().:/-]{1,2})[0-9]++)*+"
+TIGHT_SPELLED = rf"(?<!{LOCAL}){LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?{HOST}++(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?){HOST}++)*+"
+IN_WORDS = rf"(?<!{LOCAL}){LOCAL}++\x20at\x20{HOST}++(?:\x20dot\x20{HOST}++)++"
+GROUPED = r"(?<![0-9A-Za-z+])(?:[0-9]{1,3}[\x20.-])?(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]{1,2}[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])"
 CONTEXT = 24
 KEYWORDS = r"(?i)(tel|phone|call|mobil|fax|mail|contact|card|visa|iban|account|addr|host|ssn|born|kontakt|correo|courriel)"
 OTHER_USE = r"(?i)(version|licen[sc]e|cc |by-|page|chapter|no\.|token|password|key|sha|id)[^A-Za-z]*$"
+BESIDE = r"(?i)\b(tel|phone|telephone|mobile|fax|call|contact|telefon|telefono|t[ée]l)[^A-Za-z0-9]{1,3}$"
+DATE = r"^(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)?[0-9]{2})$"
+SHAPE = r"^(?:[0-9]{1,3}[\x20.-])?(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]{1,2}[0-9]{3,4}[\x20.-]?[0-9]{3,4}$"
+DOMAIN = r"(?:\.|[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z]{2,}$"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -107,35 +125,47 @@ def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``_cand``: candidate spans with kind and features, of all generators."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = with_places(docs, text, {"_g0": (SPELLED, F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]")),
-                                    "_g1": (NUMBER, text.rlike("[0-9]"))})
-    number = F.filter("_g1", lambda s: F.length(digits_of(s["hit"])) >= 5)
+    spelled = F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]")
+    made = {"_g0": (SPELLED, spelled), "_g1": (NUMBER, text.rlike("[0-9]")), "_g2": (TIGHT_SPELLED, spelled),
+            "_g3": (TIGHT_NUMBER, text.rlike("[0-9]")), "_g4": (GROUPED, text.rlike("[0-9]{3}")), "_g5": (IN_WORDS, F.contains(text, F.lit(" dot ")))}
+    docs = with_places(docs, text, made)
 
-    def described(s: Column, generator: int) -> Column:
-        hit, left, right = s["hit"], s["left"], s["right"]
+    def described(s: Column) -> Column:
+        hit, left, right, generator, groups = s["hit"], s["left"], s["right"], s["generator"], s["groups"]
         n = lambda chars: F.length(hit) - F.length(F.translate(hit, chars, ""))
         digits, dots = n("0123456789"), n(".")
-        kind = F.lit(0) if generator == 0 else F.when(dots == 3, 1).when(digits >= 12, 2).otherwise(3)
-        groups = F.filter(F.split(hit, "[^0-9]+"), lambda g: g != "")
-        made = [F.length(hit), digits, F.length(F.regexp_replace(hit, "[^A-Za-z]", "")), n("@"), dots, n(" "), n("-"), n("()"), n("+"),
-                F.size(groups), F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)),
-                F.coalesce(F.array_min(F.transform(groups, F.length)), F.lit(0)),
+        kind = F.when(generator == 0, 0).when((dots == 3) & (F.array_max(F.transform(groups, F.length)) <= 3), 1).when(digits >= 12, 2).otherwise(3)
+        octets = (F.size(groups) == 4) & ~F.exists(groups, lambda g: F.right(g, F.lit(9)).cast("int") > 255)
+        # how long an address is and which digits its names have says nothing about it
+        number = lambda x: F.when(generator == 0, 0).otherwise(x)
+        made = [number(F.length(hit)), number(digits), number(F.length(F.regexp_replace(hit, "[^A-Za-z]", ""))), n("@"), dots, n(" "), n("-"), n("()"), n("+"),
+                number(F.size(groups)), number(F.array_max(F.transform(groups, F.length))), number(F.array_min(F.transform(groups, F.length))),
                 left.rlike("[A-Za-z0-9]$").cast("int"), left.rlike(r"[=\"':/#_-] ?$").cast("int"), right.rlike("^[A-Za-z0-9]").cast("int"),
                 right.rlike(r"^[\"'/_-]").cast("int"), left.rlike(KEYWORDS).cast("int"), left.rlike(OTHER_USE).cast("int"),
-                right.rlike(r"^\.?\s").cast("int"), F.lit(generator)]
+                right.rlike(r"^\.?\s").cast("int"), generator,
+                number(F.call_function("luhn_check", digits_of(hit)).cast("int")), hit.rlike(DOMAIN).cast("int"), hit.rlike(DATE).cast("int"),
+                number(F.array_max(F.transform(groups, lambda g: F.right(g, F.lit(9)).cast("double")))),
+                left.rlike(BESIDE).cast("int"), kind, F.when(kind == 1, octets).otherwise(hit.rlike(SHAPE)).cast("int")]
         return F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end"),
                         F.array(*[m.cast("double") for m in made]).alias("x"))
 
-    return docs.withColumn("_cand", F.concat(F.transform("_g0", lambda s: described(s, 0)),
-                                             F.transform(number, lambda s: described(s, 1)))).drop("_g0", "_g1")
+    def of(name: str, generator: int) -> Column:
+        hits = F.filter(name, lambda s: F.length(digits_of(s["hit"])) >= 5) if generator else F.col(name)
+        return F.transform(hits, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), s["left"].alias("left"),
+                                                    s["right"].alias("right"), F.lit(generator).alias("generator"),
+                                                    F.filter(F.split(s["hit"], "[^0-9]+"), lambda g: g != "").alias("groups")))
 
+    # a span that several generators propose is one candidate
+    hits = F.array_distinct(F.concat(of("_g0", 0), of("_g2", 0), of("_g5", 0), of("_g1", 1), of("_g3", 1), of("_g4", 1)))
+    return docs.withColumn("_cand", F.transform(hits, described)).drop(*made)
 
-FEATURES = 20
+
+FEATURES = 27
 
 
 @dataclass
 class SpanModel:
-    """Boosted trees as nested tuples, and a threshold for each kind (None: it selects nothing)."""
+    """Boosted trees of each kind as (kind, weight, nested tuples), and a threshold for each kind (None: it selects nothing)."""
 
     trees: list = field(default_factory=list)
     thresholds: list = field(default_factory=lambda: [None] * len(KINDS))
@@ -146,7 +176,9 @@ class SpanModel:
                 return F.lit(tree[0])
             at, threshold, low, high = tree
             return F.when(x[at] <= threshold, value(low)).otherwise(value(high))
-        margin = reduce(lambda a, b: a + b, [F.lit(w) * value(t) for w, t in self.trees], F.lit(0.0))
+        none = F.lit(-9.0)  # a kind without trees
+        margin = reduce(lambda c, k: c.when(x[25] == k, reduce(lambda a, b: a + b, [F.lit(w) * value(t) for j, w, t in self.trees if j == k])),
+                        sorted({k for k, _, _ in self.trees}), F.when(F.lit(False), none)).otherwise(none)
         return 1 / (1 + F.exp(-2 * margin))
 
     def selects(self, cand: Column) -> Column:
@@ -164,6 +196,115 @@ def as_tuples(model: GBTClassificationModel) -> list:
     return [(float(w), walk(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees)]
 
 
+def masked(s: Column) -> Column:
+    """What stands for a base span in the training texts: struct(start, end, before, form, good) with the words before it, its new form, and whether that is personal."""
+    hit, kind, d, way = s["hit"], s["kind"], s["digits"], s["way"]
+    pick = lambda *forms: F.element_at(F.array(*forms), way + 1)
+    t = F.lit
+    local, host = F.substring_index(hit, "@", 1), F.substring_index(hit, "@", -1)
+    label = F.substring_index(host, ".", 1)
+    email = pick(F.concat(local, t("(at)"), host), F.concat(local, t(" (at) "), host),
+                 F.concat(local, t("[at]"), F.replace(host, t("."), t("[dot]"))), F.concat(local, t(" at "), F.replace(host, t("."), t(" dot "))),
+                 F.concat(local, t(" (at) "), label), F.concat(local, t("@"), label), F.concat(local, t("[at]"), label), F.concat(local, t(" @ "), label))
+    spaced, boxed = F.replace(hit, t("."), t(". ")), F.replace(hit, t("."), t("[.]"))
+    over = F.concat(t("7"), F.lpad(F.right(F.substring_index(hit, ".", 1), t(2)), 2, "0"), F.regexp_replace(hit, "^[0-9]+", ""))
+    ip = pick(spaced, boxed, spaced, boxed, over, F.replace(over, t("."), t(". ")), over, F.replace(over, t("."), t("[.]")))
+    wrong = F.concat(F.substring(d, t(1), F.length(d) - 1), ((F.right(d, t(1)).cast("int") + 1 + way) % 10).cast("string"))
+    by_four = lambda x, sign: F.regexp_replace(x, "([0-9]{4})(?=[0-9])", "$1" + sign)
+    card = pick(by_four(d, "."), by_four(d, "/"), by_four(d, "."), by_four(d, "/"), wrong, by_four(wrong, "-"), by_four(wrong, "."), by_four(wrong, "/"))
+    apart = hit.rlike(r"^\+[0-9]{1,3}[^0-9]+[0-9]")
+    home, plain = F.regexp_replace(hit, r"^\+[0-9]{1,3}[\x20.-]*", ""), F.right(d, t(10))
+    sign = F.element_at(F.array(t("."), t("-"), t(" ")), F.pmod(F.xxhash64(hit, t(23)), t(3)).cast("int") + 1)
+    parted = F.trim(F.regexp_replace(home, "[^0-9]+", sign), sign)
+    date = lambda sign, *parts: F.concat_ws(sign, *parts)
+    year, month, day = F.concat(t("20"), F.substring(d, 3, 2)), F.concat(t("0"), F.greatest(F.right(d, t(1)), t("1"))), F.concat(t("1"), F.substring(d, 4, 1))
+    phone = pick(F.when(apart, F.substring(hit, t(2), F.length(hit))).otherwise(plain), F.when(apart, home).otherwise(plain),
+                 F.when(apart, parted).otherwise(plain), plain, date("-", year, month, day), date("/", day, month, year), plain, F.right(d, t(8)))
+    before = F.when((kind == 3) & ((way == 3) | (way < 3) & ~apart), F.when(F.length(hit) % 2 == 0, "phone: ").otherwise("tel. ")).when((kind == 3) & (way == 7), "page ")
+    form = F.when(kind == 0, email).when(kind == 1, ip).when(kind == 2, card).otherwise(phone)
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(before, t("")).alias("before"), form.alias("form"), (way < 4).alias("good"))
+
+
+def labelled(docs: DataFrame, text_col: str = "text", ways: int = 1) -> DataFrame:
+    """``docs`` with masked base spans and ``_cand`` of them: struct(start, kind, end, x, label), label null where nothing is known.
+
+    A document with base spans comes once for each of ``ways`` (8 at most), every time with other forms.
+    Candidates that still touch a base span are left out, for they can't be added.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    none = F.array().cast("array<struct<start:int,end:int,good:boolean>>")
+
+    def step(acc: Column, s: Column) -> Column:
+        before, form, good = s["before"], s["form"], s["good"]
+        start = F.length(acc["out"]) + s["start"] - acc["at"] + F.length(before)
+        put = F.struct(start.alias("start"), (start + F.length(form)).alias("end"), good.alias("good"))
+        made = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), before, form).alias("out"),
+                        F.concat(acc["put"], F.array(put)).alias("put"))
+        return F.when(s["start"] >= acc["at"], made).otherwise(acc)
+
+    def hit(s: Column) -> Column:
+        found = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), found.alias("hit"), digits_of(found).alias("digits"),
+                        F.pmod(F.xxhash64(found, F.lit(17)) + F.col("_way"), F.lit(8)).cast("int").alias("way"))
+
+    docs = with_base(docs, text_col)
+    docs = docs.withColumn("_way", F.explode_outer(F.sequence(F.lit(0), F.when(F.size("_base") > 0, ways - 1).otherwise(0))))
+    docs = docs.withColumn("_m", F.aggregate(
+        F.transform(F.transform("_base", hit), masked), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), none.alias("put")), step,
+        lambda acc: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))).alias("text"), acc["put"].alias("put"))))
+    docs = docs.drop("_base", "_way").withColumn(text_col, F.col("_m.text")).withColumn("_put", F.col("_m.put")).drop("_m")
+    docs = with_candidates(with_base(docs, text_col), text_col)
+
+    def label(c: Column) -> Column:
+        mine = F.filter("_put", lambda p: (p["start"] < c["end"]) & (p["end"] > c["start"]))
+        same = F.exists(mine, lambda p: p["good"] & (p["start"] == c["start"]) & (p["end"] == c["end"]))
+        x = c["x"]
+        told = (c["kind"] > 0) & (x[24] == 1) & x[1].between(7, 15)
+        unsure = F.when(c["kind"] == 0, x[21] == 1).otherwise((x[16] == 1) & (x[17] == 0))
+        return F.when(F.size(mine) > 0, same.cast("double")).when(told, 1.0).when(~unsure, 0.0)
+
+    free = F.filter("_cand", lambda c: ~touches_base(c))
+    return docs.withColumn("_cand", F.transform(free, lambda c: F.struct(c["start"], c["kind"], c["end"], c["x"], label(c).alias("label"))))
+
+
+def touches_base(c: Column) -> Column:
+    return F.exists("_base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+
+
+def winners(cands: Column) -> Column:
+    """Of structs (rank, start, end, ...), least rank first: those that overlap none taken before.
+
+    Spans are swept by start; only within a cluster of overlapping ones each is held against those taken.
+    """
+    swept = F.array_sort(cands, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"]))
+    none = F.filter(cands, lambda c: F.lit(False))
+
+    def settled(cluster: Column) -> Column:
+        def take(kept: Column, c: Column) -> Column:
+            return F.when(F.exists(kept, lambda k: (k["start"] < c["end"]) & (k["end"] > c["start"])), kept).otherwise(F.concat(kept, F.array(c)))
+        return F.when(F.size(cluster) < 2, cluster).otherwise(F.aggregate(F.array_sort(cluster), none, take))
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.when(c["start"] < acc["reach"], F.struct(acc["out"].alias("out"), F.concat(acc["open"], F.array(c)).alias("open"),
+                                                          F.greatest(acc["reach"], c["end"]).alias("reach"))).otherwise(
+            F.struct(F.concat(acc["out"], settled(acc["open"])).alias("out"), F.array(c).alias("open"), c["end"].alias("reach")))
+    return F.aggregate(swept, F.struct(none.alias("out"), none.alias("open"), F.lit(0).alias("reach")), step,
+                       lambda acc: F.concat(acc["out"], settled(acc["open"])))
+
+
+def ranked(model: SpanModel, c: Column, *more: Column) -> Column:
+    return F.struct((-model.score(c["x"])).alias("rank"), (c["start"] - c["end"]).alias("size"), c["start"].alias("start"), c["kind"].alias("kind"),
+                    c["end"].alias("end"), *more)
+
+
+def calibration(docs: DataFrame, model: SpanModel, text_col: str = "text") -> list:
+    """Rows (kind, bin, good, n): the winners among candidates of even odds or more, by score in steps of 1/200; 4 kinds, 101 bins at most."""
+    cands = F.filter(F.transform("_cand", lambda c: ranked(model, c, c["label"].alias("label"))), lambda c: c["rank"] <= -0.5)
+    won = labelled(docs, text_col).withColumn("_won", cands).select(F.explode_outer(winners(F.col("_won"))).alias("c")).where("c.label is not null")
+    return (won.groupBy("c.kind", F.floor(-F.col("c.rank") * 200).cast("int").alias("bin"))
+            .agg(F.sum("c.label").alias("good"), F.count("*").alias("n")).collect())
+
+
 def train(docs: DataFrame, sample_docs: int = 20_000, precision: float = 0.99, rounds: int = 8, depth: int = 3,
           id_col: str = "doc_id", text_col: str = "text") -> SpanModel:
     """Fits trees and thresholds on about ``sample_docs`` documents."""
@@ -173,20 +314,21 @@ def train(docs: DataFrame, sample_docs: int = 20_000, precision: float = 0.99, r
     share = min(1.0, sample_docs / total)
     picked = docs.select(F.coalesce(F.xxhash64(id_col, F.lit(11)), F.lit(0)).alias("_h"), F.col(text_col).alias("text"))
     picked = picked.where(F.pmod("_h", F.lit(1_000_003)) < int(share * 1_000_003))
-    rows = (with_candidates(with_base(picked)).select("_h", "_base", F.explode("_cand").alias("c"))
-            .select("_h", "c.kind", "c.x",
-                    F.exists("_base", lambda b: (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end"))).alias("same"),
-                    F.exists("_base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start"))).alias("touches"))
-            .where("same or not touches")
-            .select("kind", "x", F.col("same").cast("double").alias("label"), (F.pmod("_h", F.lit(10)) < 7).alias("fitting")))
-    rows = cut(rows.withColumns({f"x{i}": F.col("x")[i] for i in range(FEATURES)}).repartition(4))
-    if {r.label for r in rows.where("fitting").select("label").distinct().collect()} != {0.0, 1.0}:
-        return SpanModel()
-    vectors = VectorAssembler(inputCols=[f"x{i}" for i in range(FEATURES)], outputCol="features").transform(rows.where("fitting"))
-    fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=5, maxBins=32, cacheNodeIds=False).fit(vectors.select("features", "label"))
-    model = SpanModel(as_tuples(fitted))
-    bins = (rows.where("not fitting").select("kind", F.floor(model.score(F.col("x")) * 200).cast("int").alias("bin"), "label")
-            .groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect())  # 4 kinds, 201 bins at most
+    fitting = F.pmod("_h", F.lit(10)) < 7
+    rows = (labelled(picked.where(fitting), ways=8).select(F.explode_outer("_cand").alias("c")).where("c.label is not null")
+            .select(*[F.col("c.x")[i].alias(f"x{i}") for i in range(FEATURES)], F.col("c.label").alias("label")))
+    rows = cut(rows.repartition(4))
+    both = {r.x25 for r in rows.groupBy("x25").agg(F.countDistinct("label").alias("n")).where("n = 2").collect()}
+    model = SpanModel()
+    vectors = VectorAssembler(inputCols=[f"x{i}" for i in range(FEATURES)], outputCol="features").transform(rows)
+    for kind in range(len(KINDS)):
+        if kind in both:
+            fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=5, maxBins=32, cacheNodeIds=False).fit(
+                vectors.where(F.col("x25") == kind).select("features", "label"))
+            model.trees += [(kind, *t) for t in as_tuples(fitted)]
+    if not model.trees:
+        return model
+    bins = calibration(picked.where(~fitting), model)
     for kind in range(len(KINDS)):
         good = n = 0.0
         for r in sorted((r for r in bins if r.kind == kind), key=lambda r: -r.bin):
@@ -197,12 +339,13 @@ def train(docs: DataFrame, sample_docs: int = 20_000, precision: float = 0.99, r
 
 
 def find(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
-    """Adds ``base_spans`` and ``spans`` (base ones and selected candidates that touch none), arrays of struct(start, kind, end)."""
+    """Adds ``base_spans`` and ``spans`` (base ones and the winners of the selected candidates that touch none), arrays of struct(start, kind, end)."""
     docs = with_candidates(with_base(docs, text_col), text_col)
-    chosen = F.filter("_cand", lambda c: model.selects(c) & ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    chosen = F.transform(F.filter("_cand", lambda c: ~touches_base(c) & model.selects(c)), lambda c: ranked(model, c))
+    docs = docs.withColumn("_won", chosen)
+    added = F.transform(winners(F.col("_won")), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     return (docs.withColumn("spans", F.array_sort(F.array_distinct(F.concat("_base", added))))
-            .withColumnRenamed("_base", "base_spans").drop("_cand"))
+            .withColumnRenamed("_base", "base_spans").drop("_cand", "_won"))
 
 
 def spans_text(spans: Column) -> Column:

@@ -65,6 +65,33 @@ def test_trees_add_what_the_checks_miss_and_redaction_covers_it(spark):
         assert clean[r.doc_id] == want + r.text[at:]
 
 
+FORMS = {"joe.doe(at)example.com": "email", "joe_d (at) mail.example.org": "email", "jd[at]example[dot]com": "email", "joe at example dot com": "email",
+         "(555) 123-4567": "phone", "1 (555) 987-6543": "phone", "555.123.4567": "phone", "555-123-4567": "phone", "4111.1111.1111.1111": "card", "4111/1111/1111/1111": "card",
+         "10[.]20[.]30[.]40": "ip"}
+LOOK_ALIKES = ["2021-03-14", "14/03/2021", "4111.1111.1111.1112", "meet (at) noon", "me@host"]
+
+
+def test_trees_find_forms_that_no_base_pattern_has(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = [(-1 - i, f"words of a text and {form} among other words") for i, form in enumerate([*FORMS, *LOOK_ALIKES])]
+    rows.append((-100, "ask joe(at)example.org. The rest"))  # two candidates overlap: the next sentence isn't taken along
+    planted = spark.createDataFrame(rows, docs.schema)
+    model = pii.train(docs.union(planted))
+    found = {r.doc_id: (r.b, r.s) for r in pii.find(planted, model).select(
+        "doc_id", pii.spans_text(F.col("base_spans")).alias("b"), pii.spans_text(F.col("spans")).alias("s")).collect()}
+    for i, form in enumerate([*FORMS, *LOOK_ALIKES]):
+        want = f"{FORMS[form]}:20:{20 + len(form)}" if form in FORMS else ""
+        assert found[-1 - i] == ("", want), form
+    assert found[-100] == ("", "email:4:23")
+
+
+def test_overlapping_candidates_compete(spark):
+    rows = [([(-0.9, 0, 5), (-0.95, 4, 9), (-0.99, 8, 12), (-0.5, 20, 21)],), ([(-0.9, 0, 5), (-0.8, 0, 3), (-0.8, 3, 5)],), ([],)]
+    frame = spark.createDataFrame(rows, "c array<struct<rank:double,start:int,end:int>>")
+    got = [[(w.start, w.end) for w in r.w] for r in frame.select(pii.winners(F.col("c")).alias("w")).collect()]
+    assert [sorted(g) for g in got] == [[(0, 5), (8, 12), (20, 21)], [(0, 5)], []]
+
+
 def brute_mix(docs):
     """Repeated resharing, and the prefix sums of sorted keys."""
     rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.text or "") for r in docs]
