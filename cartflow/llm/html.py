@@ -7,9 +7,14 @@ density on the path from the body down to it is the threshold: going down from
 the body, an element is kept when its density reaches the threshold, and the
 element with the greatest sum below it is taken.
 
-Menus, page headers and footers, side bars, notices, adverts, forms, scripts,
-styles and reader comments are left out before densities are taken, by tag,
-role and words in class or id.
+Scripts, styles, form fields and the like are never text.  Menus, page headers
+and footers, side bars, notices, adverts, forms and reader comments are left
+out before densities are taken, by tag, role and whole names in class or id,
+unless they are part of the article by their content.  What they hold outside
+links decides: one that holds articles or main parts with more text than those
+outside of marked elements have, or most of the page's text (beside no article
+or main part with text), is judged by density like any other, and so is the
+header of an article.
 
 Null html counts as empty and gives an empty text; markup that is never
 closed, or closed in the wrong order, is closed where a browser would (for
@@ -34,24 +39,28 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-LEFT_OUT = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "nav", "header", "footer", "aside",
-            "form", "button", "select", "textarea", "input", "menu", "dialog", "title", "xmp", "noembed", "noframes"}
+LEFT_OUT = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "button", "select", "textarea", "input",
+            "title", "xmp", "noembed", "noframes"}
+#: Elements that are left out if their content agrees.
+ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 BLOCK = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure",
          "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table",
          "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "header", "footer", "nav", "aside", "form"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
 FENCE = {"ul", "ol", "dl", "table", "body", "html"}  # an implied end doesn't reach out of these
-#: Words in class or id that mark what isn't the article.
+#: Names in class or id that mark what isn't the article.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu",
          "breadcrumb", "breadcrumbs", "sidebar", "header", "footer", "comment", "comments", "disqus", "cookie", "cookies", "consent",
          "notice", "popup", "modal", "newsletter", "subscribe", "share", "sharing", "social", "related", "widget", "pagination", "pager"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
-WORDS = re.compile(r"[A-Za-z]+")
+#: The share of the page's characters outside links from which a marked element isn't left out for its mark.
+MOST = 0.5
 
 
-def is_left_out(tag: str, attributes: str) -> bool:
-    if tag in LEFT_OUT:
+def is_marked(tag: str, attributes: str) -> bool:
+    """Whether tag, role or names say that an element isn't the article; what it holds can say otherwise."""
+    if tag in ASIDE:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
@@ -59,7 +68,7 @@ def is_left_out(tag: str, attributes: str) -> bool:
         value, name = "".join(values).lower(), name.lower()
         if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and not MARKS.isdisjoint(WORDS.findall(value)):
+        if name in ("class", "id") and not MARKS.isdisjoint(value.split()):
             return True
     return False
 
@@ -68,7 +77,8 @@ class Page:
     """The elements of a page in the order they open, and its text with the element each part belongs to."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.out = ["html"], [-1], [False]
+        self.tag, self.parent, self.out, self.marked = ["html"], [-1], [False], [False]
+        self.part = [False]  # articles and main parts, but for readers' comments marked up as articles
         self.items: list[tuple[int, str | None]] = []  # text of an element, or the border of a block
         stack, at, size = [0], 0, len(source)
         body = None
@@ -92,7 +102,9 @@ class Page:
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.out.append(self.out[stack[-1]] or is_left_out(tag, m[3]))
+            self.out.append(self.out[stack[-1]] or tag in LEFT_OUT)
+            self.marked.append(is_marked(tag, m[3]))
+            self.part.append(tag in ("article", "main") and not is_marked("", m[3]))
             if tag == "body":
                 body = node
             if tag in BLOCK:
@@ -107,6 +119,30 @@ class Page:
         if at < size:
             self.items.append((stack[-1], source[at:]))
         self.body = body or 0
+        self._leave_out()
+
+    def _leave_out(self) -> None:
+        """Marked elements go with all they hold, but for those that the page's text is in, and headers of articles."""
+        n = len(self.tag)
+        plain, held, free = [0] * n, [0] * n, 0
+        in_link, in_part, in_mark = [False] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            in_link[i] = self.tag[i] == "a" or in_link[up]
+            in_part[i] = self.part[i] or in_part[up]
+            in_mark[i] = self.marked[i] and not (self.tag[i] == "header" and in_part[i]) or in_mark[up]
+        for node, text in self.items:
+            if text and not self.out[node] and not in_link[node]:
+                size = len(text) - sum(map(text.count, " \n\t\r"))
+                plain[node] += size
+                free += size if in_part[node] and not in_mark[node] else 0
+        for i in range(n - 1, 0, -1):  # text, and what of it is in articles and main parts below
+            up = self.parent[i]
+            plain[up] += plain[i]
+            held[up] += plain[i] if self.part[i] else held[i]
+        for i in range(1, n):
+            own = held[i] > free or plain[i] > MOST * plain[0] and (in_part[i] or not free) or self.tag[i] == "header" and in_part[i]
+            self.out[i] = self.out[i] or self.out[self.parent[i]] or self.marked[i] and not own
 
     def _pop(self, stack: list[int]) -> None:
         node = stack.pop()

@@ -208,3 +208,19 @@ def test_pages_give_their_articles(spark):
         inside = p.html[p.html.index("<article>") + 9:p.html.index("</article>")]
         blocks = [" ".join(standard.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
         assert html.main_text(p.html) == "\n".join(b for b in blocks if b)
+
+
+def test_marks_do_not_take_the_article_along():
+    story = "<h1>Title</h1><p>long text of an article that goes on and on</p><p>and a second paragraph, as long as the first one was</p>"
+    want = "Title\nlong text of an article that goes on and on\nand a second paragraph, as long as the first one was"
+    side = "<div class='sidebar'><p>other <a href='/'>news of the day</a></p></div>"
+    for box in ("content has-sidebar", "no-sidebar", "with-header", "comments-open", "widget"):
+        for inner in (story, f"<article>{story}</article>"):
+            assert html.main_text(f"<body><div class='{box}'>{inner}</div>{side}</body>") == want, (box, inner)
+    assert html.main_text(f"<body><form action='x.aspx'><input name=a>{side}<div id='main'>{story}</div><select><option>o</select></form></body>") == want
+    head = "<article><header><h1>Title</h1></header>" + story.partition("</h1>")[2] + "</article>"
+    assert html.main_text(f"<body><header><p>My site</p></header><div class='menu'>{head}</div><footer>f</footer></body>") == want
+    assert html.main_text(f"<body><div class='x ad'><p>buy</p></div><article>{story}<div id='comments'><p>no</p></div></article></body>") == want
+    replies = "<section class='comments'><article class='comment'><p>a reader's long answer to this</p></article></section>"
+    assert html.main_text(f"<body><main><h1>Title</h1><div class='widget'>{story.partition('</h1>')[2]}</div>{replies}</main></body>") == want
+    assert html.main_text(f"<body><article>{story}</article>{replies}</body>") == want
