@@ -15,9 +15,10 @@ get a form no base pattern finds (signs spelled out, no ``+`` or country code,
 other separators, a contact word beside a plain number), half a look-alike
 that isn't personal (no domain, a wrong check digit, a part over 255, a date).
 A candidate that is a masked form is positive; look-alikes, parts and overlong
-spans are negative, and so are the texts' other numbers, unless a contact word
-stands right before them (positive) or near them (not learned from).  The
-threshold of a kind is the least at which, on documents kept out of the fit,
+spans are negative, and so are the texts' other numbers and signs, unless a
+contact word stands right before them (positive) or near them, or they have
+the form of personal data (both not learned from, for they may be some).  The
+threshold of a kind is the least at which, on all documents outside the fit,
 the candidates that win among those that overlap are right with ``precision``;
 a kind without such a threshold selects nothing.  The precision is that on
 forms and look-alikes in equal numbers, not on a text's own mixture.
@@ -260,7 +261,8 @@ def labelled(docs: DataFrame, text_col: str = "text", ways: int = 1) -> DataFram
         same = F.exists(mine, lambda p: p["good"] & (p["start"] == c["start"]) & (p["end"] == c["end"]))
         x = c["x"]
         told = (c["kind"] > 0) & (x[24] == 1) & x[1].between(7, 15)
-        unsure = F.when(c["kind"] == 0, x[21] == 1).otherwise((x[16] == 1) & (x[17] == 0))
+        formed = F.when(c["kind"] == 2, x[20] == 1).when(c["kind"] == 1, x[26] == 1).otherwise((x[26] == 1) & (x[22] == 0))
+        unsure = F.when(c["kind"] == 0, x[21] == 1).otherwise(((x[16] == 1) | formed) & (x[17] == 0))
         return F.when(F.size(mine) > 0, same.cast("double")).when(told, 1.0).when(~unsure, 0.0)
 
     free = F.filter("_cand", lambda c: ~touches_base(c))
@@ -307,14 +309,13 @@ def calibration(docs: DataFrame, model: SpanModel, text_col: str = "text") -> li
 
 def train(docs: DataFrame, sample_docs: int = 20_000, precision: float = 0.99, rounds: int = 8, depth: int = 3,
           id_col: str = "doc_id", text_col: str = "text") -> SpanModel:
-    """Fits trees and thresholds on about ``sample_docs`` documents."""
+    """Fits trees on 70% of about ``sample_docs`` documents, and thresholds on all other documents."""
     total = docs.count()
     if not total:
         return SpanModel()
     share = min(1.0, sample_docs / total)
     picked = docs.select(F.coalesce(F.xxhash64(id_col, F.lit(11)), F.lit(0)).alias("_h"), F.col(text_col).alias("text"))
-    picked = picked.where(F.pmod("_h", F.lit(1_000_003)) < int(share * 1_000_003))
-    fitting = F.pmod("_h", F.lit(10)) < 7
+    fitting = (F.pmod("_h", F.lit(1_000_003)) < int(share * 1_000_003)) & (F.pmod("_h", F.lit(10)) < 7)
     rows = (labelled(picked.where(fitting), ways=8).select(F.explode_outer("_cand").alias("c")).where("c.label is not null")
             .select(*[F.col("c.x")[i].alias(f"x{i}") for i in range(FEATURES)], F.col("c.label").alias("label")))
     rows = cut(rows.repartition(4))

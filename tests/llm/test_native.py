@@ -82,7 +82,17 @@ def test_trees_find_forms_that_no_base_pattern_has(spark):
     for i, form in enumerate([*FORMS, *LOOK_ALIKES]):
         want = f"{FORMS[form]}:20:{20 + len(form)}" if form in FORMS else ""
         assert found[-1 - i] == ("", want), form
-    assert found[-100] == ("", "email:4:23")
+    assert found[-100] == ("", "email:4:22")
+
+
+def test_thresholds_see_all_documents_outside_the_fit(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    seen = []
+    counted = pii.calibration
+    monkeypatch.setattr(pii, "calibration", lambda docs, model: seen.append(docs.count()) or counted(docs, model))
+    total = docs.count()
+    pii.train(docs, sample_docs=total // 2)
+    assert 0.55 * total < seen[0] < 0.75 * total  # all but 70% of the sampled half
 
 
 def test_overlapping_candidates_compete(spark):
