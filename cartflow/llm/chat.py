@@ -4,8 +4,8 @@ A conversation's turns in order carry prefix sums of their tokens.  Cut at
 every ``budget`` tokens, the sums give turn-aligned spans: a span holds the
 turns that lie wholly in one stretch; a turn across a border is a span of its
 own.  A window is one span; before it stand the system turn and up to
-``history`` turns that precede the span (of at most ``history_tokens`` each),
-repeated and outside the loss mask.  Every assistant turn is a target in the
+``history`` turns that directly precede the span, back to the first one of
+more than ``history_tokens``, repeated and outside the loss mask.  Every assistant turn is a target in the
 one window whose span has it.
 
 Template: each turn is ``<s>role`` newline ``text</s>``.  Inside roles and
@@ -60,23 +60,24 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
     placed = ranged(rows.withColumn("n", turn_tokens(F.col("text"))), ["conv_id"], order)
-    rows = running(placed, ["conv_id"], order, {"at": F.col("n"), "i": F.lit(1)})
+    rows = running(placed, ["conv_id"], order, {"at": F.col("n"), "i": F.lit(1), "long": (F.col("n") > history_tokens).cast("long")})
     first, last = F.floor(F.col("at") / budget), F.floor((F.col("at") + F.col("n") - 1) / budget)
     rows = cut(rows.withColumn("span", (2 * first + (first != last).cast("long")).cast("long"))
-               .select("conv_id", "i", "role", "text", "n", "span"))
-    spans = rows.groupBy("conv_id", "span").agg(F.min("i").alias("from"))
+               .select("conv_id", "i", "role", "text", "n", "span", "long"))
+    spans = rows.groupBy("conv_id", "span").agg(F.min("i").alias("from"), F.min("long").alias("upto"))
     own = rows.withColumn("part", F.lit(2))
     key = ["conv_id", "span"]
     # the turns before a span, by their number: at most ``history`` rows for each span
-    wanted = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"),
+    wanted = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "upto",
                           F.explode(F.array_except(F.transform(F.sequence(F.lit(1), F.lit(history)), lambda k: F.col("from") - k),
                                                    F.array(F.lit(-1).cast("long")))).alias("j")).where("j >= 0")
     before = (rows.join(wanted, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("i") == F.col("j")))
-              .where(F.col("n") <= history_tokens).withColumn("span", F.col("s")).withColumn("part", F.lit(1)).drop("c", "s", "j"))
+              .where(F.col("long") == F.col("upto"))  # no long turn from it to the span
+              .withColumn("span", F.col("s")).withColumn("part", F.lit(1)).drop("c", "s", "j", "upto"))
     # the system turn opens every later window
     system = rows.where("i = 0 and role = 'system'").select(F.col("conv_id").alias("c"), "role", "text", "n")
     opening = (spans.where("from > 0").join(system, F.col("conv_id").eqNullSafe(F.col("c")))
-               .select("conv_id", F.lit(0).cast("long").alias("i"), "role", "text", "n", "span", F.lit(0).alias("part")))
+               .select("conv_id", F.lit(0).cast("long").alias("i"), "role", "text", "n", "span", F.lit(0).cast("long").alias("long"), F.lit(0).alias("part")))
     before = before.where(~((F.col("i") == 0) & F.coalesce(F.col("role") == "system", F.lit(False))))
     role = F.replace(F.coalesce(escaped(F.col("role")), F.lit("\\z")), F.lit("\n"), F.lit("\\n"))
     shown = F.concat(F.lit("<s>"), role, F.lit("\n"), escaped(F.col("text")), F.lit("</s>"))

@@ -189,6 +189,14 @@ def test_windows_read_back_to_the_conversations(spark):
     assert chat.windows(frame.limit(0)).count() == 0
 
 
+def test_history_has_no_hole(spark):
+    rows = [(1, 0, "user", "first"), (1, 1, "assistant", "long " * 60), (1, 2, "user", "next " * 60), (1, 3, "user", "short"), (1, 4, "assistant", "end " * 60)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.windows(frame, budget=60, history=2, history_tokens=20).collect():
+        shown = [next(i for i, (_, _, _, t) in enumerate(rows) if t in x) for x in r.text.split("</s>")[:-1]]
+        assert shown == list(range(shown[0], shown[0] + len(shown)))
+
+
 def test_windows_of_ties_and_null_ids(spark):
     frame = spark.createDataFrame([(None, 1, "user", "a"), (None, None, "assistant", "b"), (1, 1, "user", "x"), (1, 1, "user", "x")],
                                   "conv_id long, turn long, role string, text string")
