@@ -10,7 +10,7 @@ precision.
 
 Null ids, null, empty or zero vectors and those with null or non-finite
 components take no part; vectors of another length than the query's are no
-candidates; equal rows count once, and rows of the query's own id are left out.
+candidates; of rows that share an id the nearest counts, and rows of the query's own id are left out.
 """
 
 from __future__ import annotations
@@ -188,9 +188,14 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
             place = np.array([i for _, i in graph.search(qn, width)])
             score = (x[place] * q).sum(1) / (norms[place] * np.sqrt((q * q).sum()))
             mine = [(-c, int(i)) for p, c in zip(place, score.tolist()) for i in ids[p, :held[p]] if i != own]
-            out += [(own, i, -c) for c, i in sorted(mine)[:k]]
+            nearest_of: dict[int, float] = {}
+            for c, i in sorted(mine):
+                nearest_of.setdefault(i, -c)
+                if len(nearest_of) == k:
+                    break
+            out += [(own, i, c) for i, c in nearest_of.items()]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = against(shards, n_shards, dealt(queries, "block", n_blocks, 5, F.col("vec_id")), n_blocks, search,
                     "query_id long, vec_id long, score double")
-    return best(found.dropDuplicates(["query_id", "vec_id"]), k)
+    return best(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k)

@@ -9,7 +9,8 @@ survivors only.
 
 Components become ``floor(scale * x)``.  Vectors of another length than the
 query's are no candidates.  Null ids, null vectors, empty ones and those with
-null or non-finite components take no part; equal rows count once.
+null or non-finite components take no part; rows of the same id and integers
+count once, those of the same id with other integers are candidates of their own.
 """
 
 from __future__ import annotations
@@ -50,6 +51,13 @@ def integers(values: np.ndarray, scale: float) -> np.ndarray:
     return made if top * top * made.shape[1] < 2 ** 52 else np.array([[int(x) for x in row] for row in made], object)
 
 
+def once(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the first row of every id and vector."""
+    if len(np.unique(ids)) == len(ids):
+        return np.arange(len(ids))
+    return np.array(list({(i, *row): place for place, (i, row) in reversed(list(enumerate(zip(ids.tolist(), rows.tolist()))))}.values())[::-1])
+
+
 def exact_top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id",
                 vector_col: str = "embedding", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score`` (long): for each query row the k highest inner products among all other ids."""
@@ -58,11 +66,13 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         both = integers(np.concatenate([matrix(a.v), matrix(b.v)]), scale)
-        columns, queries = np.ascontiguousarray(both[:len(a)].T), both[len(a):]
+        ids, owns, rows, queries = a.vec_id.to_numpy(), b.vec_id.to_numpy(), both[:len(a)], both[len(a):]
+        mine, asked = once(ids, rows), once(owns, queries)  # all rows of an id are in one chunk and one block
+        ids, owns, columns, queries = ids[mine], owns[asked], np.ascontiguousarray(rows[mine].T), queries[asked]
         squares = np.cumsum((columns.astype(float) ** 2)[::-1], 0)[::-1]
         rest = np.sqrt(squares[::DIMENSIONS])
-        ids, out = a.vec_id.to_numpy(), []
-        for own, q in zip(b.vec_id.to_numpy(), queries):
+        out = []
+        for own, q in zip(owns, queries):
             place, score = top_of_chunk(columns, rest, ids, q, own, k)
             out += [(own, ids[p], max(-2 ** 63, min(2 ** 63 - 1, int(s)))) for p, s in zip(place, score)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
@@ -70,4 +80,4 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1
     found = against(dealt(all_, "chunk", n_chunks, 3, F.col("vec_id")), n_chunks,
                     dealt(all_.where(is_query), "block", n_blocks, 5, F.col("vec_id")), n_blocks, search,
                     "query_id long, vec_id long, score long")
-    return best(found.dropDuplicates(["query_id", "vec_id"]), k)
+    return best(found, k)

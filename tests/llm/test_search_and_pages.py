@@ -101,6 +101,15 @@ def test_exact_top_k_is_that_of_all_products(spark):
     assert topk.exact_top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_rows_of_one_id_with_other_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.1]), (1, [0.9, 0.1]), (1, [0.9, 0.1001]), (2, [0.6, 0.6]), (3, [0.3, 1.0]), (4, [0.2, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(frame, F.col("vec_id") == 0, 3).collect())
+    assert got == [(1, 1, 921 * 1024), (2, 2, 614 * 1024), (3, 1, 512 * 1024)]
+    near = sorted((r["rank"], r.vec_id, round(r.score, 6)) for r in hnsw.nearest(frame, F.col("vec_id") == 0, 3).collect())
+    assert near == [(1, 1, 1.0), (2, 2, 0.707107), (3, 3, 0.287348)]
+
+
 def test_branch_and_bound_on_many_dimensions():
     rng = np.random.default_rng(4)
     x = topk.integers(rng.normal(size=(3000, 64)), 1024.0)
