@@ -21,8 +21,8 @@ distance, or of two lists, are dropped as the planes go by.
 connected components join them.
 
 Null or empty texts have the fingerprint zero and link like any other.
-Repeated rows keep their number; a null id forms no class of its own but gets
-the group of its text's class.
+Repeated rows keep their number; rows without an id link like any other, and
+a group of such rows only has a null ``component_id``.
 """
 
 from __future__ import annotations
@@ -224,25 +224,30 @@ def links(classes: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> D
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id",
                     text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the id, the kept columns, ``fp`` (long) and ``component_id``, the smallest id reachable over links within the distance."""
+    return grouped(docs, shingle, distance, id_col, text_col, keep).drop("_group")
+
+
+def grouped(docs: DataFrame, shingle: int, distance: int, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """:func:`near_duplicates` with ``_group``, the smallest fingerprint of the group: classes are numbered by fingerprint, with an id or without."""
     fps = cut(fingerprints(docs, shingle, text_col, (id_col, *keep)))
-    classes = cut(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")).where("rep is not null"))
-    groups = components(links(classes, distance))
-    classes = cut(classes.join(groups, classes.rep == groups.node, "left")
-                  .select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return fps.join(classes, "fp", "left").select(id_col, *keep, "fp", "component_id")
+    classes = cut(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("least")))
+    groups = components(links(classes.select("fp", F.col("fp").alias("rep")), distance))
+    classes = cut(classes.join(groups, classes.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("_group")))
+    ids = cut(classes.groupBy("_group").agg(F.min("least").alias("component_id")))
+    classes = cut(classes.join(ids, "_group").select("fp", "_group", "component_id"))
+    return fps.join(classes, "fp", "left").select(id_col, *keep, "fp", "component_id", "_group")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group, once, with the columns of ``docs``.
 
-    Rows without an id are told apart by their fingerprint only; rows that
-    share an id are one document.
+    Rows that share an id are one document if they are in one group.
     """
     held = own_names(docs, id_col, text_col)
     marked = held.withColumn("_row", F.xxhash64(*held.columns))
-    groups = near_duplicates(marked, shingle, distance, id_col, text_col, ("_row",))
+    groups = grouped(marked, shingle, distance, id_col, text_col, ("_row",))
     firsts = (groups.where(F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id")))
-              .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp"))
+              .groupBy("_group", "component_id")
               .agg(F.min("_row").alias("_row")).select("_row", F.col("component_id").alias("_id")))
     firsts = cut(firsts)
     on = (marked["_row"] == firsts["_row"]) & marked[id_col].eqNullSafe(firsts["_id"])

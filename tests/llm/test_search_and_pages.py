@@ -78,6 +78,16 @@ def test_simhash_of_odd_rows(spark, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.one_of_each(no_docs).count() == 0
 
 
+def test_rows_without_ids_link_and_rows_of_one_id_stay_apart(spark):
+    base = [f"word{i}" for i in range(400)]
+    near = [" ".join([*base, *tail]) for tail in ([], ["x"], ["y", "z"])]
+    fps = [simhash.fingerprint(t) for t in near]
+    assert len(set(fps)) == 3 and all((fps[0] ^ f).bit_count() <= 12 for f in fps)
+    frame = spark.createDataFrame([(None, near[0]), (None, near[1]), (5, "one text of its own"), (5, "quite another one with other words")], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(frame, distance=12).collect()]
+    assert sorted(d or 0 for d, _ in kept) == [0, 5, 5] and len({t for _, t in kept}) == 3
+
+
 def vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(300, 16)).astype(np.float32)
