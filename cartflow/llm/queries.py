@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartflow.llm import chat, hnsw, html, mixing, packing, pii, quality, simhash, tokens, topk
+from cartflow.llm import chat, hnsw, html, mixing, packing, pii, quality, resample, simhash, tokens, topk, toxicity
 from cartflow.llm.common import table
 
 LIMIT = 512
@@ -81,8 +81,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighted towards the benchmark's n-grams, and the 5% drawn."""
+    return resample.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the ids is never learned from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs.where(toxicity.in_training()), labels.where(toxicity.in_training()))
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id", F.coalesce(~toxicity.in_training(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_token_counts, op4_hnsw, op5_topk, op6_html, op7_packing, op8_chat,
-                                   op9_quality, op10_simhash)}
+                                   op9_quality, op10_simhash, op12_resample, op13_toxicity)}
 
 SQL = {
     "op2_mixing": mixing.mixing_sql(),
