@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartflow.llm import chat, hnsw, html, mixing, packing, pii, quality, resample, simhash, tokens, topk, toxicity
+from cartflow.llm import chat, hnsw, html, mixing, packing, phrases, pii, quality, resample, simhash, tokens, topk, toxicity
 from cartflow.llm.common import table
 
 LIMIT = 512
@@ -81,6 +81,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents weighted towards the benchmark's n-grams, and the 5% drawn."""
     return resample.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
@@ -96,10 +101,11 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_token_counts, op4_hnsw, op5_topk, op6_html, op7_packing, op8_chat,
-                                   op9_quality, op10_simhash, op12_resample, op13_toxicity)}
+                                   op9_quality, op10_simhash, op11_phrases, op12_resample, op13_toxicity)}
 
 SQL = {
     "op2_mixing": mixing.mixing_sql(),
+    "op11_phrases": phrases.collocations_sql(),
     "op5_topk": """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
