@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,3 +146,22 @@ def grouped_row_number(df: DataFrame, group_cols: Sequence[str], order: Sequence
     numbered = running_sums(df, group_cols, order, {out: F.lit(1)}, num_partitions)
     return numbered.withColumn(out, F.col(out).cast("int"))
 
+
+
+def with_next(df: DataFrame, order: Sequence[Column], values: dict[str, Column], num_partitions: int | None = None) -> DataFrame:
+    """Add, for each name, the expression's value in the next row of ``order`` (a total order), null in the last row.
+
+    Rows are range-partitioned; within a partition a window looks ahead, and
+    a partition's last row gets the first row of the next one that has any,
+    from a table with one row per partition.
+    """
+    n = _partitions_for(df, num_partitions)
+    ensure_checkpoint_dir(df.sparkSession)
+    staged = df.withColumn(_GRP, F.struct(*[c.alias(k) for k, c in values.items()]))
+    ranged = staged.repartitionByRange(n, *order).withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True)
+    here = Window.partitionBy(_PID).orderBy(*order)
+    firsts = ranged.withColumn("_cf_n", F.row_number().over(here)).where("_cf_n = 1").select(_PID, F.col(_GRP).alias("_cf_first"))
+    after = firsts.select(_PID, F.lead("_cf_first").over(Window.orderBy(_PID)).alias("_cf_after"))
+    out = ranged.withColumn("_cf_next", F.lead(_GRP).over(here)).join(after, _PID)
+    found = F.coalesce("_cf_next", "_cf_after")
+    return out.select(*df.columns, *[found[k].alias(k) for k in values])

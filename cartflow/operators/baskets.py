@@ -5,7 +5,9 @@ items can be in a frequent pair, only triples whose three sub-pairs are
 frequent can be frequent.  Frequent items and pairs stay DataFrames, joined
 by key; nothing is gathered on the driver and no size stops a job.  Tasks
 count the pairs or triples of their baskets chunk by chunk, equal ones added
-up before the shuffle, and Spark sums the partial counts.
+up before the shuffle, and Spark sums the partial counts.  A basket of many
+frequent items is cut into blocks, and every pair of blocks is a row of its own,
+so that a huge basket's pairs are shared by as many tasks as they need.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _CHUNK = 500_000  # pairs or triples that a task holds before it adds up equal ones
+_BLOCK = 1000  # items of a basket that a task pairs with each other or with another block's
 
 
 def baskets(lines: DataFrame) -> DataFrame:
@@ -45,15 +48,18 @@ def _summed(columns: list[list[np.ndarray]], names: list[str]) -> pd.DataFrame:
 
 
 def _pair_rows(batches):
-    """Baskets (sorted item arrays) -> partial counts of their pairs, chunk by chunk."""
+    """Tiles (one block of a basket, or two) -> partial counts of their pairs, chunk by chunk."""
     a, b, held = [], [], 0
     for pdf in batches:
-        for items in pdf["items"]:
-            items = np.asarray(items, dtype=np.int64)
-            for i in range(len(items) - 1):
-                a.append(np.full(len(items) - 1 - i, items[i]))
-                b.append(items[i + 1:])
-                held += len(items) - 1 - i
+        for blocks in pdf["blocks"]:
+            first = np.asarray(blocks[0], dtype=np.int64)
+            other = np.asarray(blocks[1], dtype=np.int64) if len(blocks) > 1 else None
+            for i in range(len(first) if other is not None else len(first) - 1):
+                near = first[i + 1:] if other is None else other
+                one = np.full(len(near), first[i])
+                a.append(np.minimum(one, near))
+                b.append(np.maximum(one, near))
+                held += len(near)
                 if held >= _CHUNK:
                     yield _summed([a, b], ["item_a", "item_b"])
                     a, b, held = [], [], 0
@@ -61,6 +67,21 @@ def _pair_rows(batches):
         yield _summed([a, b], ["item_a", "item_b"])
 
 
+def basket_tiles(lines: DataFrame, block: int = _BLOCK) -> DataFrame:
+    """Rows ``order_id, i, j, blocks``: every pair of a basket's blocks (a block with itself: one array) of distinct lines.
+
+    Items are dealt into ``ceil(size / block)`` blocks of their basket by a hash,
+    so no row holds a whole basket, and every pair of items is in one tile.
+    """
+    sizes = (lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+             .select("order_id", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_blocks")).checkpoint(eager=True))
+    dealt = lines.join(sizes, "order_id").withColumn("_b", F.pmod(F.xxhash64("product_id"), F.col("_blocks")).cast("int"))
+    lists = dealt.groupBy("order_id", "_blocks", "_b").agg(F.array_sort(F.collect_list("product_id")).alias("items"))
+    met = lists.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return (met.groupBy("order_id", F.least("_b", "_c").alias("i"), F.greatest("_b", "_c").alias("j"))
+            .agg(F.collect_list("items").alias("blocks")).where((F.col("i") == F.col("j")) | (F.size("blocks") == 2)))
+
+
 def _triple_rows(batches):
     """Baskets as their frequent pairs -> partial counts of triples whose three pairs are frequent."""
     out, held = [[], [], []], 0
@@ -88,11 +109,10 @@ def _pair_counts(lines: DataFrame, min_support: float):
     """(frequent pairs with n_orders, n_baskets, least count, frequent items, lines of frequent items)."""
     pairs, n_baskets, min_count, items = _frequent_items(lines, min_support)
     frequent = pairs.join(items.select("product_id"), "product_id", "left_semi")
-    lists = frequent.groupBy("order_id").agg(F.array_sort(F.collect_list("product_id")).alias("items")).where(F.size("items") > 1)
-    counts = (lists.select("items").mapInPandas(_pair_rows, "item_a long, item_b long, n long")
+    counts = (basket_tiles(frequent).select("blocks").mapInPandas(_pair_rows, "item_a long, item_b long, n long")
               .groupBy("item_a", "item_b").agg(F.sum("n").alias("n_orders"))
               .where(F.col("n_orders") >= F.lit(min_count)))
-    return counts, n_baskets, min_count, items, lists
+    return counts, n_baskets, min_count, items, frequent
 
 
 def frequent_pairs(lines: DataFrame, min_support: float = 0.02) -> DataFrame:
@@ -107,8 +127,9 @@ def frequent_triples(lines: DataFrame, min_support: float = 0.002) -> DataFrame:
     Candidates: every sub-pair frequent (Apriori).  Each basket keeps its
     frequent pairs (a join by pair), and tasks count the triangles in them.
     """
-    counts, n_baskets, min_count, _, lists = _pair_counts(lines, min_support)
+    counts, n_baskets, min_count, _, kept = _pair_counts(lines, min_support)
     frequent = counts.select("item_a", "item_b").checkpoint(eager=True)
+    lists = kept.groupBy("order_id").agg(F.array_sort(F.collect_list("product_id")).alias("items")).where(F.size("items") > 1)
     held = (lists.select("order_id", "items", F.explode("items").alias("item_a"))
             .select("order_id", "item_a", F.explode(F.filter("items", lambda x: x > F.col("item_a"))).alias("item_b"))
             .join(frequent, ["item_a", "item_b"], "left_semi")
@@ -119,6 +140,65 @@ def frequent_triples(lines: DataFrame, min_support: float = 0.002) -> DataFrame:
             .select("item_a", "item_b", "item_c", "n_orders", (F.col("n_orders") / F.lit(float(n_baskets))).alias("support")))
 
 
+def _tile_pairs(batches):
+    """Tiles with their order -> the pairs themselves, in chunks."""
+    for pdf in batches:
+        out, held = [], 0
+        for order, blocks in zip(pdf["order_id"], pdf["blocks"]):
+            first = np.asarray(blocks[0], dtype=np.int64)
+            other = np.asarray(blocks[1], dtype=np.int64) if len(blocks) > 1 else None
+            for i in range(len(first)):
+                near = first[i + 1:] if other is None else other
+                one = np.full(len(near), first[i])
+                out.append(pd.DataFrame({"order_id": order, "item_a": np.minimum(one, near), "item_b": np.maximum(one, near)}))
+                held += len(near)
+                if held >= _CHUNK:
+                    yield pd.concat(out)
+                    out, held = [], 0
+        if held:
+            yield pd.concat(out)
+
+
+def frequent_itemsets(lines: DataFrame, min_support: float, size: int, block: int = _BLOCK) -> DataFrame:
+    """B3 at any level: ``items`` (ascending array), ``n_orders``, ``support`` of sets of ``size`` items.
+
+    Level by level: candidates of k items come from frequent sets of k - 1 that
+    share all but the last item, and all their subsets must be frequent.  What
+    a basket holds is kept as rows (order, set without its last item, last
+    item); a candidate's occurrences are pairs of such rows with the same
+    first part, so even one basket's are spread over many keys.
+    """
+    pairs, n_baskets, min_count, items = _frequent_items(lines, min_support)
+    of = lambda df: df.select("items", "n_orders", (F.col("n_orders") / F.lit(float(n_baskets))).alias("support"))
+    if size == 1:
+        return of(items.select(F.array("product_id").alias("items"), "n_orders"))
+    kept = pairs.join(items.select("product_id"), "product_id", "left_semi")
+    # occurrences of pairs, tile by tile
+    held = (basket_tiles(kept, block).mapInPandas(_tile_pairs, "order_id long, item_a long, item_b long")
+            .select("order_id", F.array("item_a").alias("head"), F.col("item_b").alias("last")))
+    level = 2
+    while True:
+        held = held.checkpoint(eager=True)
+        counted = held.groupBy("head", "last").agg(F.count(F.lit(1)).alias("n_orders")).where(F.col("n_orders") >= F.lit(min_count)).checkpoint(eager=True)
+        if level == size:
+            return of(counted.select(F.concat("head", F.array("last")).alias("items"), "n_orders"))
+        known = counted.select("head", "last")
+        occurs = held.join(known, ["head", "last"], "left_semi").checkpoint(eager=True)
+        longer = (known.join(known.select("head", F.col("last").alias("next")), "head").where("last < next")
+                  .select(F.concat("head", F.array("last")).alias("head"), F.col("next").alias("last")))
+        # every subset without one of the first items is frequent too (those without the last two are by the join)
+        for i in range(level - 1):
+            rest = [F.concat(F.slice("head", 1, i), F.slice("head", i + 2, level - 1 - i)).alias("_head"), F.col("last").alias("_last")]
+            checked = longer.select("head", "last", *rest)
+            sets = known.select(F.col("head").alias("_head"), F.col("last").alias("_last"))
+            longer = checked.join(sets, ["_head", "_last"], "left_semi").select("head", "last")
+        longer = longer.checkpoint(eager=True)
+        both = (occurs.join(occurs.select("order_id", "head", F.col("last").alias("next")), ["order_id", "head"]).where("last < next")
+                .select("order_id", F.concat("head", F.array("last")).alias("head"), F.col("next").alias("last")))
+        held = both.join(longer, ["head", "last"], "left_semi")
+        level += 1
+
+
 def association_rules(lines: DataFrame, min_support: float = 0.02, min_confidence: float = 0.0) -> DataFrame:
     """Rules antecedent -> consequent over frequent pairs, both directions.
 

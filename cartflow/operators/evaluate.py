@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import running_sums
+from ..functions.ordering import running_sums, with_next
 
 
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -107,6 +107,23 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
                       p_all.alias("_P"), n_all.alias("_N"))
 
 
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """E5 as a drawn curve: ``threshold, fpr, tpr`` from the origin (threshold infinite) on, without points that lie
+    between equal steps of both counts.
+
+    A point stays if the next distinct score adds other numbers of positives
+    or negatives than its own, or if it is the first or last one.
+    """
+    counts = with_next(score_counts(df, label, score), [F.col("threshold").desc()], {"_next_pos": F.col("pos"), "_next_neg": F.col("neg")})
+    cum, tot = running_sums(counts, [], [F.col("threshold").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, with_totals=True)
+    p_all, n_all = F.lit(tot["tp"]).cast("long"), F.lit(tot["fp"]).cast("long")
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    bend = F.col("_next_pos").isNull() | (F.col("_next_pos") != F.col("pos")) | (F.col("_next_neg") != F.col("neg"))
+    points = cum.where(first | bend).select("threshold", _safe_div(F.col("fp"), n_all).alias("fpr"), _safe_div(F.col("tp"), p_all).alias("tpr"))
+    origin = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return points.unionByName(origin)
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", digits: int = 9) -> DataFrame:
     """Probability that a positive outranks a negative, ties counted half."""
     pts = roc_points(df, label, score)

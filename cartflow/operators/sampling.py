@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_fraction
+from ..functions.selection import first_k, hash_of
 
 
 def user_sample(orders: DataFrame, fraction: float = 0.1, seed: int = 25) -> DataFrame:
@@ -38,3 +41,27 @@ def split_rows(df: DataFrame, val_fraction: float = 0.8, seed: int = 42,
     """
     frac = hash_fraction(*[F.col(k) for k in keys], seed=seed)
     return df.withColumn("split", F.when(frac < val_fraction, "validation").otherwise("train"))
+
+
+def user_sample_exact(orders: DataFrame, fraction: float = 0.1, seed: int = 25) -> DataFrame:
+    """S3: whole histories of exactly ``round(fraction * users)`` users, those with the smallest hashes.
+
+    The last hash comes from counting passes over the users (no sort); null
+    users are none.  The users are kept in the shared folder, so AQE can
+    split a hot user's orders.
+    """
+    users = orders.select("user_id").where("user_id is not null").distinct().checkpoint(eager=True)
+    chosen = first_k(users, hash_of(F.col("user_id"), seed=seed), round(fraction * users.count()), [F.col("user_id")])
+    return orders.join(chosen.where("_first").select("user_id").checkpoint(eager=True), "user_id", "left_semi")
+
+
+def split_rows_exact(df: DataFrame, val_fraction: float = 0.8, seed: int = 42,
+                     keys: tuple[str, ...] = ("user_id", "product_id")) -> DataFrame:
+    """M1: add ``split`` = 'validation' for exactly ``ceil(val_fraction * n)`` rows, else 'train'.
+
+    Rows go by the hash of their keys, equal ones by the keys; of rows with
+    the same keys any may fall on either side.
+    """
+    rows = df.checkpoint(eager=True)
+    exact = first_k(rows, hash_of(*[F.col(k) for k in keys], seed=seed), math.ceil(val_fraction * rows.count() - 1e-9), [F.col(k) for k in keys])
+    return exact.withColumn("split", F.when(F.col("_first"), "validation").otherwise("train")).drop("_first")

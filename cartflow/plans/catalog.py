@@ -11,6 +11,7 @@ products at exactly 40 purchases); labels, metrics and the submission use
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import baskets as B
+from ..operators import boosting as BO
 from ..operators import evaluate as E
 from ..operators import features as FT
 from ..operators import models as M
@@ -93,7 +95,6 @@ def scan_orders(spark, sf):
 
 def _csv_tables(spark, sf, only=None):
     """Write the basket tables as headed CSV files (the original layout) and scan them back."""
-    import uuid
     t = _t(spark, sf)
     folder = shared_path(spark, "csv", uuid.uuid4().hex)
     names = {"orders": "orders.csv", "prior_lines": "order_products__prior.csv",
@@ -663,52 +664,65 @@ def _split_training(spark, sf):
     return tr.checkpoint(eager=True)
 
 
-def _fit_and_validate(spark, sf, estimator_fn, tr=None):
-    tr = _split_training(spark, sf) if tr is None else tr
-    fit_part = tr.where(F.col("split") == "train")
-    val = tr.where(F.col("split") == "validation")
-    est = estimator_fn(fit_part)
-    model = M.fit(est, fit_part)
-    scored = M.score(model, val.withColumn("label", F.col("reordered")), threshold=Q.VALIDATION_THRESHOLD)
-    return model, scored
+def _spark_ml(estimator_fn):
+    """Fits a Spark ML estimator: training rows -> (model, scorer of (rows, threshold))."""
+    def fitted(train):
+        model = M.fit(estimator_fn(train), train)
+        return model, lambda df, threshold: M.score(model, df, threshold)
+    return fitted
+
 
+def _boosted(train):
+    model = BO.fit(train)
+    return model, lambda df, threshold: BO.score(model, df, threshold)
 
-def _lr(train):
-    return M.logistic_regression(train.count())
+
+def _fit_and_validate(spark, sf, fitted, tr=None):
+    tr = _split_training(spark, sf) if tr is None else tr
+    model, scorer = fitted(tr.where(F.col("split") == "train"))
+    val = tr.where(F.col("split") == "validation").withColumn("label", F.col("reordered"))
+    return model, scorer(val, Q.VALIDATION_THRESHOLD)
 
 
-_MODELS = {"logistic_regression": _lr, "random_forest": lambda _: M.random_forest(),
-           "gradient_boosting": lambda _: M.gradient_boosting(), "decision_tree": lambda _: M.decision_tree()}
+_FOREST, _TREE = _spark_ml(lambda _: M.random_forest()), _spark_ml(lambda _: M.decision_tree())
+_MODELS = {"logistic_regression": _spark_ml(lambda train: M.logistic_regression(train.count())), "random_forest": _FOREST,
+           "gradient_boosting": _boosted, "decision_tree": _TREE}
 
 
 @query("logistic_regression")
 def logistic_regression(spark, sf):
-    return _fit_and_validate(spark, sf, _lr)[1]
+    return _fit_and_validate(spark, sf, _MODELS["logistic_regression"])[1]
 
 
 @query("random_forest")
 def random_forest(spark, sf):
-    return _fit_and_validate(spark, sf, lambda _: M.random_forest())[1]
+    return _fit_and_validate(spark, sf, _FOREST)[1]
 
 
 @query("gradient_boosting")
 def gradient_boosting(spark, sf):
-    return _fit_and_validate(spark, sf, lambda _: M.gradient_boosting())[1]
+    return _fit_and_validate(spark, sf, _boosted)[1]
 
 
 @query("decision_tree")
 def decision_tree(spark, sf):
-    return _fit_and_validate(spark, sf, lambda _: M.decision_tree())[1]
+    return _fit_and_validate(spark, sf, _TREE)[1]
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    return M.feature_importance(_fit_and_validate(spark, sf, lambda _: M.random_forest())[0])
+    return M.feature_importance(_fit_and_validate(spark, sf, _FOREST)[0])
 
 
 @query("split_importance")
 def split_importance(spark, sf):
-    return M.split_importance(_fit_and_validate(spark, sf, lambda _: M.gradient_boosting())[0], name="gbt")
+    return BO.split_importance(_fit_and_validate(spark, sf, _boosted)[0], spark)
+
+
+@query("boosted_trees")
+def boosted_trees(spark, sf):
+    """M4: the nodes of the boosted trees: split, threshold, gain, weight, leaf value."""
+    return _fit_and_validate(spark, sf, _boosted)[0].nodes(spark)
 
 
 @query("feature_importance_ascending")
@@ -720,12 +734,12 @@ def feature_importance_ascending(spark, sf):
 @query("grid_search")
 def grid_search(spark, sf):
     tr = _split_training(spark, sf).where(F.col("split") == "train")
-    return M.grid_search(tr)[1]
+    return BO.grid_search(tr)[1]
 
 
 @query("model_params")
 def model_params(spark, sf):
-    return M.model_params(_fit_and_validate(spark, sf, lambda _: M.gradient_boosting())[0])
+    return BO.model_params(_fit_and_validate(spark, sf, _boosted)[0], spark)
 
 
 @query("model_comparison")
@@ -736,13 +750,25 @@ def model_comparison(spark, sf):
     return _per_model(spark, sf, auc_and_f1)
 
 
+_scored: dict[tuple, str] = {}
+
+
+def _scored_rows(spark, sf):
+    """Validation rows scored by each model, fitted once per session and folder: one table, a folder per model."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _scored:
+        path = shared_path(spark, "scored", uuid.uuid4().hex)
+        tr = _split_training(spark, sf)
+        for name, fitted in _MODELS.items():
+            _fit_and_validate(spark, sf, fitted, tr)[1].write.parquet(f"{path}/model={name}")
+        _scored[key] = path
+    return spark.read.parquet(_scored[key])
+
+
 def _per_model(spark, sf, table):
     """``table(scored validation rows)`` of each model, with the model's name, on the same split."""
-    tr = _split_training(spark, sf)
-    parts = []
-    for name, fn in _MODELS.items():
-        scored = _fit_and_validate(spark, sf, fn, tr)[1].checkpoint(eager=True)
-        parts.append(table(scored).select(F.lit(name).alias("model"), "*"))
+    rows = _scored_rows(spark, sf)
+    parts = [table(rows.where(F.col("model") == name).drop("model")).select(F.lit(name).alias("model"), "*") for name in _MODELS]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -820,7 +846,7 @@ def fp_growth_rules(spark, sf):
 def model_submission(spark, sf):
     """Entry 1 end to end: forest fitted on all training pairs, test pairs scored, threshold 0.21,
     one line per test order."""
-    return _model_submission(spark, sf, lambda train: M.fit(M.random_forest(), train))
+    return _model_submission(spark, sf, _FOREST)
 
 
 def _model_submission(spark, sf, fitted):
@@ -828,17 +854,19 @@ def _model_submission(spark, sf, fitted):
     data = _features(spark, sf, MODEL_GRAIN).checkpoint(eager=True)   # train and test pairs, built once
     train = data.where(F.col("eval_set") == "train").select("user_id", "product_id", *FT.FEATURES, "reordered")
     test = data.where(F.col("eval_set") == "test").select("user_id", "product_id", *FT.FEATURES, "order_id")
-    scored = M.score(fitted(train), test, threshold=Q.TEST_THRESHOLD)
-    return SUB.submission(scored, t["orders"])
+    return SUB.submission(fitted(train)[1](test, Q.TEST_THRESHOLD), t["orders"])
 
 
 @query("model_submission_orders", _sql("SELECT DISTINCT order_id FROM data WHERE eval_set = 'test'", Q.ALL_FEATURES, grain=MODEL_GRAIN))
 def model_submission_orders(spark, sf):
     """The orders that a fitted model's submission has a line for (its products are the model's own)."""
-    return _model_submission(spark, sf, lambda train: M.fit(M.decision_tree(), train)).select("order_id")
+    return _model_submission(spark, sf, _TREE).select("order_id")
 
 
 @query("grid_search_submission")
 def grid_search_submission(spark, sf):
     """Entry 2 end to end: the grid's best boosting model scores the test pairs, threshold 0.21, one line per test order."""
-    return _model_submission(spark, sf, lambda train: M.grid_search(train)[0].bestModel)
+    def fitted(train):
+        model = BO.grid_search(train)[0]
+        return model, lambda df, threshold: BO.score(model, df, threshold)
+    return _model_submission(spark, sf, fitted)

@@ -16,6 +16,7 @@ TEST_THRESHOLD = 0.21
 SWEEP_GRID = sorted({round(0.05 * k, 2) for k in range(1, 20)} | {0.21, 0.3})
 PAIR_SUPPORT = 0.02
 TRIPLE_SUPPORT = 0.002
+QUAD_SUPPORT = 0.0002
 
 OP = """op AS (
   SELECT o.order_id, o.user_id, o.order_number, o.eval_set, l.product_id, l.reordered
