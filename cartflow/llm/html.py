@@ -27,6 +27,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +35,10 @@ from pyspark.sql import functions as F
 
 from cartflow.llm.common import map_batches, texts_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+STOPS = re.compile("[>\"']")
+#: Characters that may be looked at in vain for the ends of tags, per character of the page.
+IN_VAIN = 8
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -58,6 +62,44 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "aler
 MOST = 0.5
 
 
+def tokens(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """``(start, end, tag, closing, attributes)`` of every tag; the tag is None for comments and declarations.
+
+    A ``>`` in quotes doesn't end a tag; what never ends is text.  A page that makes
+    this look ahead in vain too often has its tags end at the next ``>``.
+    """
+    size, last, at, vain = len(source), source.rfind(">"), 0, 0
+    while m := OPENS.search(source, at):
+        start, here = m.start(), m.end()
+        if m[1]:
+            end = source.find("-->", here)
+            at = end + 3 if end >= 0 else size
+            yield start, at, None, False, ""
+            continue
+        if start > last:
+            return
+        if m[2]:
+            at = source.find(">", here) + 1
+            yield start, at, None, False, ""
+            continue
+        end, stop = here, None
+        while vain <= IN_VAIN * size and end >= 0 and (stop := STOPS.search(source, end)) and stop[0] != ">":
+            end = source.find(stop[0], stop.end())
+            end += end >= 0
+        if vain > IN_VAIN * size:
+            end = source.find(">", here)
+        elif end < 0 or not stop:
+            vain += size - start
+            at = start + 1
+            continue
+        else:
+            end = stop.start()
+        if end < 0:
+            return
+        at = end + 1
+        yield start, at, m[4].lower(), bool(m[3]), source[here:end]
+
+
 def is_marked(tag: str, attributes: str) -> bool:
     """Whether tag, role or names say that an element isn't the article; what it holds can say otherwise."""
     if tag in ASIDE:
@@ -81,15 +123,19 @@ class Page:
         self.part = [False]  # articles and main parts, but for readers' comments marked up as articles
         self.items: list[tuple[int, str | None]] = []  # text of an element, or the border of a block
         stack, at, size = [0], 0, len(source)
-        body = None
-        for m in iter(lambda: TOKEN.search(source, at), None):
-            if m.start() > at:
-                self.items.append((stack[-1], source[at:m.start()]))
-            at = m.end()
-            if m[2] is None:
+        # places in the stack of the open elements of each name, of those that hold stray ends in, and of those that hold implied ends in
+        self.open: dict[str, list[int]] = {}
+        self.holds, self.bars = [0], [0]
+        body, skip = None, 0
+        for start, end, tag, closing, attributes in tokens(source):
+            if start < skip:
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            if start > at:
+                self.items.append((stack[-1], source[at:start]))
+            at = end
+            if tag is None:
+                continue
+            if closing:
                 self._close(tag, stack)
                 continue
             if tag in ("html", "body"):
@@ -103,8 +149,8 @@ class Page:
             self.tag.append(tag)
             self.parent.append(stack[-1])
             self.out.append(self.out[stack[-1]] or tag in LEFT_OUT)
-            self.marked.append(is_marked(tag, m[3]))
-            self.part.append(tag in ("article", "main") and not is_marked("", m[3]))
+            self.marked.append(is_marked(tag, attributes))
+            self.part.append(tag in ("article", "main") and not is_marked("", attributes))
             if tag == "body":
                 body = node
             if tag in BLOCK:
@@ -112,10 +158,10 @@ class Page:
             if tag == "br":
                 self.items.append((node, " "))
             if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                at = end.end() if end else size
-            elif tag not in VOID and not m[3].endswith("/"):
-                stack.append(node)
+                ends = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                at = skip = ends.end() if ends else size
+            elif tag not in VOID and not attributes.endswith("/"):
+                self._push(node, stack)
         if at < size:
             self.items.append((stack[-1], source[at:]))
         self.body = body or 0
@@ -144,29 +190,35 @@ class Page:
             own = held[i] > free or plain[i] > MOST * plain[0] and (in_part[i] or not free) or self.tag[i] == "header" and in_part[i]
             self.out[i] = self.out[i] or self.out[self.parent[i]] or self.marked[i] and not own
 
-    def _pop(self, stack: list[int]) -> None:
-        node = stack.pop()
-        if self.tag[node] in BLOCK:
-            self.items.append((node, None))
+    def _push(self, node: int, stack: list[int]) -> None:
+        tag = self.tag[node]
+        self.open.setdefault(tag, []).append(len(stack))
+        if tag in ("table", "article", "body"):
+            self.holds.append(len(stack))
+        if tag in FENCE or tag in BLOCK and tag not in ("td", "th", "tr"):
+            self.bars.append(len(stack))
+        stack.append(node)
+
+    def _pop_to(self, place: int, stack: list[int]) -> None:
+        while len(stack) > place:
+            node = stack.pop()
+            self.open[self.tag[node]].pop()
+            for border in (self.holds, self.bars):
+                if border[-1] == len(stack):
+                    border.pop()
+            if self.tag[node] in BLOCK:
+                self.items.append((node, None))
 
     def _close(self, tag: str, stack: list[int]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] == tag:
-                while len(stack) > i:
-                    self._pop(stack)
-                return
-            if self.tag[stack[i]] in ("table", "article", "body") and tag not in BLOCK:
-                return  # a stray end of an inline element
+        """Closes the innermost open element of that name; the end of an inline element doesn't reach out of tables and articles."""
+        if places := self.open.get(tag):
+            if tag in BLOCK or places[-1] >= self.holds[-1]:
+                self._pop_to(places[-1], stack)
 
     def _imply(self, tags: set[str], stack: list[int]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[i]]
-            if tag in tags:
-                while len(stack) > i:
-                    self._pop(stack)
-                return
-            if tag in FENCE or tag in BLOCK and tag not in ("td", "th", "tr"):
-                return
+        place = max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        if place and place >= self.bars[-1]:
+            self._pop_to(place, stack)
 
     def _container(self, node: int) -> int:
         """The article or main part around an element, else the box that holds it: headings stay with their paragraphs."""
