@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cartflow.llm.common import cut
 from cartflow.llm.vectors import BLOCK, CHUNK, against, best, dealt, matrix, parts_of, usable
 
-LINKS, EF_BUILD, EF_SEARCH = 16, 48, 128
+LINKS, EF_BUILD, EF_SEARCH = 16, 64, 128
 
 
 class Graph:
@@ -93,14 +93,33 @@ def spread(x: np.ndarray, found: list[tuple[float, int]], most: int) -> list[tup
 
 
 def build(x: np.ndarray, links: int = LINKS, width: int = EF_BUILD, seed: int = 0) -> Graph:
-    """Inserts the vectors one after the other; levels are drawn with a fixed seed."""
+    """Inserts the vectors one after the other; levels are drawn with a fixed seed.
+
+    A node may have ``links`` neighbours more than it should keep: when there is
+    no room for another back link, its list is cut to a spread of them.
+    """
     n = len(x)
     levels = np.minimum(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(links), 8).astype(int)
     top = int(levels.max(initial=0))
-    tables = [np.full((n, 2 * links if level == 0 else links), -1, np.int32) for level in range(top + 1)]
-    sims = [np.full(t.shape, -9.0, np.float32) for t in tables]
+    most = [2 * links if level == 0 else links for level in range(top + 1)]
+    tables = [np.full((n, m + links), -1, np.int32) for m in most]
+    held = [np.zeros(n, np.int64) for _ in most]
     graph = Graph(x, tables[:1], 0)
     high = -1
+
+    def link(level: int, j: int, i: int) -> None:
+        table, count = tables[level], held[level]
+        if count[j] == table.shape[1]:
+            near = np.append(table[j], i)
+            sims = x[near] @ x[j]
+            kept = spread(x, [(float(sims[a]), int(near[a])) for a in np.argsort(-sims, kind="stable")], most[level])
+            table[j] = -1
+            table[j, :len(kept)] = [k for _, k in kept]
+            count[j] = len(kept)
+        else:
+            table[j, count[j]] = i
+            count[j] += 1
+
     for i in range(n):
         level = int(levels[i])
         if high < 0:
@@ -113,12 +132,9 @@ def build(x: np.ndarray, links: int = LINKS, width: int = EF_BUILD, seed: int =
         for at in range(min(level, high), -1, -1):
             found = graph.near(q, start, width, at)
             start = [j for _, j in found]
-            table, near = tables[at], sims[at]
-            for slot, (s, j) in enumerate(spread(x, found, links)):
-                table[i, slot], near[i, slot] = j, s
-                back = int(near[j].argmin())  # a free place, or the farthest neighbour
-                if s > near[j, back]:
-                    table[j, back], near[j, back] = i, s
+            for _, j in spread(x, found, links):
+                link(at, i, j)
+                link(at, j, i)
         if level > high:
             high, graph.entry = level, i
             graph.links = tables[:level + 1]
@@ -168,8 +184,11 @@ def index(nodes: DataFrame, n_shards: int) -> DataFrame:
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-            shard: int = CHUNK, block: int = BLOCK, width: int = EF_SEARCH) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each query row its k nearest found among all other ids."""
+            shard: int = CHUNK, block: int = BLOCK, width: int | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score``: for each query row its k nearest found among all other ids.
+
+    ``width`` of the search: by default 128, or 5/4 of the dimensions where that is more.
+    """
     all_ = usable(rows, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
     nodes = cut(nodes_of(all_, k))
     queries = cut(all_.where(is_query).distinct())
@@ -185,7 +204,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
         q64, out = matrix(b.v), []
         q32 = unit(q64)
         for own, q, qn in zip(b.vec_id.to_numpy(), q64, q32):
-            place = np.array([i for _, i in graph.search(qn, width)])
+            place = np.array([i for _, i in graph.search(qn, width or max(EF_SEARCH, 5 * int(s.dim) // 4))])
             score = (x[place] * q).sum(1) / (norms[place] * np.sqrt((q * q).sum()))
             mine = [(-c, int(i)) for p, c in zip(place, score.tolist()) for i in ids[p, :held[p]] if i != own]
             nearest_of: dict[int, float] = {}

@@ -1,5 +1,8 @@
 """SimHash, vector searches, quality, page text."""
+import time
+
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -243,3 +246,43 @@ def test_marks_do_not_take_the_article_along():
     replies = "<section class='comments'><article class='comment'><p>a reader's long answer to this</p></article></section>"
     assert html.main_text(f"<body><main><h1>Title</h1><div class='widget'>{story.partition('</h1>')[2]}</div>{replies}</main></body>") == want
     assert html.main_text(f"<body><article>{story}</article>{replies}</body>") == want
+
+
+@pytest.mark.parametrize("kind", ["random 64", "random 256", "clusters"])
+def test_recall_of_a_whole_shard(kind):
+    rng = np.random.default_rng(1)
+    if kind == "clusters":
+        x = rng.normal(size=(40, 64))[rng.integers(0, 40, 8192)] + 0.05 * rng.normal(size=(8192, 64))
+    else:
+        x = rng.normal(size=(8192, int(kind.split()[1])))
+    x = hnsw.unit(x)
+    graph, hits = hnsw.build(x), 0
+    queries = rng.choice(len(x), 80, replace=False)
+    for i in queries:
+        sims = x @ x[i]
+        sims[i] = -2
+        got = [j for _, j in graph.search(x[i], max(hnsw.EF_SEARCH, 5 * x.shape[1] // 4)) if j != i][:5]
+        hits += len(set(np.argsort(-sims)[:5]) & set(got))
+    assert hits >= 0.9 * 5 * len(queries)
+
+
+@pytest.mark.parametrize("page", ["<div>{}</x>", "<a ", "<a '", "<a \">\" ", "<!", "<b>{}<hr>", "<b>{}</i>", "<p><b>{}<div>", "<a<b", "<script>", "<div>", "<table>{}</b>"])
+def test_malformed_pages_take_time_in_proportion(page):
+    def seconds(n):
+        first, _, then = page.partition("{}")
+        source = "<body><i>" + first * n + then * n + "\">'"
+        best = []
+        for _ in range(2):
+            start = time.perf_counter()
+            html.main_text(source)
+            best.append(time.perf_counter() - start)
+        return min(best)
+    assert seconds(16_000) < 12 * seconds(4_000) + 0.3  # quadratic time would be 16 times as long
+
+
+def test_ends_of_elements_and_tags():
+    page = html.Page("<body><p>a<b>b<div>c</p></b><table><tr><td>x</b>y<tr><td>z</table></div>d<a title='1>2'>e</a><a \"f<i>g</i>")
+    assert [t for t in page.tag[1:]] == ["body", "p", "b", "div", "table", "tr", "td", "tr", "td", "a", "i"]
+    parents = [page.tag[p] for p in page.parent[1:]]
+    assert parents == ["html", "body", "p", "body", "div", "table", "tr", "tr", "tr", "body", "body"]
+    assert html.main_text("<body><p>a &amp; b</p><a title='x>y' href=\"z\">c</a> <p class='d\">e") == "a & b\nc <p class='d\">e"
