@@ -6,8 +6,8 @@ it can't give goes to the others by weight.  A source first gives as many
 complete epochs as its target holds; for the rest its documents are drawn
 without replacement: each gets the exponential key ``-ln(u) / quality`` with
 ``u`` from a hash of its id, and documents are taken in the order of keys up to
-the budget.  A document is taken whole or not; the last one is taken when that
-comes nearer to the target.
+the budget.  The document that meets the budget's end gives its first words up to
+it, so a source's words are its target, rounded down.
 
 DataFrame functions only.  Only ids, sizes and keys are shuffled, never texts,
 in a sort by (source, key) over as many partitions as needed, so a hot source
@@ -74,7 +74,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def mix(docs: DataFrame, weight: Column | None = None, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
         extra: dict[str, Column] | None = None) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, copies, taken (size times copies), and the ``extra`` columns.
+    """Per row: doc_id, source, size, source_size, target, copies (whole ones), part (words of one more), taken (all words), and the ``extra`` columns.
 
     ``weight``: quality weight of a document, above 0 (default: :func:`quality_weight`).
     """
@@ -90,21 +90,31 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = 7, weights: t
     wanted = wanted.withColumnRenamed("source", "_source")
     rows = before.join(wanted, F.col("source").eqNullSafe(F.col("_source")))
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(0))
-    rest = F.col("target") - epochs * F.col("source_size")
-    more = (F.col("_before") + F.col("size") / 2.0 <= rest) & (epochs < most)
-    rows = rows.withColumn("copies", (epochs + more.cast("long")).cast("long"))
-    return rows.select("doc_id", "source", "size", F.col("source_size"), "target", "copies",
-                       (F.col("size") * F.col("copies")).alias("taken"), *extra)
+    rest = F.floor(F.col("target") - epochs * F.col("source_size") + 1e-6)
+    # words of one more copy: all of the document, or those up to the end of the budget
+    more = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
+    rows = rows.withColumns({"epochs": epochs.cast("long"), "more": more.cast("long")})
+    return rows.select("doc_id", "source", "size", F.col("source_size"), "target",
+                       (F.col("epochs") + (F.col("more") == F.col("size")).cast("long")).alias("copies"),
+                       F.when(F.col("more") < F.col("size"), F.col("more")).otherwise(F.lit(0)).cast("long").alias("part"),
+                       (F.col("size") * F.col("epochs") + F.col("more")).alias("taken"), *extra)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word."""
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``; a part of a document comes as a copy with that text."""
     held = own_names(docs, "doc_id", "source", "text")
     # rows carry their own number, for ids may repeat; the numbered rows stay in the shared folder
     numbered = cut(held.withColumn("_row", F.monotonically_increasing_id()))
-    times = mix(numbered, extra={"_row": F.col("_row")}, **options).where("copies > 0").select("_row", "copies")
-    rows = numbered.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*held.columns).toDF(*docs.columns)
+    times = mix(numbered, extra={"_row": F.col("_row")}, **options).where("taken > 0").select("_row", "copies", "part")
+    rows = numbered.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("copies") + (F.col("part") > 0).cast("long")).cast("int"))))
+    text = F.when(F.col("_copy") > F.col("copies"), first_words(F.col("text"), F.col("part"))).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(*held.columns).toDF(*docs.columns)
 
 
 def mixing_sql(seed: int = 7) -> str:
@@ -131,5 +141,5 @@ k AS (SELECT d.*, CAST(t.source_size AS BIGINT) AS ss, t.target,
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN ss > 0 THEN least(floor(target / ss), 3) ELSE 0 END AS epochs FROM k)
 SELECT doc_id, CAST(size AS BIGINT) AS size, ss AS source_size, target,
-       CAST(size * (epochs + CASE WHEN epochs < 3 AND before + size / 2.0 <= target - epochs * ss THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * epochs + greatest(0, least(size, floor(target - epochs * ss + 1e-6) - before)) AS BIGINT) AS taken
 FROM e"""
