@@ -15,16 +15,16 @@ def components(edges: DataFrame) -> DataFrame:
     greater neighbours of a node (large star), then the smaller ones (small
     star).  The rounds end when nothing moves; their number grows with the
     logarithm of the longest path.  Minima are pre-aggregated before the
-    shuffle and joined back to edges in the shared folder, so a hot node's
-    edges can be split; nothing but the count of changes comes to the driver.
+    shuffle, and both they and the edges are in the shared folder when joined, so
+    that a hot node's edges can be split; nothing but the count of changes comes to the driver.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: every edge now goes from greater u to smaller v
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         moved = cut(moved)
