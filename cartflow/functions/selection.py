@@ -25,13 +25,13 @@ def hash_sql(*keys: str, seed: int) -> str:
 def kth_smallest(df: DataFrame, value: Column, k: int) -> tuple[int, int] | None:
     """The ``k``-th smallest value (from 1) and how many of the rows that have it belong to the first ``k``.
 
-    ``value`` lies in [0, 2^60).  Each pass counts rows by the next 12 bits of
+    ``value`` lies in [0, 2^60); nulls don't count.  Each pass counts rows by the next 12 bits of
     the values that share the prefix found so far (at most 4,096 counts reach
     the driver); the rows are never sorted.  None if there are fewer than ``k`` rows.
     """
     if k < 1:
         return None
-    rows, prefix, known = df.select(value.alias("v")), 0, 0
+    rows, prefix, known = df.select(value.alias("v")).where("v is not null"), 0, 0
     while known < BITS:
         shift = BITS - known - STEP
         here = rows.where(F.shiftright("v", shift + STEP) == prefix) if known else rows
