@@ -22,7 +22,7 @@ the lowest cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -238,20 +238,21 @@ def sums(rows: DataFrame, growing: dict[int, Growing], round_: int, width: int)
     return rows.mapInArrow(run, "model int, node int, feature int, bin int, g long, h long")
 
 
-def best_cuts(partial: DataFrame, params: Boosting, cells: int) -> DataFrame:
-    """For every model, node and feature: its sums, and its best cut with gain, side of missing values, and sums on the left."""
+def cut_finder(params: Boosting) -> Callable[[DataFrame, int], DataFrame]:
+    """Turns partial sums (and the number of their cells) into one row for every model, node and feature: its sums, and its
+    best cut with gain, side of missing values, and sums on the left.  The expressions are made once."""
     keys = ["model", "node", "feature"]
-    hist = partial.repartition(max(1, cells // 20_000), *keys).groupBy(*keys, "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     real, none = F.col("bin") > 0, F.col("bin") == 0
     unit = F.lit(UNIT)
-    hist = hist.withColumns({
+    summed = [F.sum("g").alias("g"), F.sum("h").alias("h")]
+    prefix = {
         "all_g": F.sum("g").over(whole) / unit, "all_h": F.sum("h").over(whole) / unit,
         "g0": F.coalesce(F.sum(F.when(none, F.col("g"))).over(whole), F.lit(0)) / unit,
         "h0": F.coalesce(F.sum(F.when(none, F.col("h"))).over(whole), F.lit(0)) / unit,
         "gl": F.coalesce(F.sum(F.when(real, F.col("g"))).over(upto), F.lit(0)) / unit,
-        "hl": F.coalesce(F.sum(F.when(real, F.col("h"))).over(upto), F.lit(0)) / unit})
+        "hl": F.coalesce(F.sum(F.when(real, F.col("h"))).over(upto), F.lit(0)) / unit}
 
     def side(missing_left: bool):
         gl = F.col("gl") + F.col("g0") if missing_left else F.col("gl")
@@ -265,7 +266,13 @@ def best_cuts(partial: DataFrame, params: Boosting, cells: int) -> DataFrame:
     # a cut with equal gains on both sides of missing values sends them right
     left, right = side(True), side(False)
     one = F.when(left.isNull() | (right["gain"] >= left["gain"]), right).otherwise(left)
-    return hist.groupBy(*keys).agg(F.first("all_g").alias("all_g"), F.first("all_h").alias("all_h"), F.max(one).alias("best"))
+    found = [F.first("all_g").alias("all_g"), F.first("all_h").alias("all_h"), F.max(one).alias("best")]
+
+    def best(partial: DataFrame, cells: int) -> DataFrame:
+        hist = partial.repartition(max(1, cells // 20_000), *keys).groupBy(*keys, "bin").agg(*summed)
+        return hist.withColumns(prefix).groupBy(*keys).agg(*found)
+
+    return best
 
 
 def grow(rows: DataFrame, jobs: Sequence[tuple[Boosting, int | None]], features: Sequence[str], cuts: list[np.ndarray]) -> list[BoostedModel]:
@@ -276,6 +283,7 @@ def grow(rows: DataFrame, jobs: Sequence[tuple[Boosting, int | None]], features:
     first = jobs[0][0]
     if any((p.l2, p.gamma, p.least_weight) != (first.l2, first.gamma, first.least_weight) for p, _ in jobs):
         raise ValueError("models that grow together share l2, gamma and least_weight")
+    best_cuts = cut_finder(first)
     for round_ in range(max(p.rounds for p, _ in jobs)):
         for m, s in state.items():
             s.tree, s.open = Tree(), [0] if round_ < s.params.rounds else []
@@ -284,7 +292,7 @@ def grow(rows: DataFrame, jobs: Sequence[tuple[Boosting, int | None]], features:
         while now := {m: s for m, s in state.items() if s.open and level < s.params.depth}:
             cells = sum(len(s.open) * len(s.features) for s in now.values()) * width
             found: dict[tuple[int, int], list] = {}
-            for r in best_cuts(sums(rows, now, round_, width), first, cells).collect():
+            for r in best_cuts(sums(rows, now, round_, width), cells).collect():
                 found.setdefault((r.model, r.node), []).append(r)
             for m, s in now.items():
                 tree, coming = s.tree, []

@@ -75,7 +75,7 @@ def collected(frame, features, label="reordered", keys=("user_id", "product_id")
                         *keys).collect()
 
 
-@pytest.mark.parametrize("params", [B.Boosting(rounds=3, depth=3), B.Boosting(rounds=2, depth=4, feature_share=0.6, gamma=0.1, least_weight=3.0, bins=16)])
+@pytest.mark.parametrize("params", [B.Boosting(rounds=2, depth=3), B.Boosting(rounds=1, depth=4, feature_share=0.6, gamma=0.1, least_weight=3.0, bins=16)])
 def test_trees_and_scores_are_those_of_plain_numpy(pairs, params):
     model = B.fit(pairs, params)
     rows = collected(pairs, model.features)
@@ -86,7 +86,7 @@ def test_trees_and_scores_are_those_of_plain_numpy(pairs, params):
 
 
 def test_trees_do_not_depend_on_partitions(pairs):
-    p = B.Boosting(rounds=2, depth=3)
+    p = B.Boosting(rounds=1, depth=3)
     assert B.fit(pairs.repartition(7), p).trees == B.fit(pairs.orderBy("product_id"), p).trees
 
 
@@ -113,9 +113,9 @@ def test_missing_values_go_where_they_gain_and_odd_tables_work(spark):
 
 
 def test_grid_is_that_of_separate_fits(pairs, spark):
-    p = B.Boosting(rounds=2)
-    model, report = B.grid_search(pairs, (2, 4), (0.3, 0.6), 3, p)
-    data = fold_column(pairs, 3, 7).checkpoint(eager=True)
+    p = B.Boosting(rounds=1)
+    model, report = B.grid_search(pairs, (2, 4), (0.3, 0.6), 2, p)
+    data = fold_column(pairs, 2, 7).checkpoint(eager=True)
     cuts = B.feature_cuts(data, B.FEATURES, p.bins)
     for r in report.collect():
         params = B.replace(p, depth=r.max_depth, feature_share=r.feature_share)
@@ -125,14 +125,14 @@ def test_grid_is_that_of_separate_fits(pairs, spark):
         assert abs(held - r.accuracy) < 1e-12
         if r.best:
             assert (model.params.depth, model.params.feature_share) == (r.max_depth, r.feature_share)
-    assert report.where("best").count() == 3
+    assert report.where("best").count() == 2
 
 
 def test_tables_of_the_model(pairs, spark):
-    model = B.fit(pairs, B.Boosting(rounds=3))
+    model = B.fit(pairs, B.Boosting(rounds=2))
     nodes = model.nodes(spark)
     inner = nodes.where("feature is not null")
-    assert inner.count() + 3 == nodes.count() - inner.count()  # a binary tree has one leaf more than splits
+    assert inner.count() + 2 == nodes.count() - inner.count()  # a binary tree has one leaf more than splits
     assert inner.where("threshold is null or gain <= 0").count() == 0
     counts = {r.feature: r.splits for r in B.split_importance(model, spark).collect()}
     assert sum(counts.values()) == inner.count() and set(counts) == set(model.features)
