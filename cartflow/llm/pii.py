@@ -58,6 +58,8 @@ TIGHT_NUMBER = r"(?<![0-9A-Za-z])[+(]?[0-9]++(?:(?:\[\.\]|\(\.\)|[().:/-]{1,2})[
 TIGHT_SPELLED = rf"(?<!{LOCAL}){LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?{HOST}++(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?){HOST}++)*+"
 IN_WORDS = rf"(?<!{LOCAL}){LOCAL}++\x20at\x20{HOST}++(?:\x20dot\x20{HOST}++)++"
 GROUPED = r"(?<![0-9A-Za-z+])(?:[0-9]{1,3}[\x20.-])?(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-]{1,2}[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])"
+#: A run of more digits is several numbers: the generators that stop at blanks propose them one by one.
+MOST_DIGITS = 19
 CONTEXT = 24
 KEYWORDS = r"(?i)(tel|phone|call|mobil|fax|mail|contact|card|visa|iban|account|addr|host|ssn|born|kontakt|correo|courriel)"
 OTHER_USE = r"(?i)(version|licen[sc]e|cc |by-|page|chapter|no\.|token|password|key|sha|id)[^A-Za-z]*$"
@@ -151,7 +153,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         F.array(*[m.cast("double") for m in made]).alias("x"))
 
     def of(name: str, generator: int) -> Column:
-        hits = F.filter(name, lambda s: F.length(digits_of(s["hit"])) >= 5) if generator else F.col(name)
+        hits = F.filter(name, lambda s: F.length(digits_of(s["hit"])).between(5, MOST_DIGITS)) if generator else F.col(name)
         return F.transform(hits, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), s["left"].alias("left"),
                                                     s["right"].alias("right"), F.lit(generator).alias("generator"),
                                                     F.filter(F.split(s["hit"], "[^0-9]+"), lambda g: g != "").alias("groups")))

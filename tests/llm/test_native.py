@@ -74,6 +74,7 @@ LOOK_ALIKES = ["2021-03-14", "14/03/2021", "4111.1111.1111.1112", "meet (at) noo
 def test_trees_find_forms_that_no_base_pattern_has(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     rows = [(-1 - i, f"words of a text and {form} among other words") for i, form in enumerate([*FORMS, *LOOK_ALIKES])]
+    rows.append((-101, "paid with 4465758382889437 4465758382889437 in all"))
     rows.append((-100, "ask joe(at)example.org. The rest"))  # two candidates overlap: the next sentence isn't taken along
     planted = spark.createDataFrame(rows, docs.schema)
     model = pii.train(docs.union(planted))
@@ -83,6 +84,7 @@ def test_trees_find_forms_that_no_base_pattern_has(spark):
         want = f"{FORMS[form]}:20:{20 + len(form)}" if form in FORMS else ""
         assert found[-1 - i] == ("", want), form
     assert found[-100] == ("", "email:4:22")
+    assert set(found[-101][1].split(",")) - {"card:10:26", "card:27:43"} <= {""}  # two numbers are never one span
 
 
 def test_thresholds_see_all_documents_outside_the_fit(spark, monkeypatch):
