@@ -29,15 +29,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.one_of_each(docs)
 
 
+def with_lengths(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is such a column, as the length of the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts; ``n_chars`` follows."""
-    clean = pii.redact(docs, pii.train(docs))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    return with_lengths(pii.redact(docs, pii.train(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and samples documents up to the target of their source."""
-    return mixing.mixed_documents(docs)
+    """Repeats and samples documents up to the target of their source; a part of a document has its own ``n_chars``."""
+    return with_lengths(mixing.mixed_documents(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
