@@ -48,15 +48,14 @@ def _summed(columns: list[list[np.ndarray]], names: list[str]) -> pd.DataFrame:
 
 
 def _pair_rows(batches):
-    """Tiles (one block of a basket, or two) -> partial counts of their pairs, chunk by chunk."""
+    """Tiles (items of a basket's block, and those of another one) -> partial counts of their pairs, chunk by chunk."""
     a, b, held = [], [], 0
     for pdf in batches:
-        for blocks in pdf["blocks"]:
-            first = np.asarray(blocks[0], dtype=np.int64)
-            other = np.asarray(blocks[1], dtype=np.int64) if len(blocks) > 1 else None
-            for i in range(len(first) if other is not None else len(first) - 1):
-                near = first[i + 1:] if other is None else other
-                one = np.full(len(near), first[i])
+        for items, others in zip(pdf["items"], pdf["others"] if "others" in pdf else [None] * len(pdf)):
+            items = np.asarray(items, dtype=np.int64)
+            for i in range(len(items)):
+                near = items[i + 1:] if others is None else np.asarray(others, dtype=np.int64)
+                one = np.full(len(near), items[i])
                 a.append(np.minimum(one, near))
                 b.append(np.maximum(one, near))
                 held += len(near)
@@ -68,7 +67,7 @@ def _pair_rows(batches):
 
 
 def basket_tiles(lines: DataFrame, block: int = _BLOCK) -> DataFrame:
-    """Rows ``order_id, i, j, blocks``: every pair of a basket's blocks (a block with itself: one array) of distinct lines.
+    """Rows ``order_id, i, j, items, others``: every pair of a basket's blocks (a block with itself: no others) of distinct lines.
 
     Items are dealt into ``ceil(size / block)`` blocks of their basket by a hash,
     so no row holds a whole basket, and every pair of items is in one tile.
@@ -79,7 +78,8 @@ def basket_tiles(lines: DataFrame, block: int = _BLOCK) -> DataFrame:
     lists = dealt.groupBy("order_id", "_blocks", "_b").agg(F.array_sort(F.collect_list("product_id")).alias("items"))
     met = lists.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return (met.groupBy("order_id", F.least("_b", "_c").alias("i"), F.greatest("_b", "_c").alias("j"))
-            .agg(F.collect_list("items").alias("blocks")).where((F.col("i") == F.col("j")) | (F.size("blocks") == 2)))
+            .agg(F.collect_list("items").alias("_lists")).where((F.col("i") == F.col("j")) | (F.size("_lists") == 2))
+            .select("order_id", "i", "j", F.get("_lists", F.lit(0)).alias("items"), F.get("_lists", F.lit(1)).alias("others")))
 
 
 def _triple_rows(batches):
@@ -109,7 +109,7 @@ def _pair_counts(lines: DataFrame, min_support: float):
     """(frequent pairs with n_orders, n_baskets, least count, frequent items, lines of frequent items)."""
     pairs, n_baskets, min_count, items = _frequent_items(lines, min_support)
     frequent = pairs.join(items.select("product_id"), "product_id", "left_semi")
-    counts = (basket_tiles(frequent).select("blocks").mapInPandas(_pair_rows, "item_a long, item_b long, n long")
+    counts = (basket_tiles(frequent).select("items", "others").mapInPandas(_pair_rows, "item_a long, item_b long, n long")
               .groupBy("item_a", "item_b").agg(F.sum("n").alias("n_orders"))
               .where(F.col("n_orders") >= F.lit(min_count)))
     return counts, n_baskets, min_count, items, frequent
@@ -144,12 +144,11 @@ def _tile_pairs(batches):
     """Tiles with their order -> the pairs themselves, in chunks."""
     for pdf in batches:
         out, held = [], 0
-        for order, blocks in zip(pdf["order_id"], pdf["blocks"]):
-            first = np.asarray(blocks[0], dtype=np.int64)
-            other = np.asarray(blocks[1], dtype=np.int64) if len(blocks) > 1 else None
-            for i in range(len(first)):
-                near = first[i + 1:] if other is None else other
-                one = np.full(len(near), first[i])
+        for order, items, others in zip(pdf["order_id"], pdf["items"], pdf["others"]):
+            items = np.asarray(items, dtype=np.int64)
+            for i in range(len(items)):
+                near = items[i + 1:] if others is None else np.asarray(others, dtype=np.int64)
+                one = np.full(len(near), items[i])
                 out.append(pd.DataFrame({"order_id": order, "item_a": np.minimum(one, near), "item_b": np.maximum(one, near)}))
                 held += len(near)
                 if held >= _CHUNK:

@@ -101,8 +101,8 @@ def test_a_huge_basket_s_pairs_are_shared_out(spark):
     df = spark.createDataFrame([(1, p) for p in range(1000)] + [(2, 1), (2, 2)], "order_id long, product_id long")
     tiles = baskets.basket_tiles(df, 100).collect()
     big = [t for t in tiles if t.order_id == 1]
-    assert len(big) == 55 and max(len(b) for t in big for b in t.blocks) < 160  # 10 blocks, each with each and with itself
-    pairs = [p for t in big for p in (itertools.combinations(t.blocks[0], 2) if len(t.blocks) == 1 else itertools.product(*t.blocks))]
+    assert len(big) == 55 and max(len(b) for t in big for b in (t["items"], t.others or [])) < 160  # 10 blocks, each with each and with itself
+    pairs = [p for t in big for p in (itertools.combinations(t["items"], 2) if t.others is None else itertools.product(t["items"], t.others))]
     assert len(pairs) == len({tuple(sorted(p)) for p in pairs}) == 1000 * 999 // 2
 
 
