@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.selection import hash_sql
 from ..operators import baskets as B
 from ..operators import copartitioned as CO
+from ..operators import deep_forest as DF
 from ..operators import evaluate as E
 from ..operators import exact_tree as X
 from ..operators import features as FT
@@ -120,6 +121,22 @@ def exact_tree(spark, sf):
     return X.table(X.fit(_training(spark, sf).checkpoint(eager=True), 2), spark)
 
 
+@query("deep_tree", _sql(
+    f"SELECT user_id, product_id, CAST(sum(reordered) OVER w AS DOUBLE) / count(*) OVER w AS score FROM tr WINDOW w AS (PARTITION BY {Q.FEATURE_COLS})",
+    Q.ALL_FEATURES, Q.TRAIN, grain=MODEL_GRAIN))
+def deep_tree(spark, sf):
+    """M3: a tree without a depth limit gives every training row the share of positives among the rows with its features."""
+    train = _training(spark, sf).checkpoint(eager=True)
+    return DF.score(DF.fit(train, DF.Growth(trees=1, bootstrap=False)), train)
+
+
+@query("deep_forest")
+def deep_forest(spark, sf):
+    """M3: ten trees without a depth limit on drawn rows, fitted on the training rows, scores of the validation rows."""
+    rows = S.split_rows(_training(spark, sf), Q.VALIDATION_SHARE, Q.SPLIT_SEED).checkpoint(eager=True)
+    return DF.score(DF.fit(rows.where(F.col("split") == "train")), rows.where(F.col("split") == "validation"))
+
+
 @query("logistic_optimum", _sql("SELECT count(*) AS n_rows, true AS converged FROM tr", Q.ALL_FEATURES, Q.TRAIN, grain=MODEL_GRAIN))
 def logistic_optimum(spark, sf):
     """M2: whether the gradient at the fitted weights vanishes."""
