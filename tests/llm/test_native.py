@@ -72,7 +72,8 @@ def test_running_values_and_halving(spark):
     frame = spark.createDataFrame(rows, "v array<int>")
     for (v,), r in zip(rows, frame.select(pii.running(F.col("v"), lambda a, b: a + b).alias("r")).collect()):
         assert r.r == [sum(v[:i + 1]) for i in range(len(v))]
-    spans = frame.select(F.transform(F.array_sort(F.transform("v", lambda x: x + 10)), lambda x: F.struct((x + 0).alias("start"))).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("at"))
+    spans = frame.select(F.transform(F.array_sort(F.transform("v", lambda x: x + 10)), lambda x: F.struct((x + 0).alias("start"))).alias("s"))
+    spans = spans.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(20))))
     for r in spans.select("s", "at", pii.last_before(F.col("s"), F.col("at"))["start"].alias("got")).collect():
         assert r.got == max((x.start for x in r.s if x.start < r.at), default=None)
 
