@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: Rows in a chunk of candidates and in a block of queries, on average.
 CHUNK, BLOCK = 8192, 2048
+#: Blocks of queries that stream past one copy of a chunk.
+TOGETHER = 64
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -31,19 +34,41 @@ def matrix(values: pd.Series, dtype: str = "float64") -> np.ndarray:
 def against(chunks: DataFrame, n_chunks: int, queries: DataFrame, n_blocks: int, search: Callable, out: str) -> DataFrame:
     """Every chunk meets every block of queries once: ``search(chunk rows, query rows)``, both as pandas.
 
-    ``chunks`` has ``dim`` and ``chunk``, ``queries`` has ``dim`` and ``block``.  Chunks
-    are repeated for each block and queries for each chunk; a task holds one
-    chunk and one block.
+    ``chunks`` has ``dim`` and ``chunk``, ``queries`` has ``dim`` and ``block``.  Queries
+    are repeated for each chunk, a chunk for every ``TOGETHER`` blocks only: its rows
+    come first in their task, and the queries stream past them in batches.  A task holds
+    one chunk and one batch of queries, and its work is bounded.
     """
-    left = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    spans = parts_of(n_blocks, TOGETHER)
     names = [f.split()[0] for f in out.split(", ")]
-
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return search(a, b) if len(a) and len(b) else pd.DataFrame({n: [] for n in names})
-
-    keys = ["dim", "chunk", "block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(one, out)
+    left = chunks.withColumns({"span": F.explode(F.sequence(F.lit(0), F.lit(spans - 1))), "turn": F.lit(0)})
+    right = (queries.withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))), "turn": F.lit(1)})
+             .withColumn("span", F.floor(F.col("block") / TOGETHER).cast("int")).drop("block"))
+    types = {f.name: f.dataType for f in [*left.schema, *right.schema]}
+
+    def filled(rows: DataFrame) -> DataFrame:
+        """All columns of both sides; numbers that a side lacks are 0, so that longs stay longs in pandas."""
+        return rows.select(*[F.col(n) if n in rows.columns else F.lit(0 if isinstance(t, NumericType) else None).cast(t).alias(n) for n, t in types.items()])
+
+    keys = ["dim", "chunk", "span"]
+    rows = filled(left).unionByName(filled(right)).repartition(*keys).sortWithinPartitions(*keys, "turn")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, held, chunk = None, [], None
+        for batch in batches:
+            at = batch[[*keys, "turn"]].to_numpy()
+            starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1)] if len(batch) else []
+            for start, end in zip(starts, [*starts[1:], len(batch)]):
+                if place != tuple(at[start, :3]):
+                    place, held, chunk = tuple(at[start, :3]), [], None
+                if not at[start, 3]:
+                    held.append(batch.iloc[start:end])
+                elif held or chunk is not None:
+                    if chunk is None:
+                        chunk, held = pd.concat(held, ignore_index=True), []
+                    yield search(chunk, batch.iloc[start:end])[names]
+
+    return rows.mapInPandas(run, out)
 
 
 def dealt(rows: DataFrame, name: str, parts: int, salt: int, by: Column) -> DataFrame:
