@@ -19,14 +19,19 @@ spans are negative, and so are the texts' other numbers and signs, unless a
 contact word stands right before them (positive) or near them, or they have
 the form of personal data (both not learned from, for they may be some).  The
 threshold of a kind is the least at which, on all documents outside the fit,
-the candidates that win among those that overlap are right with ``precision``;
-a kind without such a threshold selects nothing.  The precision is that on
-forms and look-alikes in equal numbers, not on a text's own mixture.
+the candidates that win among those that overlap are right with ``precision``,
+``LEAST_WINNERS`` of them at least; a kind without such a threshold selects
+nothing.  The base spans of those documents are masked with other forms than
+any the trees were fitted on.  The precision is that on forms and look-alikes
+in equal numbers, not on a text's own mixture.
 
 A fitted model becomes a column expression, so finding and redacting is one
 pass over the documents without a shuffle or join.  Patterns are written so
 that they take time in proportion to the text (possessive, starting at the
-start of a run only).
+start of a run only).  Places are prefix sums by doubling, spans are looked up
+by halving, and texts are put together from blocks, so n spans of one text
+take some n log n steps; only a chain of c selected candidates of which each
+overlaps the next takes c * c.
 
 Null text counts as empty and has no spans; redaction leaves null as null.
 Repeated rows are handled alike.  Positions are code points, ends exclusive.

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cartflow.llm import hnsw, html, quality, simhash, topk
+from cartflow.llm import vectors as vectors_module
 from cartflow.llm.components import components
 
 SF = "/root/testdata/sf0.01"
@@ -101,14 +102,15 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string"), base
 
 
-def test_exact_top_k_is_that_of_all_products(spark):
+def test_exact_top_k_is_that_of_all_products(spark, monkeypatch):
     frame, base = vectors(spark)
     ints = {i: [int(np.floor(1024.0 * float(x))) for x in v] for i, v in enumerate(base)} | {302: [0] * 16, 307: [int(np.floor(1024.0 * float(np.float32(3e38))))] * 16}
     want = []
     for q in (i for i in ints if i % 20 == 0):
         scores = sorted((-max(-2 ** 63, min(2 ** 63 - 1, sum(a * b for a, b in zip(ints[q], v)))), i) for i, v in ints.items() if i != q)[:10]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
-    for chunk, block in ((64, 4), (8192, 2048)):
+    for chunk, block, together in ((64, 4, 64), (64, 4, 2), (8192, 2048, 64)):
+        monkeypatch.setattr(vectors_module, "TOGETHER", together)
         got = topk.exact_top_k(frame, F.col("vec_id") % 20 == 0, 10, chunk=chunk, block=block)
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert topk.exact_top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
