@@ -24,7 +24,7 @@ import hashlib
 import os
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import grouped_row_number
@@ -119,11 +119,14 @@ def derive_lines(spark: SparkSession, sf_dir: str, orders: DataFrame, grain: str
     lines = lines.distinct()
 
     la = lines.join(orders, "order_id", "inner")
-    # reordered = bought in an earlier order of the same user: the first order
-    # number per (user, product) by aggregate (skew-safe partial aggregation),
-    # joined back; not a window over a possibly hot (user, product) group.
-    first = la.groupBy("user_id", "product_id").agg(F.min("order_number").alias("first_on"))
-    return (la.join(first, ["user_id", "product_id"], "inner")
+    # reordered = bought in an earlier order of the same user.  The lines are
+    # shuffled and sorted once by (user, product); a window that holds its rows
+    # in spillable buffers gives the first order number.  An aggregate joined
+    # back brings a pair's lines into one task too, but reads the order join
+    # twice and shuffles and sorts a second time.
+    first = F.min("order_number").over(Window.partitionBy("user_id", "product_id"))
+    return (la.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
+            .withColumn("first_on", first)
             .where(F.col("eval_set") != "test")  # lines of test orders are withheld
             .select("order_id", "product_id",
                     (F.col("order_number") > F.col("first_on")).cast("int").alias("reordered"),
