@@ -71,6 +71,11 @@ def _small_side(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """An order-grain table that two steps read: made once, kept in the shared folder."""
+    return df.checkpoint(eager=True)
+
+
 # --------------------------------------------------------------------------- T3
 def product_purchases(op: DataFrame) -> DataFrame:
     """A3: lines per product."""
@@ -240,8 +245,8 @@ def orders_with_recency(orders: DataFrame, prior_lines: DataFrame) -> DataFrame:
     before the shuffle); the user maximum is an aggregate, joined back at
     order grain.  No per-user window.
     """
-    with_lines = (orders.where(F.col("eval_set") == "prior").select("order_id", "user_id", "order_number")
-                  .join(prior_lines.select("order_id").distinct(), "order_id", "left_semi"))
+    with_lines = _kept(orders.where(F.col("eval_set") == "prior").select("order_id", "user_id", "order_number")
+                       .join(prior_lines.select("order_id").distinct(), "order_id", "left_semi"))
     umax = with_lines.groupBy("user_id").agg(F.max("order_number").alias("_umax"))
     return (with_lines.join(_small_side(umax), "user_id", "inner")
             .select("order_id", "user_id", "order_number",

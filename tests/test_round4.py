@@ -2,6 +2,7 @@
 
 from datetime import date
 
+from cartflow.operators import features as FT
 from cartflow.sources import testdata
 
 
@@ -16,3 +17,10 @@ def test_lines_are_shuffled_once_by_pair(spark, tmp_path):
     assert sum("Exchange hashpartitioning(user_id" in line for line in plan.splitlines()) == 1
     # lines without a user or a product have no pair
     assert sorted(map(tuple, got.collect())) == [(1, 10, 0, "prior"), (2, 10, 1, "prior"), (2, 20, 0, "prior"), (3, 20, 1, "train")]
+
+
+def test_orders_with_lines_are_made_once(spark, fixture_tables):
+    got = FT.orders_with_recency(fixture_tables["orders"], fixture_tables["prior_lines"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan  # kept, not made again for the join with the users' highest numbers
+    assert sorted(map(tuple, got.collect())) == [(11, 1, 1, 3), (12, 1, 2, 2), (13, 1, 3, 1), (21, 2, 1, 2), (22, 2, 2, 1)]
