@@ -34,8 +34,8 @@ from ..session import shared_path
 from .features import FEATURES
 
 NODES = "tree int, part long, node int, feature int, threshold double, left int, right int, n long, pos long"
-#: Scored rows of one subtree that go to one task.
-SCORED_ROWS = 500_000
+#: Scored rows of one subtree that go to one group, which a worker holds whole.
+SCORED_ROWS = 100_000
 
 
 @dataclass(frozen=True)

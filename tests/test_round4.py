@@ -2,6 +2,7 @@
 
 from datetime import date
 
+from cartflow.operators import deep_forest as DF
 from cartflow.operators import features as FT
 from cartflow.sources import testdata
 
@@ -24,3 +25,13 @@ def test_orders_with_lines_are_made_once(spark, fixture_tables):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" not in plan  # kept, not made again for the join with the users' highest numbers
     assert sorted(map(tuple, got.collect())) == [(11, 1, 1, 3), (12, 1, 2, 2), (13, 1, 3, 1), (21, 2, 1, 2), (22, 2, 2, 1)]
+
+
+def test_groups_of_scored_rows_are_bounded(spark, monkeypatch):
+    assert DF.SCORED_ROWS <= 100_000
+    rows = spark.createDataFrame([(i, i % 3, float(i % 5), i % 5 % 2) for i in range(300)], "user_id long, product_id long, a double, reordered int")
+    model = DF.fit(rows, DF.Growth(trees=1, bootstrap=False), ["a"])
+    whole = sorted(map(tuple, DF.score(model, rows).collect()))
+    monkeypatch.setattr(DF, "SCORED_ROWS", 20)
+    assert sorted(map(tuple, DF.score(model, rows).collect())) == whole
+    assert [r[2] for r in whole] == [float(i % 5 % 2) for i in range(300)]
