@@ -82,14 +82,15 @@ class Tree:
 def node_of(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
     """The leaf (or node that isn't split yet) of every row of binned features; bin 0 is missing."""
     feature, cut, missing_left, left, right, _ = tree
-    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    while True:
-        f = feature[node]
-        inner = f >= 0
-        if not inner.any():
-            return node
-        b = bins[rows, np.maximum(f, 0)]
-        node = np.where(inner, np.where(np.where(b == 0, missing_left[node], b <= cut[node]), left[node], right[node]), node)
+    n, k = bins.shape
+    node, inner, own = np.zeros(n, np.int64), feature >= 0, np.arange(len(feature))
+    # where a node's rows go: right, left; those of other nodes stay
+    child = np.stack([np.where(inner, right, own), np.where(inner, left, own)], 1).ravel()
+    tested, first, flat = np.maximum(feature, 0), np.arange(n) * k, bins.ravel()
+    while inner.take(node).any():
+        b = flat.take(first + tested.take(node))
+        node = child.take(2 * node + np.where(b == 0, missing_left.take(node), b <= cut.take(node)))
+    return node
 
 
 def margins(trees: Sequence[tuple[np.ndarray, ...]], bins: np.ndarray) -> np.ndarray:

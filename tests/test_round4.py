@@ -1,7 +1,11 @@
-"""Order lines shuffled once by (user, product), steps that read a shared table once, bounded groups of scored rows."""
+"""Order lines shuffled once by (user, product), steps that read a shared table once, bounded groups of scored rows,
+the walk down boosted trees."""
 
 from datetime import date
 
+import numpy as np
+
+from cartflow.operators import boosting as BO
 from cartflow.operators import deep_forest as DF
 from cartflow.operators import features as FT
 from cartflow.sources import testdata
@@ -35,3 +39,30 @@ def test_groups_of_scored_rows_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(DF, "SCORED_ROWS", 20)
     assert sorted(map(tuple, DF.score(model, rows).collect())) == whole
     assert [r[2] for r in whole] == [float(i % 5 % 2) for i in range(300)]
+
+
+def test_rows_go_down_a_tree_without_a_copy_of_rows_per_step():
+    def one_by_one(tree, row):
+        feature, cut, missing_left, left, right, _ = tree
+        i = 0
+        while feature[i] >= 0:
+            b = row[feature[i]]
+            i = (left if (missing_left[i] if b == 0 else b <= cut[i]) else right)[i]
+        return i
+
+    class NoIndexing(np.ndarray):
+        def __getitem__(self, key):
+            if isinstance(key, tuple):
+                raise AssertionError("pairs of index arrays are slow")
+            return super().__getitem__(key)
+
+    rng = np.random.default_rng(5)
+    tree = BO.Tree()
+    for node in range(40):  # nodes of all depths, some leaves
+        if node % 4 != 3:
+            tree.feature[node], tree.cut[node], tree.missing_left[node] = int(rng.integers(3)), int(rng.integers(1, 9)), bool(node % 2)
+            tree.left[node], tree.right[node] = tree.add(0.0, 1.0), tree.add(0.0, 1.0)
+    bins = rng.integers(0, 10, (500, 3)).astype(np.int16)
+    want = [one_by_one(tree.arrays(), row) for row in bins]
+    assert BO.node_of(tree.arrays(), bins.view(NoIndexing)).tolist() == want
+    assert BO.node_of(tree.arrays(), bins[:0]).tolist() == [] and BO.node_of(BO.Tree().arrays(), bins).tolist() == [0] * 500
