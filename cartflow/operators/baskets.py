@@ -7,7 +7,9 @@ by key; nothing is gathered on the driver and no size stops a job.  Tasks
 count the pairs or triples of their baskets chunk by chunk, equal ones added
 up before the shuffle, and Spark sums the partial counts.  A basket of many
 frequent items is cut into blocks, and every pair of blocks is a row of its own,
-so that a huge basket's pairs are shared by as many tasks as they need.
+so that a huge basket's pairs are shared by as many tasks as they need.  Baskets
+of one block with the same frequent items are one row with their number from
+then on, whichever orders they are.
 """
 
 from __future__ import annotations
@@ -42,28 +44,28 @@ def _frequent_items(lines: DataFrame, min_support: float):
 
 
 def _summed(columns: list[list[np.ndarray]], names: list[str]) -> pd.DataFrame:
-    """Equal rows of a chunk once, with their number."""
-    frame = pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, columns)})
-    return frame.groupby(names, sort=False).size().rename("n").reset_index()
+    """Equal rows of a chunk once, with the sum of their numbers (the last column)."""
+    frame = pd.DataFrame({n: np.concatenate(c) for n, c in zip([*names, "n"], columns)})
+    return frame.groupby(names, sort=False)["n"].sum().reset_index()
 
 
 def _pair_rows(batches):
-    """Tiles (items of a basket's block, and those of another one) -> partial counts of their pairs, chunk by chunk."""
-    a, b, held = [], [], 0
+    """Tiles (items of a basket's block, those of another one, number of such baskets) -> partial counts of their pairs, chunk by chunk."""
+    out, held = [[], [], []], 0
     for pdf in batches:
-        for items, others in zip(pdf["items"], pdf["others"] if "others" in pdf else [None] * len(pdf)):
+        for items, others, n in zip(pdf["items"], pdf["others"] if "others" in pdf else [None] * len(pdf), pdf["n"] if "n" in pdf else [1] * len(pdf)):
             items = np.asarray(items, dtype=np.int64)
             for i in range(len(items)):
                 near = items[i + 1:] if others is None else np.asarray(others, dtype=np.int64)
                 one = np.full(len(near), items[i])
-                a.append(np.minimum(one, near))
-                b.append(np.maximum(one, near))
+                for column, values in zip(out, (np.minimum(one, near), np.maximum(one, near), np.full(len(near), n, np.int64))):
+                    column.append(values)
                 held += len(near)
                 if held >= _CHUNK:
-                    yield _summed([a, b], ["item_a", "item_b"])
-                    a, b, held = [], [], 0
+                    yield _summed(out, ["item_a", "item_b"])
+                    out, held = [[], [], []], 0
     if held:
-        yield _summed([a, b], ["item_a", "item_b"])
+        yield _summed(out, ["item_a", "item_b"])
 
 
 def basket_tiles(lines: DataFrame, block: int = _BLOCK) -> DataFrame:
@@ -72,21 +74,44 @@ def basket_tiles(lines: DataFrame, block: int = _BLOCK) -> DataFrame:
     Items are dealt into ``ceil(size / block)`` blocks of their basket by a hash,
     so no row holds a whole basket, and every pair of items is in one tile.
     """
+    return _tiles(lines, block).select("order_id", "i", "j", "items", "others")
+
+
+def _tiles(lines: DataFrame, block: int) -> DataFrame:
+    """The tiles, with the number of their basket's blocks."""
     sizes = (lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
              .select("order_id", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_blocks")).checkpoint(eager=True))
     dealt = lines.join(sizes, "order_id").withColumn("_b", F.pmod(F.xxhash64("product_id"), F.col("_blocks")).cast("int"))
     lists = dealt.groupBy("order_id", "_blocks", "_b").agg(F.array_sort(F.collect_list("product_id")).alias("items"))
     met = lists.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return (met.groupBy("order_id", F.least("_b", "_c").alias("i"), F.greatest("_b", "_c").alias("j"))
+    return (met.groupBy("order_id", "_blocks", F.least("_b", "_c").alias("i"), F.greatest("_b", "_c").alias("j"))
             .agg(F.collect_list("items").alias("_lists")).where((F.col("i") == F.col("j")) | (F.size("_lists") == 2))
-            .select("order_id", "i", "j", F.get("_lists", F.lit(0)).alias("items"), F.get("_lists", F.lit(1)).alias("others")))
+            .select("order_id", "_blocks", "i", "j", F.get("_lists", F.lit(0)).alias("items"), F.get("_lists", F.lit(1)).alias("others")))
+
+
+def _equal_merged(tiles: DataFrame) -> DataFrame:
+    """Tiles ``order_id, items, others, n``: baskets of one block with the same items once, with their number and one of their orders.
+
+    Tiles of larger baskets stay their order's, as sets of more than two items meet across them.
+    """
+    own = F.when(F.col("_blocks") > 1, F.col("order_id")).alias("_own")
+    return (tiles.groupBy(own, "i", "j", "items", "others").agg(F.min("order_id").alias("order_id"), F.count(F.lit(1)).alias("n"))
+            .select("order_id", "items", "others", "n"))
+
+
+def _tile_pairs(tiles: DataFrame) -> DataFrame:
+    """Rows ``order_id, n, item_a, item_b``: the pairs of each tile."""
+    each = tiles.select("order_id", "n", "items", "others", F.posexplode("items").alias("_at", "_x"))
+    near = F.when(F.col("others").isNull(), F.slice("items", F.col("_at") + 2, F.size("items"))).otherwise(F.col("others"))
+    return (each.select("order_id", "n", "_x", F.explode(near).alias("_y"))
+            .select("order_id", "n", F.least("_x", "_y").cast("long").alias("item_a"), F.greatest("_x", "_y").cast("long").alias("item_b")))
 
 
 def _triple_rows(batches):
-    """Baskets as their frequent pairs -> partial counts of triples whose three pairs are frequent."""
-    out, held = [[], [], []], 0
+    """Baskets as their frequent pairs, with their number -> partial counts of triples whose three pairs are frequent."""
+    out, held = [[], [], [], []], 0
     for pdf in batches:
-        for pairs in pdf["pairs"]:
+        for pairs, n in zip(pdf["pairs"], pdf["n"]):
             after: dict[int, set[int]] = {}
             for p in pairs:
                 after.setdefault(p["item_a"], set()).add(p["item_b"])
@@ -95,24 +120,25 @@ def _triple_rows(batches):
                     third = near & after.get(y, set())
                     if third:
                         c = np.fromiter(third, np.int64, len(third))
-                        for column, values in zip(out, (np.full(len(c), x), np.full(len(c), y), c)):
+                        for column, values in zip(out, (np.full(len(c), x), np.full(len(c), y), c, np.full(len(c), n, np.int64))):
                             column.append(values)
                         held += len(c)
                         if held >= _CHUNK:
                             yield _summed(out, ["item_a", "item_b", "item_c"])
-                            out, held = [[], [], []], 0
+                            out, held = [[], [], [], []], 0
     if held:
         yield _summed(out, ["item_a", "item_b", "item_c"])
 
 
 def _pair_counts(lines: DataFrame, min_support: float):
-    """(frequent pairs with n_orders, n_baskets, least count, frequent items, lines of frequent items)."""
+    """(frequent pairs with n_orders, n_baskets, least count, frequent items, merged tiles of the baskets' frequent items)."""
     pairs, n_baskets, min_count, items = _frequent_items(lines, min_support)
     frequent = pairs.join(items.select("product_id"), "product_id", "left_semi")
-    counts = (basket_tiles(frequent).select("items", "others").mapInPandas(_pair_rows, "item_a long, item_b long, n long")
+    tiles = _equal_merged(_tiles(frequent, _BLOCK)).checkpoint(eager=True)
+    counts = (tiles.select("items", "others", "n").mapInPandas(_pair_rows, "item_a long, item_b long, n long")
               .groupBy("item_a", "item_b").agg(F.sum("n").alias("n_orders"))
               .where(F.col("n_orders") >= F.lit(min_count)))
-    return counts, n_baskets, min_count, items, frequent
+    return counts, n_baskets, min_count, items, tiles
 
 
 def frequent_pairs(lines: DataFrame, min_support: float = 0.02) -> DataFrame:
@@ -127,44 +153,23 @@ def frequent_triples(lines: DataFrame, min_support: float = 0.002) -> DataFrame:
     Candidates: every sub-pair frequent (Apriori).  Each basket keeps its
     frequent pairs (a join by pair), and tasks count the triangles in them.
     """
-    counts, n_baskets, min_count, _, kept = _pair_counts(lines, min_support)
+    counts, n_baskets, min_count, _, tiles = _pair_counts(lines, min_support)
     frequent = counts.select("item_a", "item_b").checkpoint(eager=True)
-    lists = kept.groupBy("order_id").agg(F.array_sort(F.collect_list("product_id")).alias("items")).where(F.size("items") > 1)
-    held = (lists.select("order_id", "items", F.explode("items").alias("item_a"))
-            .select("order_id", "item_a", F.explode(F.filter("items", lambda x: x > F.col("item_a"))).alias("item_b"))
-            .join(frequent, ["item_a", "item_b"], "left_semi")
-            .groupBy("order_id").agg(F.collect_list(F.struct("item_a", "item_b")).alias("pairs")).where(F.size("pairs") > 2))
-    return (held.select("pairs").mapInPandas(_triple_rows, "item_a long, item_b long, item_c long, n long")
+    held = (_tile_pairs(tiles).join(frequent, ["item_a", "item_b"], "left_semi")
+            .groupBy("order_id", "n").agg(F.collect_list(F.struct("item_a", "item_b")).alias("pairs")).where(F.size("pairs") > 2))
+    return (held.select("pairs", "n").mapInPandas(_triple_rows, "item_a long, item_b long, item_c long, n long")
             .groupBy("item_a", "item_b", "item_c").agg(F.sum("n").alias("n_orders"))
             .where(F.col("n_orders") >= F.lit(min_count))
             .select("item_a", "item_b", "item_c", "n_orders", (F.col("n_orders") / F.lit(float(n_baskets))).alias("support")))
 
 
-def _tile_pairs(batches):
-    """Tiles with their order -> the pairs themselves, in chunks."""
-    for pdf in batches:
-        out, held = [], 0
-        for order, items, others in zip(pdf["order_id"], pdf["items"], pdf["others"]):
-            items = np.asarray(items, dtype=np.int64)
-            for i in range(len(items)):
-                near = items[i + 1:] if others is None else np.asarray(others, dtype=np.int64)
-                one = np.full(len(near), items[i])
-                out.append(pd.DataFrame({"order_id": order, "item_a": np.minimum(one, near), "item_b": np.maximum(one, near)}))
-                held += len(near)
-                if held >= _CHUNK:
-                    yield pd.concat(out)
-                    out, held = [], 0
-        if held:
-            yield pd.concat(out)
-
-
 def frequent_itemsets(lines: DataFrame, min_support: float, size: int, block: int = _BLOCK) -> DataFrame:
     """B3 at any level: ``items`` (ascending array), ``n_orders``, ``support`` of sets of ``size`` items.
 
     Level by level: candidates of k items come from frequent sets of k - 1 that
     share all but the last item, and all their subsets must be frequent.  What
-    a basket holds is kept as rows (order, set without its last item, last
-    item); a candidate's occurrences are pairs of such rows with the same
+    a basket holds is kept as rows (order, number of equal baskets, set without its
+    last item, last item); a candidate's occurrences are pairs of such rows with the same
     first part, so even one basket's are spread over many keys.
     """
     pairs, n_baskets, min_count, items = _frequent_items(lines, min_support)
@@ -173,12 +178,12 @@ def frequent_itemsets(lines: DataFrame, min_support: float, size: int, block: in
         return of(items.select(F.array("product_id").alias("items"), "n_orders"))
     kept = pairs.join(items.select("product_id"), "product_id", "left_semi")
     # occurrences of pairs, tile by tile
-    held = (basket_tiles(kept, block).mapInPandas(_tile_pairs, "order_id long, item_a long, item_b long")
-            .select("order_id", F.array("item_a").alias("head"), F.col("item_b").alias("last")))
+    held = (_tile_pairs(_equal_merged(_tiles(kept, block)))
+            .select("order_id", "n", F.array("item_a").alias("head"), F.col("item_b").alias("last")))
     level = 2
     while True:
         held = held.checkpoint(eager=True)
-        counted = held.groupBy("head", "last").agg(F.count(F.lit(1)).alias("n_orders")).where(F.col("n_orders") >= F.lit(min_count)).checkpoint(eager=True)
+        counted = held.groupBy("head", "last").agg(F.sum("n").alias("n_orders")).where(F.col("n_orders") >= F.lit(min_count)).checkpoint(eager=True)
         if level == size:
             return of(counted.select(F.concat("head", F.array("last")).alias("items"), "n_orders"))
         known = counted.select("head", "last")
@@ -193,7 +198,7 @@ def frequent_itemsets(lines: DataFrame, min_support: float, size: int, block: in
             longer = checked.join(sets, ["_head", "_last"], "left_semi").select("head", "last")
         longer = longer.checkpoint(eager=True)
         both = (occurs.join(occurs.select("order_id", "head", F.col("last").alias("next")), ["order_id", "head"]).where("last < next")
-                .select("order_id", F.concat("head", F.array("last")).alias("head"), F.col("next").alias("last")))
+                .select("order_id", "n", F.concat("head", F.array("last")).alias("head"), F.col("next").alias("last")))
         held = both.join(longer, ["head", "last"], "left_semi")
         level += 1
 
