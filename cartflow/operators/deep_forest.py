@@ -211,10 +211,15 @@ def fit(train: DataFrame, growth: Growth = Growth(), features: Sequence[str] = F
 
 
 def score(model: DeepForest, df: DataFrame, keep: Sequence[str] = ("user_id", "product_id")) -> DataFrame:
-    """``keep`` (which tell rows apart) and ``score``: the mean over the trees of the share of positives in the row's leaf."""
+    """``keep`` (which tell rows apart) and ``score``: the mean over the trees of the share of positives in the row's leaf.
+
+    Rows with equal features end in the same leaves: each distinct vector goes
+    down the trees once, and its values are joined to its rows.
+    """
     trees, arrays = model.growth.trees, model.top.arrays()
-    rows = df.select(*keep, vector(model.features).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    given = df.select(*keep, vector(model.features).alias("_x"))
+    vectors = given.select("_x").distinct().select(F.monotonically_increasing_id().alias("_id"), "_x").checkpoint(eager=True)
+    rows = vectors.select("_id", "_x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree"))
 
     def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -222,22 +227,26 @@ def score(model: DeepForest, df: DataFrame, keep: Sequence[str] = ("user_id", "p
                 at = walk(arrays, batch._tree.to_numpy(np.int64), np.stack(batch._x.to_numpy()))
                 yield batch.drop(columns="_tree").assign(_part=np.where(arrays[5][at], at, -1), _value=arrays[4][at])
 
-    rows = rows.mapInPandas(down, f"{kept}, _x array<double>, _part long, _value double").checkpoint(eager=True)
+    rows = rows.mapInPandas(down, "_id long, _x array<double>, _part long, _value double").checkpoint(eager=True)
     # a subtree that many rows reach comes several times
     many = {r._part: -(-r["count"] // SCORED_ROWS) for r in rows.where("_part >= 0").groupBy("_part").count().where(F.col("count") > SCORED_ROWS).collect()}
     copies = lambda part: F.coalesce(F.create_map(*[F.lit(int(x)) for pair in many.items() for x in pair])[part], F.lit(1)) if many else F.lit(1)
-    mine = rows.where("_part >= 0").withColumn("_copy", F.pmod(F.xxhash64(*keep), copies(F.col("_part"))).cast("int"))
+    mine = rows.where("_part >= 0").withColumn("_copy", F.pmod(F.xxhash64("_id"), copies(F.col("_part"))).cast("int"))
     nodes = model.subtrees.withColumnRenamed("part", "_part").withColumn("_copy", F.explode(F.sequence(F.lit(0), (copies(F.col("_part")) - 1).cast("int"))))
 
     def through(nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("node")
-        rows = rows[[*keep, "_x"]]
+        rows = rows[["_id", "_x"]]
         if not len(rows):
             return rows.drop(columns="_x").assign(_value=np.zeros(0))
         end = walk(tuple(nodes[c].to_numpy() for c in ("feature", "threshold", "left", "right")), np.zeros(len(rows), np.int64), np.stack(rows._x.to_numpy()))
         return rows.drop(columns="_x").assign(_value=(nodes.pos / nodes.n).to_numpy()[end])
 
-    ended = nodes.groupBy("_part", "_copy").cogroup(mine.groupBy("_part", "_copy")).applyInPandas(through, f"{kept}, _value double")
-    values = F.sort_array(F.collect_list(F.when(~F.isnan("_value"), F.col("_value"))))  # one a tree, added up in the same order always
-    return (rows.where("_part < 0").select(*keep, "_value").unionByName(ended).groupBy(*keep).agg(values.alias("v"))
+    ended = nodes.groupBy("_part", "_copy").cogroup(mine.groupBy("_part", "_copy")).applyInPandas(through, "_id long, _value double")
+    leaves = (rows.where("_part < 0").select("_id", "_value").unionByName(ended).groupBy("_id")
+              .agg(F.collect_list(F.when(~F.isnan("_value"), F.col("_value"))).alias("_v")))
+    # kept in the shared folder, so AQE can split the rows of a vector that many of them share
+    known = vectors.join(leaves, "_id").select("_x", "_v").checkpoint(eager=True)
+    values = F.sort_array(F.flatten(F.collect_list("_v")))  # one a tree, added up in the same order always
+    return (given.join(known, "_x", "left").groupBy(*keep).agg(values.alias("v"))
             .select(*keep, F.when(F.size("v") > 0, F.aggregate("v", F.lit(0.0), lambda a, b: a + b) / F.size("v")).alias("score")))

@@ -65,3 +65,27 @@ def test_empty_tables(spark):
     none = frame(spark, []).where(F.lit(False))
     model = D.fit(none, D.Growth(trees=2), NAMES)
     assert scores(model, none) == {} and set(scores(model, frame(spark, made(5))).values()) == {None}
+
+
+def test_rows_with_equal_features_go_down_the_trees_once(spark, monkeypatch):
+    rows = [(i, 0, float(i % 5), [None, math.nan, 1.0][i % 3], i % 2, int(i % 5 > 2)) for i in range(600)]  # 20 vectors: null and NaN are one value
+    rows += [(7, 0, 4.0, 1.0, 0, 0), (None, None, 4.0, 1.0, 0, 1), (None, None, 0.0, 1.0, 0, 0)]  # keys that come again, null keys
+    model = D.fit(frame(spark, [(*r[:5], int(r[2] > 2)) for r in made(300)]), D.Growth(trees=4, task_rows=50), NAMES)
+    df = frame(spark, rows)
+    kind, walked = type(df), []
+    plain = kind.mapInPandas
+
+    def counted(self, *args, **more):
+        walked.append(self.count())
+        return plain(self, *args, **more)
+
+    monkeypatch.setattr(kind, "mapInPandas", counted)
+    got = {(r.user_id, r.product_id): r.score for r in D.score(model, df).collect()}
+    assert walked == [20 * 4]
+    monkeypatch.undo()
+    assert len(got) == 601
+    again = [r for r in rows if r[0] in (None, 7)]
+    alone = scores(model, frame(spark, [(i, 0, *r[2:]) for i, r in enumerate(again)]))
+    for key in ((7, 0), (None, None)):  # rows of one key are one row with the mean of their scores
+        of = [alone[i] for i, r in enumerate(again) if r[:2] == key]
+        assert len(of) == 2 and abs(got[key] - sum(of) / 2) < 1e-12
