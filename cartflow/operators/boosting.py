@@ -144,11 +144,12 @@ class BoostedModel:
                                            "value double, gain double, weight double")
 
 
-def feature_cuts(train: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
-    """Cut points of every feature: between all neighbouring values where there are at most ``bins``, else at quantiles."""
+def feature_cuts(train: DataFrame, features: Sequence[str], bins: int, few: int | None = None) -> list[np.ndarray]:
+    """Cut points of every feature: between all neighbouring values where there are at most ``few`` (half the bins), else at quantiles."""
+    most = bins // 2 if few is None else few
     cols = [F.col(f).cast("double") for f in features]
     about = train.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    few = [i for i in range(len(features)) if about[f"n{i}"] <= bins // 2]
+    few = [i for i in range(len(features)) if about[f"n{i}"] <= most]
     values: dict[int, list[float]] = {i: [] for i in few}
     if few:  # features times bins rows
         each = train.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), cols[i].alias("v")) for i in few])).alias("s")).select("s.*").distinct()

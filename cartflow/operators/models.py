@@ -12,20 +12,35 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.broadcast import bounded_broadcast
 from ..session import shared_path
+from .boosting import feature_cuts
+from .deep_forest import Growth, drawn
 from .features import FEATURES
 
+#: Bins of a feature, as Spark's trees have them.
+BINS = 32
+#: Binned rows of a task while trees grow: each task sends sums of all open nodes, so more tasks than needed cost as much as rows.
+BINNED_ROWS = 50_000
+#: Trees that grow at the same time.
+TREES_AT_ONCE = 10
+
 
 def assembler(features: Sequence[str] = FEATURES) -> VectorAssembler:
     """P10: feature columns -> one vector; the label stays a column."""
@@ -59,15 +74,93 @@ def to_labeled(train: DataFrame, label: str = "reordered") -> DataFrame:
     return train.withColumn("label", F.col(label).cast("double"))
 
 
-def fit(estimator, train: DataFrame, features: Sequence[str] = FEATURES) -> PipelineModel:
-    """Fit ``assembler + estimator`` on a labelled frame (persisted while fitting)."""
+def fit(estimator, train: DataFrame, features: Sequence[str] = FEATURES):
+    """Fit ``assembler + estimator`` on a labelled frame (persisted while fitting); trees and forests on its binned rows."""
     data = to_labeled(train).persist()
     try:
+        if isinstance(estimator, (DecisionTreeClassifier, RandomForestClassifier)):
+            return fit_trees(estimator, data, features)
         return Pipeline(stages=[assembler(features), estimator]).fit(data)
     finally:
         data.unpersist()
 
 
+@dataclass(frozen=True)
+class Forest:
+    """Fitted trees over binned features: ``probability`` is the mean of theirs."""
+
+    binning: PipelineModel
+    trees: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Rows of the same bins have the same probability: each distinct one goes down the trees once."""
+        bins = self.binning.stages[0].getOutputCols()
+        # bins are under 2 ** 7: nine of them fit a long
+        codes = [sum((F.col(b).cast("long") * 128 ** j for j, b in enumerate(bins[i:i + 9])), F.lit(0).cast("long")) for i in range(0, len(bins), 9)]
+        keys = [f"_k{i}" for i in range(len(codes))]
+        rows = self.binning.stages[0].transform(df).withColumns(dict(zip(keys, codes)))
+        out = self.binning.stages[1].transform(rows.select(*keys, *bins).distinct())
+        columns = [f"_p{t}" for t in range(len(self.trees))]
+        for name, tree in zip(columns, self.trees):
+            out = tree.copy().setProbabilityCol(name).setRawPredictionCol("").setPredictionCol("").transform(out)
+        positive = sum((vector_to_array(c)[1] for c in columns), F.lit(0.0)) / len(columns)
+        known = bounded_broadcast(out.select(*keys, positive.alias("_s")).checkpoint(eager=True))
+        return (rows.drop(*bins).join(known, keys, "left").withColumn("probability", array_to_vector(F.array(1 - F.col("_s"), F.col("_s"))))
+                .withColumn("prediction", (F.col("_s") > 0.5).cast("double")).drop("_s", *keys))
+
+    @property
+    def stages(self) -> list:
+        return [*self.binning.stages, self]
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        """Mean of the trees' importances (each adds up to 1), scaled to 1."""
+        total = np.sum([tree.featureImportances.toArray() for tree in self.trees], axis=0)
+        return DenseVector(total / total.sum() if total.sum() else total)
+
+
+def fit_trees(estimator, data: DataFrame, features: Sequence[str], keys: Sequence[str] = ("user_id", "product_id")):
+    """A tree or forest of Spark's library on the distinct rows of binned features, with the number of rows as weight.
+
+    A tree cannot tell rows of the same bins apart, so it is the same with one
+    row of their total weight.  In a forest each tree has its own weights: rows
+    are drawn with repetition by a hash of their keys before they are counted.
+    The bins are all values where there are at most ``BINS``, else quantiles.
+    """
+    k, forest = len(features), isinstance(estimator, RandomForestClassifier)
+    trees = estimator.getNumTrees() if forest else 1
+    growth = Growth(trees=trees, bootstrap=forest and estimator.getBootstrap(), seed=estimator.getSeed())
+    cuts = [[-np.inf, *(c if len(c) else [0.0]), np.inf] for c in feature_cuts(data, features, BINS, few=BINS)]
+    bins = [f"_b{j}" for j in range(k)]
+    bucketizer = Bucketizer(splitsArray=[[float(v) for v in c] for c in cuts], inputCols=list(features), outputCols=bins)
+    binning = PipelineModel([bucketizer, VectorAssembler(inputCols=bins, outputCol="features", handleInvalid="error")])
+    weights = [f"_w{t}" for t in range(trees)]
+    # the sum drops the bins' metadata, which would make them categories without an order
+    counted = (bucketizer.transform(data).groupBy(*[(F.col(b) + 0.0).alias(b) for b in bins], "label")
+               .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(drawn(keys, growth, t)).cast("double").alias(w) for t, w in enumerate(weights)])
+               .checkpoint(eager=True))
+    totals = counted.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(w).alias(w) for w in weights]).first()
+    two = {"ml_attr": {"type": "nominal", "name": "label", "vals": ["0.0", "1.0"]}}
+    # by value and in order, so that trees don't depend on the partitions of the data
+    rows = (binning.stages[1].transform(counted.repartition(max(1, -(-totals.rows // BINNED_ROWS)), *bins, "label").sortWithinPartitions(*bins, "label"))
+            .select("features", F.col("label").alias("label", metadata=two), F.col("_n").cast("double").alias("_n"), *weights).persist())
+
+    def grown(t: int):
+        own = estimator.copy().setMaxBins(4 * BINS).setSeed(growth.seed + t)
+        if forest:
+            own = own.setNumTrees(1).setBootstrap(False)
+        # where few rows are given, a tree may have drawn none: it takes all
+        return own.setWeightCol(weights[t]).fit(rows.where(F.col(weights[t]) > 0)) if totals[weights[t]] else own.setWeightCol("_n").fit(rows)
+
+    try:
+        if not forest:
+            return PipelineModel([*binning.stages, grown(0)])
+        with ThreadPool(TREES_AT_ONCE) as pool:
+            return Forest(binning, pool.map(inheritable_thread_target(_spark())(grown), range(trees)))
+    finally:
+        rows.unpersist()
+
+
 def score(model: PipelineModel, df: DataFrame, threshold: float | None = None,
           keep: Sequence[str] = ("user_id", "product_id")) -> DataFrame:
     """score = P(class 1); ``prediction`` at ``threshold`` (inclusive).
