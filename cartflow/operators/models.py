@@ -36,6 +36,8 @@ from .features import FEATURES
 
 #: Bins of a feature, as Spark's trees have them.
 BINS = 32
+#: Values of a feature that are counted one by one for its cuts.
+COUNTED_VALUES = 10_000
 #: Binned rows of a task while trees grow: each task sends sums of all open nodes, so more tasks than needed cost as much as rows.
 BINNED_ROWS = 50_000
 #: Trees that grow at the same time.
@@ -119,20 +121,55 @@ class Forest:
         return DenseVector(total / total.sum() if total.sum() else total)
 
 
+def tree_cuts(data: DataFrame, features: Sequence[str]) -> list:
+    """Cuts of every feature by the library's rule, on the counts of all its values (the library counts those of about 10,000 rows).
+
+    Up to ``BINS`` values: all neighbours are cut; else in steps of equal
+    counts, where a value brings the sum no nearer to the next step.  Features
+    with more than ``COUNTED_VALUES`` values are cut at approximate quantiles.
+    """
+    cols = [F.col(f).cast("double") for f in features]
+    about = data.agg(*[F.approx_count_distinct(c).alias(f) for f, c in zip(features, cols)]).first()
+    counted = [i for i, f in enumerate(features) if about[f] <= COUNTED_VALUES]
+    found: dict[int, list] = {i: [] for i in counted}
+    if counted:
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (cols[i] + 0.0).alias("v")) for i in counted])).alias("s")
+        for r in data.select(cells).where("s.v is not null and not isnan(s.v)").groupBy("s.i", "s.v").count().collect():
+            found[r.i].append((r.v, r["count"]))
+    many = [i for i in range(len(features)) if i not in found]
+    quantiles = dict(zip(many, feature_cuts(data, [features[i] for i in many], BINS))) if many else {}
+    out = []
+    for i in range(len(features)):
+        values = sorted(found.get(i, []))
+        middles = [(a + b) / 2 for (a, _), (b, _) in zip(values, values[1:])]
+        if i in quantiles or len(values) <= BINS:
+            out.append(quantiles.get(i, middles))
+            continue
+        step = sum(n for _, n in values) / BINS
+        cuts, target, total = [], step, values[0][1]
+        for middle, (_, n) in zip(middles, values[1:]):
+            if abs(total - target) < abs(total + n - target):
+                cuts.append(middle)
+                target += step
+            total += n
+        out.append(cuts)
+    return out
+
+
 def fit_trees(estimator, data: DataFrame, features: Sequence[str], keys: Sequence[str] = ("user_id", "product_id")):
     """A tree or forest of Spark's library on the distinct rows of binned features, with the number of rows as weight.
 
     A tree cannot tell rows of the same bins apart, so it is the same with one
     row of their total weight.  In a forest each tree has its own weights: rows
     are drawn with repetition by a hash of their keys before they are counted.
-    The bins are all values where there are at most ``BINS``, else quantiles.
     """
     k, forest = len(features), isinstance(estimator, RandomForestClassifier)
     trees = estimator.getNumTrees() if forest else 1
     growth = Growth(trees=trees, bootstrap=forest and estimator.getBootstrap(), seed=estimator.getSeed())
-    cuts = [[-np.inf, *(c if len(c) else [0.0]), np.inf] for c in feature_cuts(data, features, BINS, few=BINS)]
+    cuts = [c if len(c) else [0.0] for c in tree_cuts(data, features)]
     bins = [f"_b{j}" for j in range(k)]
-    bucketizer = Bucketizer(splitsArray=[[float(v) for v in c] for c in cuts], inputCols=list(features), outputCols=bins)
+    # a value on a cut goes left, as in the library's trees
+    bucketizer = Bucketizer(splitsArray=[[-np.inf, *[float(np.nextafter(v, np.inf)) for v in c], np.inf] for c in cuts], inputCols=list(features), outputCols=bins)
     binning = PipelineModel([bucketizer, VectorAssembler(inputCols=bins, outputCol="features", handleInvalid="error")])
     weights = [f"_w{t}" for t in range(trees)]
     # the sum drops the bins' metadata, which would make them categories without an order

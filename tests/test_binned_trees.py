@@ -31,6 +31,17 @@ def test_a_tree_on_counted_rows_is_the_library_tree(spark):
     assert a.keys() == b.keys() and all(a[k][0] == pytest.approx(b[k][0], abs=1e-12) and a[k][1] == b[k][1] for k in a)
 
 
+def test_a_tree_of_many_values_is_the_library_tree(spark):
+    """Under 10,000 rows the library's cuts come from all rows: with more values than bins, skewed counts and negative values."""
+    df = spark.range(6000).select(F.col("id").alias("user_id"), (F.col("id") % 89).alias("product_id"))
+    for i, c in enumerate(FT.FEATURES):
+        u = F.pmod(F.xxhash64(F.lit(i), "user_id"), F.lit(30 * (i + 1))).cast("double")
+        df = df.withColumn(c, F.round(u * u / 7 - 20, 1) if i % 2 else u)
+    df = df.withColumn("reordered", (F.col(FT.FEATURES[6]) + F.col(FT.FEATURES[1]) + F.pmod(F.xxhash64(F.lit(99), "user_id"), F.lit(100)) > 200).cast("int"))
+    plain = Pipeline(stages=[M.assembler(), M.decision_tree()]).fit(M.to_labeled(df))
+    assert _scores(plain, df) == _scores(M.fit(M.decision_tree(), df), df)
+
+
 @pytest.mark.parametrize("estimator", [lambda: M.decision_tree(max_depth=4), lambda: M.random_forest(num_trees=3, max_depth=4)])
 def test_trees_grow_on_no_more_rows_than_differ(spark, monkeypatch, estimator):
     seen, fit = [], Estimator.fit
@@ -77,3 +88,11 @@ def test_few_rows_of_one_class(spark, n):
     df = _few_values(spark, n).withColumn("reordered", F.lit(0))
     for estimator in (M.random_forest(), M.decision_tree()):
         assert {v[0] for v in _scores(M.fit(estimator, df), df).values()} == {0.0}
+
+
+def test_a_value_on_a_cut_goes_left_as_in_the_library(spark):
+    df = spark.range(40).select(F.col("id").alias("user_id"), F.lit(1).alias("product_id"),
+                                *[(F.col("id") % 2).cast("double").alias(c) for c in FT.FEATURES], (F.col("id") % 2).cast("int").alias("reordered"))
+    middle = df.limit(1).select("user_id", "product_id", *[F.lit(0.5).alias(c) for c in FT.FEATURES])
+    plain = Pipeline(stages=[M.assembler(), M.decision_tree()]).fit(M.to_labeled(df))
+    assert set(_scores(M.fit(M.decision_tree(), df), middle).values()) == set(_scores(plain, middle).values()) == {(0.0, 0)}
