@@ -1,12 +1,16 @@
 """Second-order gradient boosting, and its grid search with shared passes.
 
 Features are cut into bins once (all distinct values where they are few, else
-quantiles); the binned rows are kept in the shared folder.  Trees grow level by
-level: in one pass, tasks add up first and second derivatives of the logistic
-loss by (model, node, feature, bin), Spark sums them and finds each feature's
-best cut from prefix sums, and the driver sees one row per model, node and
-feature.  So every model of a grid and every fold grows in the same passes;
-their number is rounds times depth, whatever the grid.
+quantiles); the binned rows are kept in the shared folder, many rows a record.
+A tree that may use few features grows in one pass: tasks add up first and
+second derivatives of the logistic loss by cell (a combination of bins of its
+features), and one task a model grows the tree on the sums, which hold all that
+any of its levels needs.  A tree with more than ``CELLS`` cells grows level by
+level: in one pass, tasks add up the derivatives by (model, node, feature, bin),
+Spark sums them and finds each feature's best cut from prefix sums, and the
+driver sees one row per model, node and feature.  Both give the same tree.  So
+every model of a grid and every fold grows in the same passes; their number is
+rounds, or rounds times depth, whatever the grid.
 
 Gain, leaf and regularisation are the usual second-order ones: a split gains
 ``(GL^2/(HL+l2) + GR^2/(HR+l2) - G^2/(H+l2)) / 2 - gamma`` and needs
@@ -24,6 +28,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from math import prod
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +39,16 @@ from pyspark.sql import functions as F
 from .features import FEATURES
 
 UNIT = float(1 << 24)
-ROWS_PER_TASK = 250_000
 LEAST_GAIN = 1e-6
+NO_FOLD = -1
+#: Rows of a record of binned rows.
+CHUNK = 1 << 16
+#: Binned rows of a task, at least and at most: each task sends sums, so more tasks than cores need cost as much as rows.
+LEAST_ROWS, MOST_ROWS = 50_000, 2_000_000
+#: Most cells that tasks add up for a tree.
+CELLS = 1 << 17
+#: Cells of finished trees that a task looks leaf values up in; rows walk down any further trees.
+LOOKED_UP = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -121,6 +135,81 @@ def binned(values: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Cells:
+    """The combinations of bins of a tree's features, by number."""
+
+    features: tuple[int, ...]
+    widths: tuple[int, ...]
+
+    @property
+    def number(self) -> int:
+        return prod(self.widths)
+
+    def of(self, bins: np.ndarray) -> np.ndarray:
+        """The cell of every row of binned features."""
+        out = np.zeros(len(bins), np.int64)
+        for f, w in zip(self.features, self.widths):
+            out *= w
+            out += bins[:, f]
+        return out
+
+    def bins(self, at: np.ndarray) -> np.ndarray:
+        """Rows of binned features in the given cells; other features are 0."""
+        out = np.zeros((len(at), max(self.features) + 1), np.int16)
+        for f, w in zip(self.features[::-1], self.widths[::-1]):
+            at, out[:, f] = np.divmod(at, w)
+        return out
+
+
+@dataclass(frozen=True)
+class Grown:
+    """A finished tree for tasks: its nodes, and the leaf of every cell where these are few."""
+
+    nodes: tuple[np.ndarray, ...]
+    cells: Cells | None = None
+    leaf: np.ndarray | None = None
+
+    @classmethod
+    def made(cls, tree: Tree, cells: Cells) -> Grown:
+        nodes = tree.arrays()
+        if cells.number > CELLS:
+            return cls(nodes)
+        return cls(nodes, cells, node_of(nodes, cells.bins(np.arange(cells.number))).astype(np.int32))
+
+
+class Tables:
+    """Finished trees of models in a task: leaf values by cell, for as many trees as ``LOOKED_UP`` allows."""
+
+    def __init__(self, models: dict[int, Sequence[Grown]]) -> None:
+        self.trees: dict[int, list] = {}
+        left = LOOKED_UP
+        for m, trees in models.items():
+            self.trees[m] = []
+            for tree in trees:
+                left -= tree.cells.number if tree.cells else 0
+                self.trees[m].append((tree, tree.nodes[5].take(tree.leaf) if tree.cells and left >= 0 else None))
+
+    def margins(self, m: int, rows: Rows) -> np.ndarray:
+        """As :func:`margins`."""
+        out = np.zeros(len(rows.bins))
+        for tree, values in self.trees[m]:
+            out += tree.nodes[5][node_of(tree.nodes, rows.bins)] if values is None else values.take(rows.cells(tree.cells))
+        return out
+
+
+class Rows:
+    """Binned features of some rows, with their cells, which models share."""
+
+    def __init__(self, bins: np.ndarray) -> None:
+        self.bins, self._cells = bins, {}
+
+    def cells(self, cells: Cells) -> np.ndarray:
+        if cells not in self._cells:
+            self._cells[cells] = cells.of(self.bins)
+        return self._cells[cells]
+
+
 @dataclass
 class BoostedModel:
     params: Boosting
@@ -131,6 +220,12 @@ class BoostedModel:
     def probability(self, values: np.ndarray) -> np.ndarray:
         return logistic(margins([t.arrays() for t in self.trees], binned(values, self.cuts)))
 
+    def grown(self) -> list[Grown]:
+        """The trees for tasks."""
+        widths = [len(c) + 2 for c in self.cuts]
+        drawn = [self.params.features_of(t, len(self.features)) for t in range(len(self.trees))]
+        return [Grown.made(tree, Cells(tuple(map(int, fs)), tuple(widths[f] for f in fs))) for tree, fs in zip(self.trees, drawn)]
+
     def nodes(self, spark: SparkSession) -> DataFrame:
         """One row a node: tree, node, feature and threshold (null in leaves; values under it go left), children, value, gain, weight."""
         rows = []
@@ -169,26 +264,52 @@ def feature_cuts(train: DataFrame, features: Sequence[str], bins: int) -> list[n
 
 
 def binned_rows(train: DataFrame, features: Sequence[str], cuts: list[np.ndarray], label: str, keys: Sequence[str], fold: str | None) -> DataFrame:
-    """``h`` (hash of the keys), ``fold``, ``y`` and a column of bins for each feature, kept in the shared folder."""
+    """Records of up to ``CHUNK`` rows, kept in the shared folder: ``h`` (hash of the keys), ``fold``, ``y`` and ``bins`` of the features as plain arrays."""
     k = len(features)
 
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(c).tobytes()], pa.binary()) for c in zip(*parts)], ["h", "fold", "y", "bins"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            values = np.stack([batch.column(3 + j).to_numpy(zero_copy_only=False).astype(float) for j in range(k)], 1) if batch.num_rows else np.zeros((0, k))
-            made = binned(values, cuts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *[pa.array(made[:, j]) for j in range(k)]],
-                                             ["h", "fold", "y", *[f"b{j}" for j in range(k)]])
-
-    rows = train.select(F.xxhash64(*keys), F.col(fold).cast("int") if fold else F.lit(-1), F.col(label).cast("double"),
+            if not batch.num_rows:
+                continue
+            values = np.stack([batch.column(3 + j).to_numpy(zero_copy_only=False).astype(float) for j in range(k)], 1)
+            # rows without a fold (keys that are null) are in none: every model learns from them
+            held.append((batch.column(0).to_numpy(), batch.column(1).fill_null(NO_FOLD).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(float),
+                         binned(values, cuts)))
+            if sum(len(h) for h, *_ in held) + batch.num_rows > CHUNK:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    rows = train.select(F.xxhash64(*keys), F.col(fold).cast("int") if fold else F.lit(NO_FOLD), F.col(label).cast("double"),
                         *[F.col(f).cast("double") for f in features])
-    parts = max(1, -(-train.count() // ROWS_PER_TASK))
-    schema = "h long, fold int, y double, " + ", ".join(f"b{j} smallint" for j in range(k))
-    return rows.coalesce(parts).mapInArrow(run, schema).checkpoint(eager=True)
+    n = train.count()
+    parts = max(1, -(-n // MOST_ROWS), min(-(-n // LEAST_ROWS), 2 * train.sparkSession.sparkContext.defaultParallelism))
+    return rows.coalesce(parts).mapInArrow(run, "h binary, fold binary, y binary, bins binary").checkpoint(eager=True)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Hash, fold, label and bins of each record's rows."""
+    for batch in batches:
+        for record in zip(*batch.columns):
+            h, fold, y, bins = (np.frombuffer(c.as_buffer(), t) for c, t in zip(record, (np.int64, np.int32, np.float64, np.int16)))
+            yield h, fold, y, bins.reshape(-1, k)
+
+
+def learning(h: np.ndarray, fold: np.ndarray, params: Boosting, round_: int, without: int | None) -> np.ndarray:
+    """Which rows a model learns from in a round."""
+    use = sampled(h, params.seed, round_, params.row_share)
+    return use if without is None else use & (fold != without)
 
 
-def columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    h, fold, y, *bins = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-    return h, fold, y, np.stack(bins, 1)
+def derivatives(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives of the loss, in units."""
+    p = logistic(margin)
+    return np.rint((p - y) * UNIT), np.rint(p * (1 - p) * UNIT)
 
 
 @dataclass
@@ -197,33 +318,30 @@ class Growing:
 
     params: Boosting
     without_fold: int | None
-    trees: list = field(default_factory=list)
+    trees: list[Grown] = field(default_factory=list)
     tree: Tree | None = None
     open: list[int] = field(default_factory=list)
     features: np.ndarray | None = None
+    cells: Cells | None = None
 
 
-def sums(rows: DataFrame, growing: dict[int, Growing], round_: int, width: int) -> DataFrame:
+def sums(rows: DataFrame, growing: dict[int, Growing], round_: int, width: int, k: int) -> DataFrame:
     """``model, node, feature, bin, g, h``: partial sums of each task over its rows."""
-    work = [(m, s.params, s.without_fold, s.trees, s.tree.arrays(), np.array(s.open), s.features) for m, s in growing.items()]
+    trees = {m: s.trees for m, s in growing.items()}
+    work = [(m, s.params, s.without_fold, s.tree.arrays(), np.array(s.open), s.features) for m, s in growing.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(trees)
         total = {m: np.zeros((2, len(open_) * len(features) * width)) for m, *_, open_, features in work}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, fold, y, bins = columns_of(batch)
-            for m, params, without, trees, tree, open_, features in work:
-                use = sampled(h, params.seed, round_, params.row_share)
-                if without is not None:
-                    use &= fold != without
+        for h, fold, y, bins in chunks(batches, k):
+            for m, params, without, tree, open_, features in work:
+                use = learning(h, fold, params, round_, without)
                 x = bins[use]
                 node = node_of(tree, x)
                 slot = np.minimum(np.searchsorted(open_, node), len(open_) - 1)
                 here = open_[slot] == node
                 x, slot = x[here], slot[here]
-                p = logistic(margins(trees, x))
-                g, w = np.rint((p - y[use][here]) * UNIT), np.rint(p * (1 - p) * UNIT)
+                g, w = derivatives(tables.margins(m, Rows(x)), y[use][here])
                 for j, f in enumerate(features):
                     key = (slot * len(features) + j) * width + x[:, f]
                     total[m][0] += np.bincount(key, g, total[m].shape[1])
@@ -239,6 +357,146 @@ def sums(rows: DataFrame, growing: dict[int, Growing], round_: int, width: int)
     return rows.mapInArrow(run, "model int, node int, feature int, bin int, g long, h long")
 
 
+def cell_sums(rows: DataFrame, growing: dict[int, Growing], round_: int, k: int) -> DataFrame:
+    """``model, at, g, h``: partial sums of each task by cell of the model's features; the cells that have rows, and their sums, as plain arrays."""
+    trees = {m: s.trees for m, s in growing.items()}
+    cells = {m: s.cells for m, s in growing.items()}
+    # models that learn from the same rows share them
+    work: dict[tuple, list[int]] = {}
+    for m, s in growing.items():
+        work.setdefault((s.params.seed, s.params.row_share, s.without_fold), []).append(m)
+    same_rows = [(growing[models[0]].params, without, models) for (*_, without), models in work.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(trees)
+        total = {m: np.zeros((2, c.number)) for m, c in cells.items()}
+        for h, fold, y, bins in chunks(batches, k):
+            for params, without, models in same_rows:
+                use = np.flatnonzero(learning(h, fold, params, round_, without))
+                x, y_ = Rows(bins.take(use, 0)), y.take(use)
+                for m in models:
+                    g, w = derivatives(tables.margins(m, x), y_)
+                    total[m][0] += np.bincount(x.cells(cells[m]), g, cells[m].number)
+                    total[m][1] += np.bincount(x.cells(cells[m]), w, cells[m].number)
+        for m in cells:
+            at = np.flatnonzero(total[m].any(0))
+            made = [at.astype(np.int32), *total[m][:, at].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in made]], ["model", "at", "g", "h"])
+
+    return rows.mapInArrow(run, "model int, at binary, g binary, h binary")
+
+
+def trees_of(partial: DataFrame, growing: dict[int, Growing]) -> dict[int, Tree]:
+    """The tree of every model from partial sums by cell, grown by one task a model."""
+    jobs = {m: (s.params, s.cells) for m, s in growing.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for m, *record in zip(*batch.columns):
+                if (m := m.as_py()) not in total:
+                    total[m] = np.zeros((2, jobs[m][1].number), np.int64)
+                at, g, h = (np.frombuffer(c.as_buffer(), t) for c, t in zip(record, (np.int32, np.int64, np.int64)))
+                total[m][0, at] += g
+                total[m][1, at] += h
+        for m, (g, h) in total.items():
+            tree = vars(tree_of_cells(*jobs[m], g, h))
+            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), *[pa.array([tree[c]], pa.list_(t)) for c, t in columns.items()]], ["model", *columns])
+
+    whole, real = pa.int32(), pa.float64()
+    columns = {"feature": whole, "cut": whole, "missing_left": pa.bool_(), "left": whole, "right": whole, "value": real, "gain": real, "weight": real}
+    schema = ", ".join(["model int", *[f"`{c}` array<{'int' if t == whole else 'double' if t == real else 'boolean'}>" for c, t in columns.items()]])
+    found = partial.repartition(len(growing), "model").mapInArrow(run, schema).collect()
+    return {r.model: Tree(*[list(r[c]) for c in columns]) for r in found}
+
+
+class Cut(NamedTuple):
+    gain: float
+    place: int
+    missing_left: bool
+    gl: float
+    hl: float
+
+
+class Option(NamedTuple):
+    """A node's sums, and a feature's best cut of it."""
+
+    feature: int
+    all_g: float
+    all_h: float
+    best: Cut | None
+
+
+def tree_of_cells(params: Boosting, cells: Cells, g: np.ndarray, h: np.ndarray) -> Tree:
+    """The tree that :func:`grow` makes level by level, from sums by cell."""
+    at = np.flatnonzero((g != 0) | (h != 0))
+    x, g, h, width = cells.bins(at), g[at], h[at], max(cells.widths)
+    tree, open_, level = Tree(), [0], 0
+    while open_ and level < params.depth:
+        node, nodes = node_of(tree.arrays(), x), np.array(open_)
+        slot = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+        here = nodes[slot] == node
+        found: dict[int, list[Option]] = {}
+        for f in cells.features:
+            key = slot[here] * width + x[here, f]
+            for node_at, option in best_of(f, *(added(key, v[here], len(nodes) * width).reshape(-1, width) for v in (g, h)), params):
+                found.setdefault(open_[node_at], []).append(option)
+        open_ = split(tree, params, open_, found)
+        level += 1
+    return tree
+
+
+def added(key: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by key, exact beyond 2^53 too."""
+    high, low = (np.bincount(key, part, n).astype(np.int64) for part in (values >> 24, values & (1 << 24) - 1))
+    return (high << 24) + low
+
+
+def best_of(feature: int, g: np.ndarray, h: np.ndarray, params: Boosting) -> Iterator[tuple[int, Option]]:
+    """Every node's sums and best cut by a feature from its sums by node and bin, by the rule of :func:`cut_finder`."""
+    filled = (g != 0) | (h != 0)
+    all_g, all_h = g.sum(1) / UNIT, h.sum(1) / UNIT
+    part = lambda g, h: g * g / (h + params.l2)
+    below = [(np.cumsum(v[:, 1:], 1) / UNIT, v[:, :1] / UNIT) for v in (g, h)]
+    sides = []
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for missing_left in (False, True):
+            gl, hl = (real + none if missing_left else real for real, none in below)
+            gr, hr = all_g[:, None] - gl, all_h[:, None] - hl
+            gain = (part(gl, hl) + part(gr, hr) - part(all_g, all_h)[:, None]) / 2 - params.gamma
+            sides.append((np.where(filled[:, 1:] & (hl >= params.least_weight) & (hr >= params.least_weight), gain, -np.inf), gl, hl))
+    # a cut with equal gains on both sides of missing values sends them right
+    to_left = sides[1][0] > sides[0][0]
+    gain = np.where(to_left, sides[1][0], sides[0][0])
+    best = gain.argmax(1) if gain.shape[1] else np.zeros(len(gain), int)
+    for i in np.flatnonzero(filled.any(1)):
+        b, cut = int(best[i]), None
+        if gain.shape[1] and gain[i, b] > -np.inf:
+            left = bool(to_left[i, b])
+            cut = Cut(float(gain[i, b]), -(b + 1), left, float(sides[left][1][i, b]), float(sides[left][2][i, b]))
+        yield int(i), Option(int(feature), float(all_g[i]), float(all_h[i]), cut)
+
+
+def split(tree: Tree, p: Boosting, nodes: Sequence[int], found: dict[int, list]) -> list[int]:
+    """Splits those of the nodes that gain, each by the best of the cuts found; returns the new nodes."""
+    coming, leaf = [], lambda g, h: -p.step * g / (h + p.l2) + 0.0
+    for node in nodes:
+        options = sorted(found.get(node, []), key=lambda r: r.feature)
+        if not options:
+            continue
+        if node == 0:
+            tree.value[0], tree.weight[0] = leaf(options[0].all_g, options[0].all_h), options[0].all_h
+        best = max((r for r in options if r.best), key=lambda r: (r.best.gain, -r.feature), default=None)
+        if best is None or best.best.gain <= LEAST_GAIN:
+            continue
+        b = best.best
+        tree.feature[node], tree.cut[node], tree.missing_left[node], tree.gain[node] = best.feature, -b.place, b.missing_left, b.gain
+        tree.left[node] = tree.add(leaf(b.gl, b.hl), b.hl)
+        tree.right[node] = tree.add(leaf(best.all_g - b.gl, best.all_h - b.hl), best.all_h - b.hl)
+        coming += [tree.left[node], tree.right[node]]
+    return coming
+
+
 def cut_finder(params: Boosting) -> Callable[[DataFrame, int], DataFrame]:
     """Turns partial sums (and the number of their cells) into one row for every model, node and feature: its sums, and its
     best cut with gain, side of missing values, and sums on the left.  The expressions are made once."""
@@ -280,7 +538,7 @@ def grow(rows: DataFrame, jobs: Sequence[tuple[Boosting, int | None]], features:
     """A model for each job (parameters, fold that is left out), all in the same passes over the binned rows."""
     state = {m: Growing(p, without) for m, (p, without) in enumerate(jobs)}
     made: dict[int, list[Tree]] = {m: [] for m in state}
-    width = max(len(c) for c in cuts) + 2
+    widths, k = [len(c) + 2 for c in cuts], len(features)
     first = jobs[0][0]
     if any((p.l2, p.gamma, p.least_weight) != (first.l2, first.gamma, first.least_weight) for p, _ in jobs):
         raise ValueError("models that grow together share l2, gamma and least_weight")
@@ -288,35 +546,25 @@ def grow(rows: DataFrame, jobs: Sequence[tuple[Boosting, int | None]], features:
     for round_ in range(max(p.rounds for p, _ in jobs)):
         for m, s in state.items():
             s.tree, s.open = Tree(), [0] if round_ < s.params.rounds else []
-            s.features = s.params.features_of(round_, len(features))
+            s.features = s.params.features_of(round_, k)
+            s.cells = Cells(tuple(map(int, s.features)), tuple(widths[f] for f in s.features))
+        if few := {m: s for m, s in state.items() if s.open and s.cells.number <= CELLS}:
+            for m, tree in trees_of(cell_sums(rows, few, round_, k), few).items():
+                state[m].tree = tree
+            for s in few.values():
+                s.open = []
         level = 0
         while now := {m: s for m, s in state.items() if s.open and level < s.params.depth}:
-            cells = sum(len(s.open) * len(s.features) for s in now.values()) * width
-            found: dict[tuple[int, int], list] = {}
-            for r in best_cuts(sums(rows, now, round_, width), cells).collect():
-                found.setdefault((r.model, r.node), []).append(r)
+            cells = sum(len(s.open) * len(s.features) for s in now.values()) * max(widths)
+            found: dict[int, dict[int, list]] = {}
+            for r in best_cuts(sums(rows, now, round_, max(widths), k), cells).collect():
+                found.setdefault(r.model, {}).setdefault(r.node, []).append(r)
             for m, s in now.items():
-                tree, coming = s.tree, []
-                for node in s.open:
-                    options = sorted(found.get((m, node), []), key=lambda r: r.feature)
-                    if not options:
-                        continue
-                    p, leaf = s.params, lambda g, h: -s.params.step * g / (h + s.params.l2) + 0.0
-                    if node == 0:
-                        tree.value[0], tree.weight[0] = leaf(options[0].all_g, options[0].all_h), options[0].all_h
-                    best = max((r for r in options if r.best), key=lambda r: (r.best.gain, -r.feature), default=None)
-                    if best is None or best.best.gain <= LEAST_GAIN:
-                        continue
-                    b = best.best
-                    tree.feature[node], tree.cut[node], tree.missing_left[node], tree.gain[node] = best.feature, -b.place, b.missing_left, b.gain
-                    tree.left[node] = tree.add(leaf(b.gl, b.hl), b.hl)
-                    tree.right[node] = tree.add(leaf(best.all_g - b.gl, best.all_h - b.hl), best.all_h - b.hl)
-                    coming += [tree.left[node], tree.right[node]]
-                s.open = coming
+                s.open = split(s.tree, s.params, s.open, found.get(m, {}))
             level += 1
         for m, s in state.items():
             if round_ < s.params.rounds:
-                s.trees.append(s.tree.arrays())
+                s.trees.append(Grown.made(s.tree, s.cells))
                 made[m].append(s.tree)
     return [BoostedModel(s.params, list(features), cuts, made[m]) for m, s in state.items()]
 
@@ -387,18 +635,21 @@ def grid_search(train: DataFrame, depths: Sequence[int] = (5, 10), shares: Seque
 
 def held_out_hits(rows: DataFrame, models: Sequence[BoostedModel], jobs: Sequence[tuple[Boosting, int | None]]) -> dict[int, tuple[int, int]]:
     """For every model the rows of the fold it hasn't seen that it gets right, and their number, in one pass."""
-    work = [(m, fold, [t.arrays() for t in model.trees]) for m, (model, (_, fold)) in enumerate(zip(models, jobs))]
+    k, trees = len(models[0].features), {m: model.grown() for m, model in enumerate(models)}
+    folds: dict[int | None, list[int]] = {}
+    for m, (_, fold) in enumerate(jobs):
+        folds.setdefault(fold, []).append(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(work), 2), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                _, fold, y, bins = columns_of(batch)
-                for m, without, trees in work:
-                    mine = fold == without
-                    hit = (logistic(margins(trees, bins[mine])) >= 0.5) == (y[mine] == 1)
+        tables, total = Tables(trees), np.zeros((len(trees), 2), np.int64)
+        for _, fold, y, bins in chunks(batches, k):
+            for without, mine in folds.items():
+                held = fold == without
+                x, positive = Rows(bins[held]), y[held] == 1
+                for m in mine:
+                    hit = (logistic(tables.margins(m, x)) >= 0.5) == positive
                     total[m] += (int(hit.sum()), len(hit))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(work), dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], ["model", "hits", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], ["model", "hits", "n"])
 
     found = rows.mapInArrow(run, "model int, hits long, n long").groupBy("model").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()
     return {r.model: (r.hits, r.n) for r in found}
